@@ -8,7 +8,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +89,52 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         edge = materialize(small.where("u <> v").distinct(), "edges")
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Each run of rows with equal keys (not null) of a sorted stream, as a table."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if b.num_rows else []
+        edges = [0, *cuts, b.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            if start == end:
+                continue
+            key = tuple(c[start] for c in cols)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a block pair, as row and column indices.
+
+    near[i, j]: row i and column j are linked; same: rows and columns are one block
+    (near is symmetric). At most rows + columns - 1 links come back.
+    """
+    left, right = [], []
+    todo_rows = near.any(axis=1)
+    todo_cols = todo_rows if same else near.any(axis=0)
+    for first in np.flatnonzero(todo_rows):
+        if not todo_rows[first]:
+            continue
+        todo_rows[first] = False
+        stack = [(int(first), True)]
+        while stack:
+            at, is_row = stack.pop()
+            rest = todo_cols if is_row else todo_rows
+            new = np.flatnonzero((near[at] if is_row else near[:, at]) & rest)
+            if len(new):
+                rest[new] = False
+                left.append(np.full(len(new), at) if is_row else new)
+                right.append(new if is_row else np.full(len(new), at))
+                stack += [(int(x), same or not is_row) for x in new]
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)

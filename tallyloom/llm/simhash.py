@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, materialize, small_batches, table
+from tallyloom.llm.common import components, materialize, runs, small_batches, spanning, table
 
 SHINGLE, DISTANCE, SEGMENTS, BLOCK = 3, 3, 2, 2048
 WORDS = 65536
@@ -61,66 +61,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def forest(a: np.ndarray, b: np.ndarray, member_a: np.ndarray, member_b: np.ndarray, distance: int, same: bool):
-    """Rows of a spanning forest of the links between two blocks: index into a, index into b.
+def link_tiles(batches, distance: int):
+    """Arrow batches sorted by (part, key, i, j): the links of each tile's spanning forest.
 
-    One side of a pair at least must be a member of the part; same: a and b are one block.
+    side 0 holds the rows of block i, side 1 those of block j (none where i = j). One
+    side of a pair at least must be a member of the part, the other one may come from
+    the ball around it.
     """
-    n = len(a)
-    root = np.arange(n + (0 if same else len(b)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for lo in range(0, n, 256):
-        gap = np.bitwise_count(a[lo : lo + 256, None] ^ b[None, :])
-        near = (gap <= distance) & (gap > 0) & (member_a[lo : lo + 256, None] | member_b[None, :])
-        for i, j in zip(*np.nonzero(near)):
-            i = int(i) + lo
-            x, y = find(i), find(int(j) if same else n + int(j))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                yield i, int(j)
-
-
-def link_blocks(batches, distance: int):
-    """Arrow batches sorted by (part, key, i, j) with side and fp: yields links of each tile."""
-    held: list[pa.RecordBatch] = []
-
-    def tile(rows: pa.Table):
+    for rows in runs(batches, ["part", "key", "i", "j"]):
         fp, side, member = (rows.column(c).to_numpy() for c in ("fp", "side", "member"))
-        left, right = (fp[side == s].view(np.uint64) for s in (0, 1))
-        same = not len(right)
-        ma, mb = member[side == 0], member[side == 1]
-        found = list(forest(left, left if same else right, ma, ma if same else mb, distance, same))
-        if found:
-            i, j = np.array(found).T
-            return left.view(np.int64)[i], (left if same else right).view(np.int64)[j]
-
-    def flush(t: pa.Table, last: bool):
-        """Links of the complete tiles of t, and the rows that may go on."""
-        keys = [t.column(c).to_numpy() for c in ("part", "key", "i", "j")]
-        edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        ends = [*edge, t.num_rows] if last else list(edge)
-        outs, start = [], 0
-        for end in ends:
-            if end - start > 1 and (got := tile(t.slice(start, end - start))) is not None:
-                outs.append(got)
-            start = end
-        return outs, t.slice(start)
-
-    for b in batches:
-        held.append(b)
-        outs, rest = flush(pa.Table.from_batches(held), False)
-        held = rest.combine_chunks().to_batches()
-        for x, y in outs:
-            yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
-    if held:
-        for x, y in flush(pa.Table.from_batches(held), True)[0]:
-            yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
+        a, ma = fp[side == 0].view(np.uint64), member[side == 0]
+        same = len(a) == len(fp)
+        b, mb = (a, ma) if same else (fp[side == 1].view(np.uint64), member[side == 1])
+        if len(a) == 0 or len(fp) < 2:
+            continue
+        near = ma[:, None] | mb[None, :]
+        for lo in range(0, len(a), 256):
+            near[lo : lo + 256] &= np.bitwise_count(a[lo : lo + 256, None] ^ b[None, :]) <= distance
+        if same:
+            np.fill_diagonal(near, False)
+        i, j = spanning(near, same)
+        if len(i):
+            yield pa.record_batch([pa.array(a[i].view(np.int64)), pa.array(b[j].view(np.int64))], ["a", "b"])
 
 
 def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
@@ -145,7 +107,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     dealt = dealt.select("part", "key", "fp", "member", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "member")
     keys = ["part", "key", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: link_blocks(it, distance), "a bigint, b bigint")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: link_tiles(it, distance), "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
