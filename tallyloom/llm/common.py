@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that the public vocabularies' splitting pattern counts as white space.
-WHITE = " \t\n\r\x0b\x0c\x85\xa0  -     　"
+WHITE = r" \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Cuts a text where the splitting pattern must also cut it, whatever stands around:
 #: before white space that follows something else, and between Latin letters and
