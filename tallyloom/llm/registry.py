@@ -1,7 +1,7 @@
 """The queries of this subpackage, one or more for each operator."""
 
-from tallyloom.llm import embeddings, packing, simhash, token_files, url_filter
+from tallyloom.llm import embeddings, packing, simhash, sketches, token_files, url_filter
 
-MODULES = (url_filter, packing, embeddings, simhash, token_files)
+MODULES = (url_filter, sketches, packing, embeddings, simhash, token_files)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
