@@ -57,7 +57,7 @@ class RankMap:
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = BUCKETS):
         keys: list[list[str]] = [[] for _ in range(buckets)]
-        values: list[list[int]] = [[] for _ in range(buckets)]
+        values: list[list[int]] = [[NO_RANK] for _ in range(buckets)]
         for token, rank in ranks.items():
             at = np.int64(np.uint64(xxhash.xxh64_intdigest(token, 42))) % buckets  # as xxhash64() and pmod()
             keys[at].append(base64.b64encode(token).decode())
@@ -68,10 +68,9 @@ class RankMap:
 
     def rank(self, token: Column) -> Column:
         """Rank of a byte string, NO_RANK if it has none."""
-        def found(at):
-            return let(F.array_position(F.element_at(self.keys, at), token), lambda p: F.when(p > 0, F.element_at(F.element_at(self.values, at), p.cast("int"))).otherwise(NO_RANK))
-
-        return let((F.pmod(F.xxhash64(token), F.lit(self.buckets)) + 1).cast("int"), found)
+        at = (F.pmod(F.xxhash64(token), F.lit(self.buckets)) + 1).cast("int")
+        # position 0 (not found) stands for the first of the bucket's ranks, NO_RANK
+        return F.element_at(F.element_at(self.values, at), (F.array_position(F.element_at(self.keys, at), token) + 1).cast("int"))
 
 
 def merged(state: Column, ranks: RankMap) -> Column:
