@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import PIECE, materialize, small_batches, table
 
-FREQUENT = 300_000  # at most so many distinct pieces are broadcast
+FREQUENT = 600_000  # at most so many distinct pieces are broadcast
 BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
 HELD = 200_000  # distinct pieces counted before they are passed on
 
@@ -73,18 +73,24 @@ class RankMap:
         return F.element_at(F.element_at(self.values, at), (F.array_position(F.element_at(self.keys, at), token) + 1).cast("int"))
 
 
+def joined(*arrays: Column) -> Column:
+    """Arrays one after the other; flatten() evaluates faster than concat() inside a lambda."""
+    return F.flatten(F.array(*arrays))
+
+
 def merged(state: Column, ranks: RankMap) -> Column:
     """One merge of the leftmost pair of lowest rank; state: parts, and the rank of each pair of neighbours."""
     p, r = state["parts"], state["ranks"]
 
     def at(i):
-        def with_new(joined):
+        def with_new(new):
             n = F.size(r)
-            parts = F.concat(F.slice(p, 1, i - 1), F.array(joined), F.slice(p, i + 2, F.greatest(n - i, F.lit(0))))
-            left = F.when(i > 1, F.array(ranks.rank(F.concat(F.try_element_at(p, i - 1), joined)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i < n, F.array(ranks.rank(F.concat(joined, F.try_element_at(p, i + 2))))).otherwise(F.array().cast("array<int>"))
-            pairs = F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.greatest(n - i - 1, F.lit(0))))
-            return F.struct(parts.alias("parts"), pairs.alias("ranks"))
+            left = F.when(i > 1, let(F.concat(F.element_at(p, F.greatest(i - 1, F.lit(1))), new), ranks.rank))
+            right = F.when(i < n, let(F.concat(new, F.try_element_at(p, i + 2)), ranks.rank))
+            return F.struct(
+                joined(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("parts"),
+                F.array_compact(joined(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.array(left, right), F.slice(r, i + 2, n))).alias("ranks"),
+            )
 
         return let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), with_new)
 
@@ -100,7 +106,7 @@ def bpe_word(word: Column, ranks: RankMap) -> Column:
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
     start = let(parts, lambda p: F.struct(
         p.alias("parts"),
-        F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: ranks.rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))).alias("ranks"),
+        F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), ranks.rank)).alias("ranks"),
     ))
     folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda state, _: merged(state, ranks), lambda state: F.transform(state["parts"], ranks.rank))
     return let(ranks.rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).otherwise(folded))
@@ -151,8 +157,10 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fr
     spark = docs.sparkSession
     small_batches(spark, 500)
     rank_map = RankMap(ranks)
-    folded = frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")).collect()
-    known = spark.sparkContext.broadcast({row["piece"]: np.array(row["ids"], "<u4").tobytes() for row in folded})
+    folded = frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")).toArrow()
+    ids = folded.column("ids").combine_chunks()
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), np.cumsum([0, *ids.value_lengths().to_pylist()]) * 4
+    known = spark.sparkContext.broadcast({p: flat[s:e] for p, s, e in zip(folded.column("piece").to_pylist(), ends, ends[1:])})
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
