@@ -1,4 +1,6 @@
 """The registered queries and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyloom.operators import align, boards, cohort, nested, progress, records, rules, timeline  # noqa: F401  they register their queries
+from tallyloom.plans.define import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
