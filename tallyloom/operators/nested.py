@@ -10,7 +10,7 @@ from tallyloom.sources.bind import Tables
 
 
 @query("conversation_pack", """
-SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, string_agg(role, '>' ORDER BY turn) AS roles, sha256(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS hash
+SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, string_agg(role, '>' ORDER BY turn, role) AS roles, sha256(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, coalesce(text, ''))) AS hash
 FROM conversations GROUP BY conv_id""")
 def conversation_pack(t: Tables) -> DataFrame:
     """Each conversation as one ordered list of turns, and its digest."""

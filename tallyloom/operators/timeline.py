@@ -114,10 +114,10 @@ def rounds(t: Tables) -> DataFrame:
 
 
 @query("fill_down", """
-SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked, lead(CASE WHEN role = 'user' THEN turn END) OVER w AS next_start
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked, lead(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_start
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)""")
 def fill_down(t: Tables) -> DataFrame:
     """Each turn with the heading turn above it, and where the next block starts if the next turn is a heading."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     head = F.when(F.col("role") == "user", F.col("turn"))
-    return t.read("conversations").select("conv_id", "turn", "role", F.last(head, ignorenulls=True).over(w).alias("asked"), F.lead(head).over(w).alias("next_start"))
+    return t.read("conversations").select("conv_id", "turn", "role", F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("asked"), F.lead(head).over(w).alias("next_start"))
