@@ -1,7 +1,8 @@
 """Byte-level BPE by Spark higher-order functions.
 
 Texts are cut into pieces (common.PIECE) that encode independently. The frequent
-distinct pieces of the whole corpus, a bounded number of them, are folded once; other
+distinct pieces of the whole corpus, a bounded number of them, are folded once and
+written to the shared folder, where each worker reads them; other
 pieces are folded once for each document that has them. Both go through one column
 expression, bpe(): a fold over the bytes of each match of the splitting pattern that
 merges the leftmost adjacent pair of lowest rank until none has a rank. Ranks come
@@ -26,13 +27,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import PIECE, materialize, small_batches, table
+from tallyloom.llm.common import PIECE, materialize, small_batches, table, write_shared
 
-FREQUENT = 600_000  # at most so many distinct pieces are broadcast
+FREQUENT, LONGEST = 1_000_000, 32  # pieces of at most so many characters that a worker holds
 BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
 HELD = 200_000  # distinct pieces counted before they are passed on
 
@@ -149,7 +152,25 @@ def frequent_pieces(docs: DataFrame, most: int) -> DataFrame:
         if total > most:
             cut = row["level"] + 1
             break
-    return counts.where(level >= cut).select("piece")
+    return counts.where(level >= cut).where(F.length("piece") <= LONGEST).select("piece")
+
+
+_held: dict[str, dict[str, bytes]] = {}
+
+
+def dictionary(uri: str) -> dict[str, bytes]:
+    """The folded frequent pieces, read once by each worker from the shared folder."""
+    if uri not in _held:
+        _held.clear()
+        fs, path = pafs.FileSystem.from_uri(uri)
+        found = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["piece", "ids"])
+        _held[uri] = {}
+        for b in found.to_batches(max_chunksize=50_000):
+            ids = b.column("ids")
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            ends = (np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)])) * 4).tolist()
+            _held[uri].update((p, flat[s:e]) for p, s, e in zip(b.column("piece").to_pylist(), ends, ends[1:]))
+    return _held[uri]
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
@@ -157,10 +178,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fr
     spark = docs.sparkSession
     small_batches(spark, 500)
     rank_map = RankMap(ranks)
-    folded = frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")).toArrow()
-    ids = folded.column("ids").combine_chunks()
-    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), np.cumsum([0, *ids.value_lengths().to_pylist()]) * 4
-    known = spark.sparkContext.broadcast({p: flat[s:e] for p, s, e in zip(folded.column("piece").to_pylist(), ends, ends[1:])})
+    folded = write_shared(frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")), "dictionary")
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
@@ -169,7 +187,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fr
     names = ["doc_id", "ids", "holes", "which", "rare"]
 
     def look_up(batches):
-        find = known.value.get
+        find = dictionary(folded).get
         for b in batches:
             ids_of, holes_of, which_of, rare_of = [], [], [], []
             for text in b.column(1).to_pylist():

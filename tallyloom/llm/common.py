@@ -44,17 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write df once into the shared folder; returns the path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back.
 
     This cuts the lineage; a lost executor costs no recomputation, and all later
     uses see the same rows.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
