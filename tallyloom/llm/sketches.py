@@ -147,7 +147,7 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
     names = ["range", "borrowed", "doc_id", "at", "text"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(deal, f"range bigint, borrowed boolean, doc_id {kind}, at bigint, text string")
-    return out.repartition(parts, "range").sortWithinPartitions("range", "borrowed", "at", "text")
+    return out.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "borrowed", "at", "text")
 
 
 def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
