@@ -4,11 +4,15 @@ A word after another one scores count(pair) / count(first) if the pair occurs at
 ``least`` times, else ``backoff`` * count(word) / words; a text's first word scores
 count(word) / words. A document's score is the sum of the logarithms.
 
-Pairs are exploded, one row for each document and distinct pair, and dealt out by the
-pair's hash; the count table is made there and joined to the rows in place, so that
-rows move once. They carry the counts of their two words where these are among the
-frequent ones, a bounded number that is broadcast; the others are joined by word
-afterwards. Sums go back to documents after a partial sum in every partition.
+Each document first gets the sum in which every word backs off, from the counts of the
+frequent words, a bounded number that is broadcast as sorted hashes. Its distinct pairs
+are exploded and dealt out by pair, which is where the count table of a pair is kept: a
+sum over the pair's rows. A pair that is frequent enough adds what it scores above
+backing off. Rows move once and are short: two frequent words make up one integer,
+other pairs are a hash. If all words that occur twice are among the frequent ones, every
+other word occurs once and its pairs can't be frequent enough; else what the counts of
+rare words owe to a document is joined by word at the end. Sums go back to documents
+after a partial sum in every partition.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; pairs and rare
 words are told apart by 64-bit hashes.
@@ -25,12 +29,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, partitions, small_batches, table
 
-BACKOFF, LEAST, FREQUENT, HELD = 0.4, 2, 400_000, 200_000
+BACKOFF, LEAST, FREQUENT, HELD = 0.4, 2, 2_000_000, 500_000
 
 
 class _Hashes(dict):
@@ -51,13 +55,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), n over all texts."""
+    """word (hash), n over all texts."""
 
     def count(batches):
         held: Counter[bytes] = Counter()
 
         def out():
-            return pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in held), np.uint64, len(held))
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(held.values(), pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -67,7 +72,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -82,69 +87,133 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= cut)
 
 
-def pair_rows(docs: DataFrame, known) -> DataFrame:
-    """doc_id, pair (hash; null for a first word), n, and of both words the count or else the hash.
+class Frequent:
+    """Number and count of the frequent words, by hash; numbers go by falling count, 0 is any other word."""
 
-    A document without words has one row with n = 0.
+    def __init__(self, words: np.ndarray, n: np.ndarray, complete: bool):
+        number = np.empty(len(n), np.int64)
+        number[np.lexsort((words, -n))] = np.arange(1, len(n) + 1)
+        by_hash = np.argsort(words)
+        self.words, self.number, self.complete = words[by_hash], number[by_hash].astype(np.int32), complete
+        self.logs = np.zeros(len(n) + 1)  # of a word that occurs once: 0
+        self.logs[number] = np.log(n)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        distinct, back = np.unique(words, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        return np.where(self.words[at] == distinct, self.number[at], 0).astype(np.int64)[back]
+
+
+def pair_rows(docs: DataFrame, known, backoff: float, total: int) -> DataFrame:
+    """doc_id, pair, n, first, word, value.
+
+    One row for each document and distinct pair that may be frequent enough (first and
+    word: hashes, only if one of the two is rare), one for each of its rare words (pair
+    and first null), and one with its number of words (n) and of pairs (first) and the sum
+    over its frequent words if all back off (word null).
     """
-    names = ["doc_id", "pair", "n", "first_n", "word_n", "first_rare", "word_rare"]
+    names = ["doc_id", "pair", "n", "first", "word", "value"]
+    none = np.empty(0, np.int64)
 
     def run(batches):
-        count_of = known.value.get
+        frequent = known.value
         for b in batches:
             parts = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
-                if not words:
-                    parts.append((doc_id, np.zeros(1, np.int64), np.zeros(1, bool), np.zeros(1, np.int64), *[np.zeros(1, np.int64)] * 4))
-                    continue
-                h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-                c = np.fromiter((count_of(w, 0) for w in words), np.int64, len(words))
-                pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[:-1] >> np.uint64(29)))
-                pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
+                w = frequent.find(h)
+                base = frequent.logs[w].sum() - len(w) * np.log(total) + max(0, len(w) - 1) * np.log(backoff)
+                f, g, x, y = w[:-1], w[1:], h[:-1], h[1:]
+                odd = (f == 0) | (g == 0)
+                if frequent.complete and odd.any():  # one of the two occurs once in all texts
+                    f, g, x, y = (v[~odd] for v in (f, g, x, y))
+                    odd = np.zeros(len(f), bool)
+                pair = f << np.int64(31) | g
+                if odd.any():
+                    i, j = x[odd].view(np.uint64), y[odd].view(np.uint64)
+                    mix = (i * np.uint64(0x9E3779B97F4A7C15)) ^ (j * np.uint64(0xC2B2AE3D27D4EB4F) + (i >> np.uint64(29)))
+                    mix = (mix ^ (mix >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    pair[odd] = -(mix >> np.uint64(1)).view(np.int64) - 1  # below zero
                 pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-                sign = h.view(np.int64)
-                parts.append((doc_id, np.append(pair.view(np.int64), 0), np.append(np.ones(len(pair), bool), False), np.append(n, 1),
-                              np.append(c[at], 0), np.append(c[at + 1], c[0]), np.append(sign[at], 0), np.append(sign[at + 1], sign[0])))
+                lone, times = (none, none) if frequent.complete else np.unique(h[w == 0], return_counts=True)
+                parts.append((doc_id, pair, n, np.where(pair < 0, x[at], 0), np.where(pair < 0, y[at], 0), lone, times, len(w), max(0, len(w) - 1), base))
             if not parts:
                 continue
-            ids = pa.array([p[0] for p in parts], b.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])))
-            pair, real, n, first_n, word_n, first, word = (np.concatenate(x) for x in list(zip(*parts))[1:])
-            empty = n == 0
+            sizes = np.array([[len(p[1]), len(p[5]), 1] for p in parts])
+            order = pa.array(np.concatenate([np.repeat(np.arange(len(parts)), sizes[:, k]) for k in range(3)]))
+            ids = pa.array([p[0] for p in parts], b.schema.field(0).type).take(order)
+            pairs, n, first, word, lone, times = (np.concatenate([p[k] for p in parts]) for k in range(1, 7))
+            a, c, d = sizes.sum(axis=0)
+            no = lambda k: np.zeros(k, np.int64)
+            kind = np.repeat([0, 1, 2], [a, c, d])
+            odd = np.concatenate([pairs < 0, np.zeros(c + d, bool)])
             yield pa.record_batch([
-                ids, pa.array(pair, mask=~real), pa.array(n), pa.array(first_n, mask=(first_n == 0) | ~real), pa.array(word_n, mask=(word_n == 0) | empty),
-                pa.array(first, mask=(first_n > 0) | ~real), pa.array(word, mask=(word_n > 0) | empty),
+                ids,
+                pa.array(np.concatenate([pairs, no(c + d)]), mask=kind > 0),
+                pa.array(np.concatenate([n, times, [p[7] for p in parts]]).astype(np.int64)),
+                pa.array(np.concatenate([first, no(c), [p[8] for p in parts]]).astype(np.int64), mask=~(odd | (kind == 2))),
+                pa.array(np.concatenate([word, lone, no(d)]), mask=~(odd | (kind == 1))),
+                pa.array(np.concatenate([no(a + c).astype(float), [p[9] for p in parts]]), mask=kind < 2),
             ], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:])
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, pair bigint, n bigint, first bigint, word bigint, value double")
+
+
+def scored_rows(batches, known, backoff: float, total: int):
+    """Turn rows of scored pairs, rare words and documents into doc_id, owed, words, value, off.
+
+    owed null: what a row adds to its document. Else value counts how often the logarithm
+    of that rare word's count is owed: once more by each word that backs off, less by
+    each pair that is scored.
+    """
+    names = ["doc_id", "owed", "words", "value", "off"]
+    logs = known.value.logs
+    for b in batches:
+        col = {c: b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("pair", "n", "pair_n", "first", "word", "value")}
+        is_pair, has_value = (b.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("pair", "value"))
+        pair, n = col["pair"], col["n"]
+        rare, common = is_pair & (pair < 0), is_pair & (pair >= 0)
+        gain = np.where(is_pair, n * (np.log(np.maximum(col["pair_n"], 1)) - np.log(backoff) + np.log(total)), 0.0)
+        p = np.where(common, pair, 0)
+        gain -= n * (logs[p >> 31] + logs[p & ((1 << 31) - 1)])
+        own = is_pair | has_value
+        alone = np.flatnonzero(~own)
+        at = np.concatenate([np.flatnonzero(own), alone, np.flatnonzero(rare), np.flatnonzero(rare)])
+        main, debts = int(own.sum()), len(at) - int(own.sum())
+        none = np.zeros(debts, np.int64)
+        yield pa.record_batch([
+            b.column("doc_id").take(pa.array(at)),
+            pa.array(np.concatenate([np.zeros(main, np.int64), col["word"][alone], col["first"][rare], col["word"][rare]]), mask=np.arange(len(at)) < main),
+            pa.array(np.concatenate([np.where(has_value, n, 0)[own], none])),
+            pa.array(np.concatenate([np.where(has_value, col["value"], gain)[own], n[alone], -n[rare], -n[rare]]).astype(np.float64)),
+            pa.array(np.concatenate([np.where(has_value, col["first"], -n)[own], none])),
+        ], names)
 
 
 def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, backed_off (words scored by backoff), log_score."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark, 10_000, "4m")
     counts = materialize(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    top = most_frequent(counts.where("n > 1"), frequent).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())))
-    rows = pair_rows(docs, known).repartition(partitions(spark), F.coalesce("pair", F.xxhash64("doc_id")))
-    pairs = rows.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("pair_n")).where(F.col("pair_n") >= least)
-    found = rows.join(pairs.hint("shuffle_hash"), "pair", "left")
-    hit, first = F.col("pair_n").isNotNull(), F.col("pair").isNull()
-    # what is known here; the logarithm of a rare word's count is added later
-    value = F.when(hit, F.log("pair_n") - F.coalesce(F.log("first_n"), F.lit(0.0))).otherwise(
-        F.when(first, 0.0).otherwise(float(np.log(backoff))) + F.coalesce(F.log("word_n"), F.lit(0.0)) - float(np.log(total)))
-    owed = F.when(hit, F.col("first_rare")).otherwise(F.col("word_rare"))
-    scored = found.select("doc_id", "n", (F.col("n") * value).alias("value"), F.when(~hit & ~first, F.col("n")).otherwise(0).alias("off"), owed.alias("owed"), F.when(hit, -F.col("n")).otherwise(F.col("n")).alias("times"))
-    known_part = scored.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("off").alias("off"), F.collect_list(F.when(F.col("owed").isNotNull(), F.struct("owed", "times"))).alias("debts"))
-    known_part = materialize(known_part, "scores")
-    debts = known_part.select("doc_id", F.explode("debts").alias("d")).select("doc_id", "d.owed", "d.times")
-    rare = counts.select(F.xxhash64("word").alias("owed"), F.log("n").alias("log_n"))
-    paid = debts.join(rare, "owed").select("doc_id", F.lit(0).cast("bigint").alias("n"), (F.col("times") * F.col("log_n")).alias("value"), F.lit(0).cast("bigint").alias("off"))
-    both = known_part.select("doc_id", "n", "value", "off").union(paid)
-    out = both.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("off").alias("backed_off"), F.sum("value").alias("value"))
+    repeated = counts.where("n > 1")
+    top = most_frequent(repeated, frequent).toArrow()
+    table_ = Frequent(top.column("word").to_numpy(), top.column("n").to_numpy(), least > 1 and top.num_rows == repeated.count())
+    known = spark.sparkContext.broadcast(table_)
+    rows = pair_rows(docs, known, backoff, total).repartition(partitions(spark), F.coalesce("pair", F.xxhash64("doc_id")))
+    rows = rows.withColumn("pair_n", F.sum("n").over(Window.partitionBy(F.coalesce("pair", F.xxhash64("doc_id")), F.col("pair").isNull())))
+    rows = rows.where(F.col("pair").isNull() | (F.col("pair_n") >= least))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(lambda it: scored_rows(it, known, backoff, total), f"doc_id {kind}, owed bigint, words bigint, value double, off bigint")
+    summed = scored.groupBy("doc_id", "owed").agg(F.sum("words").alias("words"), F.sum("value").alias("value"), F.sum("off").alias("off"))
+    summed = materialize(summed, "scores")
+    rare = counts.select(F.col("word").alias("owed"), F.log("n").alias("log_n"))
+    paid = summed.where("owed is not null").join(rare, "owed").select("doc_id", "words", (F.col("value") * F.col("log_n")).alias("value"), "off")
+    out = summed.where("owed is null").select("doc_id", "words", "value", "off").union(paid).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("off").alias("backed_off"), F.sum("value").alias("value"))
     return out.select("doc_id", "n_words", "backed_off", F.when(F.col("n_words") > 0, F.round("value", 4)).alias("log_score"))
 
 
