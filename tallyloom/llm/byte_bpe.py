@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import PIECE, materialize, small_batches, table, write_shared
 
-FREQUENT, LONGEST = 1_000_000, 32  # pieces of at most so many characters that a worker holds
+FREQUENT, LONGEST = 750_000, 32  # pieces of at most so many characters that a worker holds
 BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
 HELD = 200_000  # distinct pieces counted before they are passed on
 
@@ -163,9 +163,8 @@ def dictionary(uri: str) -> dict[str, bytes]:
     if uri not in _held:
         _held.clear()
         fs, path = pafs.FileSystem.from_uri(uri)
-        found = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["piece", "ids"])
         _held[uri] = {}
-        for b in found.to_batches(max_chunksize=50_000):
+        for b in pads.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["piece", "ids"], batch_size=20_000, batch_readahead=1, fragment_readahead=1):
             ids = b.column("ids")
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             ends = (np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)])) * 4).tolist()
