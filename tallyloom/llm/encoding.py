@@ -16,7 +16,7 @@ import numpy as np
 
 from tallyloom.llm.common import PIECE
 
-KEPT = 500_000  # pieces a worker keeps
+KEPT = 1_200_000  # pieces a worker keeps
 CHARS = 1_000_000  # characters encoded at a time
 _encoders: dict[str, PieceEncoder] = {}
 
