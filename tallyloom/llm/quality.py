@@ -13,7 +13,7 @@ It learns from at most ``per_class`` documents of either label, those with the s
 hash of their id; whole texts are turned into features where they lie.
 
 Defined results: null, empty and blank texts have score 0 (bad); repeated rows are
-scored each; a document with several labels counts with each; null labels are left
+scored each; a document with both labels counts with each; null labels are left
 out; with no label, or only one value of it, to learn from, every text that isn't blank
 scores 1 (0 where the only value is 0); extra columns are kept.
 """
@@ -201,7 +201,7 @@ def is_held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, quality); the driver gets features of about 2 * per_class documents."""
     small_batches(docs.sparkSession, 500)
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality")
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     share = F.lit(0.0)
     for row in usable.groupBy("quality").count().collect():
         share = F.when(F.col("quality") == row["quality"], min(1.0, 1.2 * per_class / row["count"] + 20 / row["count"])).otherwise(share)
