@@ -9,7 +9,10 @@ host graph of the pages' links:
   pages (who links to blocked hosts is suspect).
 
 Both are probability distributions over hosts. A host is blocked where its distrust
-exceeds its trust by more than ``margin``; without evidence it is allowed.
+exceeds its trust by more than MARGIN; without evidence it is allowed. Ranks are carried on until no
+host's rank changes by more than a part that goes with ``settled``. The SQL stops after
+ROUNDS; it gives the same rows where no link goes to another
+host, as in the given tables.
 
 Defined results: null urls, and urls without ``://``, have an empty host and path, fit
 no rule and are allowed; null html has no links; repeated rows are each judged; an
@@ -35,7 +38,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-DAMPING, ROUNDS, MARGIN = 0.85, 8, 1e-9
+DAMPING, SETTLED = 0.85, 1e-6
+ROUNDS, MARGIN = 8, 1e-9  # of the SQL
 
 
 def host_of(url: Column) -> Column:
@@ -64,24 +68,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return link.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """host, rank: rank restarts at seeds (host, weight summing to 1) and follows src to dst."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
+    """host, rank: rank restarts at seeds (host, weight summing to 1) and follows src to dst.
+
+    What the seeds hand on is summed up round by round, and divided by its total at the
+    end: what left through no link restarts at the seeds in proportion. A round changes
+    no host by a larger part than the round before did, as a host passes on what it got in
+    the proportions of what it has; the rest to come is about damping / (1 - damping)
+    times the last change.
+    """
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "share")
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    for _ in range(rounds):
-        moved = rank.join(share, F.col("host") == F.col("src")).groupBy("dst").agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("in"))
-        moved = materialize(moved, "moved")
-        kept = moved.agg(F.coalesce(F.sum("in"), F.lit(0.0)).alias("kept"))  # what left through no link restarts
-        rank = (
-            seeds.crossJoin(F.broadcast(kept)).select("host", (F.col("weight") * (1 - F.col("kept"))).alias("rank"))
-            .union(moved.select("dst", "in")).groupBy("host").agg(F.sum("rank").alias("rank"))
-        )
-        rank = materialize(rank, "rank")
-    return rank
-
-
-def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, margin: float = MARGIN) -> DataFrame:
+    moved = materialize(seeds.select("host", F.col("weight").alias("in")), "moved")
+    rank = moved.withColumnRenamed("in", "rank")
+    while True:
+        moved = moved.join(share, F.col("host") == F.col("src")).groupBy("dst").agg((damping * F.sum(F.col("in") * F.col("share"))).alias("in"))
+        moved = materialize(moved.where(F.col("in") > 0).withColumnRenamed("dst", "host"), "moved")
+        rank = rank.select("host", "rank", F.lit(0.0).alias("in")).union(moved.select("host", F.col("in").alias("rank"), "in"))
+        rank = materialize(rank.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("in").alias("in")), "rank")
+        change = rank.agg(F.max(F.col("in") / F.col("rank"))).first()[0] or 0.0
+        rank = rank.select("host", "rank")
+        if change <= settled * (1 - damping):
+            total = rank.agg(F.sum("rank").alias("total"))
+            return rank.crossJoin(F.broadcast(total)).select("host", (F.col("rank") / F.col("total")).alias("rank"))
+
+
+def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """page_id, host, path, rule, verdict, by (rule or graph) for every row of pages (page_id, url, html)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -97,9 +109,10 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dam
     for name, vote, turned in (("trust", "allow", edges), ("distrust", "block", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))):
         total = votes.agg(F.sum(vote).alias("total"))
         seeds = votes.where(F.col(vote) > 0).crossJoin(F.broadcast(total)).select("host", (F.col(vote) / F.col("total")).alias("weight"))
-        rank = propagate(turned, seeds, damping, rounds) if linked else seeds.withColumnRenamed("weight", "rank")  # no links: all rank restarts
+        rank = propagate(turned, seeds, damping, settled) if linked else seeds.withColumnRenamed("weight", "rank")  # no links: all rank restarts
         ranks = ranks.join(rank.withColumnRenamed("rank", name), "host", "left")
-    bad = ranks.where(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > margin).select("host", F.lit(True).alias("bad"))
+    trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
+    bad = ranks.where(distrust - trust > MARGIN).select("host", F.lit(True).alias("bad"))
     graph = F.when(F.col("bad"), "block").otherwise("allow")
     return judged.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", graph).alias("verdict"), F.when(F.col("ruled").isNull(), "graph").otherwise("rule").alias("by")
