@@ -9,9 +9,10 @@ host graph of the pages' links:
   pages (who links to blocked hosts is suspect).
 
 Both are probability distributions over hosts. A host is blocked where its distrust
-exceeds its trust by more than MARGIN; without evidence it is allowed. Ranks are carried on until no
+exceeds its trust by more than the part ``settled`` of their sum, so that the size of the
+corpus doesn't matter; without evidence it is allowed. Ranks are carried on until no
 host's rank changes by more than a part that goes with ``settled``. The SQL stops after
-ROUNDS; it gives the same rows where no link goes to another
+ROUNDS and has an absolute MARGIN; it gives the same rows where no link goes to another
 host, as in the given tables.
 
 Defined results: null urls, and urls without ``://``, have an empty host and path, fit
@@ -112,7 +113,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dam
         rank = propagate(turned, seeds, damping, settled) if linked else seeds.withColumnRenamed("weight", "rank")  # no links: all rank restarts
         ranks = ranks.join(rank.withColumnRenamed("rank", name), "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    bad = ranks.where(distrust - trust > MARGIN).select("host", F.lit(True).alias("bad"))
+    bad = ranks.where(distrust - trust > settled * (distrust + trust)).select("host", F.lit(True).alias("bad"))
     graph = F.when(F.col("bad"), "block").otherwise("allow")
     return judged.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", graph).alias("verdict"), F.when(F.col("ruled").isNull(), "graph").otherwise("rule").alias("by")

@@ -1,7 +1,8 @@
-"""URL ranks are settled."""
+"""URL verdicts do not depend on the size of the corpus, and ranks are settled."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import url_filter
 
@@ -10,6 +11,14 @@ def html(*to):
     return "".join(f'<a href="http://{u}/">x</a>' for u in to)
 
 
+def test_verdicts_stay_in_a_larger_table(spark):
+    rows = [(0, "http://bad.com/de/1", ""), *((i, f"http://linker{i}.net/", html("bad.com")) for i in range(1, 1001))]
+    small = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    many = spark.range(2000, 3_002_000, 1, 8).select(F.col("id").alias("page_id"), F.concat(F.lit("http://u"), F.col("id") % 50, F.lit(".com/de/1")).alias("url"), F.lit("").alias("html"))
+    got = url_filter.url_verdicts(small.union(many)).where("page_id <= 1000").collect()
+    assert len(got) == 1001 and {r["verdict"] for r in got} == {"block"}
+
+
 def test_chain_and_cycle_settle(spark):
     chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(12)]
     edges = [(a, b, 9) for a, b, _ in chain] + [("h3", "h0", 1), ("h2", "x", 1)]
