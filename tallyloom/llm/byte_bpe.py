@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import PIECE, materialize, small_batches, table, write_shared
+from tallyloom.llm.common import PIECE, materialize, sliced, table, write_shared
 
 FREQUENT, LONGEST = 750_000, 32  # pieces of at most so many characters that a worker holds
 BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
@@ -130,7 +130,7 @@ def piece_counts(docs: DataFrame) -> DataFrame:
         def out():
             return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["piece", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 if text:
                     held.update(PIECE.findall(text))
@@ -175,7 +175,6 @@ def dictionary(uri: str) -> dict[str, bytes]:
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     rank_map = RankMap(ranks)
     folded = write_shared(frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")), "dictionary")
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -187,7 +186,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fr
 
     def look_up(batches):
         find = dictionary(folded).get
-        for b in batches:
+        for b in sliced(batches):
             ids_of, holes_of, which_of, rare_of = [], [], [], []
             for text in b.column(1).to_pylist():
                 pieces = PIECE.findall(text) if text else []
@@ -210,7 +209,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fr
 
     def assemble(batches):
         piece = vocab.value.__getitem__
-        for b in batches:
+        for b in sliced(batches):
             n, ids_sha, text_sha = [], [], []
             for ids, holes, which, rare in zip(*(b.column(c).to_pylist() for c in names[1:])):
                 if holes:

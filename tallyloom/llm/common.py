@@ -35,10 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (single-machine tests) a temporary folder stands in.
+    Where that is unset a temporary folder stands in on a local master, whose tasks run
+    in the driver's process; elsewhere it is an error, as each executor would write to
+    its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,10 +64,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound what a Python worker gets at a time, by rows and by bytes; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Views of at most so many rows, which bounds the Python objects made at a time.
+
+    Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch,
+    64 MB unless the user sets it), so no setting of the session has to change.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:

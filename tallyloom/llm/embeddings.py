@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, materialize, runs, small_batches, spanning, table
+from tallyloom.llm.common import components, materialize, runs, sliced, spanning, table
 
 THRESHOLD, BLOCK, STEPS, BINS = 0.93, 2048, (8, 16, 32), 4
 SLACK = 1e-9  # more than rounding can shift a bound
@@ -55,7 +55,7 @@ def axes(groups: DataFrame) -> dict[int, np.ndarray]:
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches, 2048):
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 x = matrix(b.column("embedding").filter(pa.array(dims == d)))
@@ -111,7 +111,7 @@ def tiles(groups: DataFrame, axes_: dict[int, np.ndarray], threshold: float, blo
     width = (np.arccos(threshold) + 1e-7) / bins
 
     def binned(batches):
-        for b in batches:
+        for b in sliced(batches, 2048):
             dims, out = b.column("dim").to_numpy(), np.zeros(b.num_rows, np.int32)
             for d in np.unique(dims):
                 at = dims == d
@@ -163,7 +163,6 @@ def compare(batches, axes_: dict[int, np.ndarray], threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bins: int = BINS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
-    small_batches(vectors.sparkSession, 2048)
     groups = distinct_vectors(vectors)
     turn = axes(groups)
     keys = ["label", "dim", "bin", "block", "bin2", "block2"]

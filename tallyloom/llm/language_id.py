@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import small_batches, table
+from tallyloom.llm.common import sliced, table
 
 #: Family of a language code; a code that isn't here is its own family.
 FAMILIES = {
@@ -131,7 +131,6 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -
     Whole texts are turned into vectors where they lie; the driver gets about
     per_language vectors of 2 ** bits numbers for each language.
     """
-    small_batches(docs.sparkSession, 500)
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 20) & ~is_held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     share = F.lit(1.0)
@@ -141,7 +140,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -
     near = near.where(F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)) < share)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.record_batch([b.column(0), b.column(1), pa.array([vector(t, bits).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["lang", "order", "vector"])
 
     rows = near.select(F.col("lang").cast("string"), "order", F.col("text").cast("string")).mapInArrow(run, "lang string, order bigint, vector binary").collect()
@@ -156,14 +155,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score, for every row."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
     fields = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
     docs = docs.select(*(F.col(f"`{c}`") for c in fields))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shared.value.predict(t) for t in b.column(text_col).to_pylist()]
             lang, score = zip(*found) if found else ((), ())
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
@@ -185,7 +183,7 @@ def floors(docs: DataFrame, model: Model, most: int = 2000) -> dict[int, float]:
     some = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(13)), 11) / F.lit(float(1 << 53)) < share)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [(n, shared.value.predict(t[:n])) for t in b.column(0).to_pylist() for n in LENGTHS if n <= len(t)]
             found = [(n, score) for n, (lang, score) in found if lang != UNKNOWN]
             yield pa.record_batch([pa.array([n for n, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], ["least", "score"])

@@ -1,220 +1,234 @@
-"""Language-model scores by stupid backoff, from bigram counts of the whole corpus.
-
-A word after another one scores count(pair) / count(first) if the pair occurs at least
-``least`` times, else ``backoff`` * count(word) / words; a text's first word scores
-count(word) / words. A document's score is the sum of the logarithms.
-
-Each document first gets the sum in which every word backs off, from the counts of the
-frequent words, a bounded number that is broadcast as sorted hashes. Its distinct pairs
-are exploded and dealt out by pair, which is where the count table of a pair is kept: a
-sum over the pair's rows. A pair that is frequent enough adds what it scores above
-backing off. Rows move once and are short: two frequent words make up one integer,
-other pairs are a hash. If all words that occur twice are among the frequent ones, every
-other word occurs once and its pairs can't be frequent enough; else what the counts of
-rare words owe to a document is joined by word at the end. Sums go back to documents
-after a partial sum in every partition.
-
-Words are runs of anything but ASCII white space, with A-Z lower-cased; pairs and rare
-words are told apart by 64-bit hashes.
-
-Defined results: null and empty texts have no words and no score (null); rows with one
-doc_id are scored together, though no pair goes from one row to another; a null doc_id
-is such a group too; extra columns are ignored; an empty table gives none.
+"""Language-model scores by stupid backoff, from the n-gram counts of the whole corpus.
+
+Every document is scored by a model of all others: its own occurrences are taken off
+each count, since with them no n-gram of the corpus would ever be unseen. A word w
+after the words c scores count(c w) / count(c) if that n-gram occurs in another
+document, else ``backoff`` times its score after one word less; the last resort is
+max(count(w), 1) / words of the corpus. Contexts reach back ``order`` - 1 words and
+never beyond the text. A document's score is the sum of the logarithms. No n-gram is
+left out for being rare or frequent.
+
+Documents are cut into chunks of a bounded number of words, each with its words
+numbered. A chunk's n-grams of all orders are exploded and summed in place (so that a
+frequent n-gram is one entry of a chunk, however many of its documents have it), and
+dealt out by ranges of their 64-bit hash. Each range is one part of the count tables:
+its entries are summed by hash, and the sums are joined back to the entries of each
+chunk. Chunks meet their counts by chunk number and sum them by document. Entries
+travel as blocks, one for each chunk and range: sorted hashes as differences, counts as
+bytes. Only the sum of all words comes to the driver. Work and blocks grow in
+proportion to the texts as long as chunks have many more entries than there are ranges;
+raise ``chunk_words`` and ``range_bytes`` together with executor memory (at 100 TB to
+about 60 million and 1 GB).
+
+Words are runs of anything but ASCII white space, with A-Z lower-cased.
+
+Defined results: null and empty texts have no words and no score (null); each row is a
+document of its own, also where a doc_id repeats or is null, and a repeated row sees
+its copy; very long texts are a chunk of their own; there are no ties to break; extra
+columns are ignored; an empty table gives none. The input must be deterministic (a scan
+is), as its partitions are read again if an executor is lost.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, partitions, small_batches, table
+from tallyloom.llm.common import materialize, partitions, sliced, table
 
-BACKOFF, LEAST, FREQUENT, HELD = 0.4, 2, 2_000_000, 500_000
+BACKOFF, ORDER, CHUNK_WORDS, RANGE_BYTES = 0.4, 3, 4_000_000, 32 << 20
 
 
-class _Hashes(dict):
-    """XXH64 of words; forgotten when there are many."""
+class _Numbers(dict):
+    """Words of a chunk, numbered as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 42)
+        self[word] = found = len(self)
         return found
 
 
-_hashes = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), n over all texts."""
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest width bytes of unsigned integers: all first bytes, all second ones, ..."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T.tobytes()
 
-    def count(batches):
-        held: Counter[bytes] = Counter()
 
-        def out():
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in held), np.uint64, len(held))
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(held.values(), pa.int64())], ["word", "n"])
+def from_planes(data: bytes, width: int, kind) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.T
+    return out.reshape(-1).view(kind)
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of counts with the highest n, most of them at most (equal counts stay together)."""
-    level = F.floor(F.log2("n") * 16)
-    total, cut = 0, 0
-    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
-        total += row["count"]
-        if total > most:
-            cut = row["level"] + 1
-            break
-    return counts.where(level >= cut)
-
-
-class Frequent:
-    """Number and count of the frequent words, by hash; numbers go by falling count, 0 is any other word."""
-
-    def __init__(self, words: np.ndarray, n: np.ndarray, complete: bool):
-        number = np.empty(len(n), np.int64)
-        number[np.lexsort((words, -n))] = np.arange(1, len(n) + 1)
-        by_hash = np.argsort(words)
-        self.words, self.number, self.complete = words[by_hash], number[by_hash].astype(np.int32), complete
-        self.logs = np.zeros(len(n) + 1)  # of a word that occurs once: 0
-        self.logs[number] = np.log(n)
-
-    def find(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        distinct, back = np.unique(words, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        return np.where(self.words[at] == distinct, self.number[at], 0).astype(np.int64)[back]
-
-
-def pair_rows(docs: DataFrame, known, backoff: float, total: int) -> DataFrame:
-    """doc_id, pair, n, first, word, value.
-
-    One row for each document and distinct pair that may be frequent enough (first and
-    word: hashes, only if one of the two is rare), one for each of its rare words (pair
-    and first null), and one with its number of words (n) and of pairs (first) and the sum
-    over its frequent words if all back off (word null).
-    """
-    names = ["doc_id", "pair", "n", "first", "word", "value"]
-    none = np.empty(0, np.int64)
 
-    def run(batches):
-        frequent = known.value
-        for b in batches:
-            parts = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
-                w = frequent.find(h)
-                base = frequent.logs[w].sum() - len(w) * np.log(total) + max(0, len(w) - 1) * np.log(backoff)
-                f, g, x, y = w[:-1], w[1:], h[:-1], h[1:]
-                odd = (f == 0) | (g == 0)
-                if frequent.complete and odd.any():  # one of the two occurs once in all texts
-                    f, g, x, y = (v[~odd] for v in (f, g, x, y))
-                    odd = np.zeros(len(f), bool)
-                pair = f << np.int64(31) | g
-                if odd.any():
-                    i, j = x[odd].view(np.uint64), y[odd].view(np.uint64)
-                    mix = (i * np.uint64(0x9E3779B97F4A7C15)) ^ (j * np.uint64(0xC2B2AE3D27D4EB4F) + (i >> np.uint64(29)))
-                    mix = (mix ^ (mix >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                    pair[odd] = -(mix >> np.uint64(1)).view(np.int64) - 1  # below zero
-                pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-                lone, times = (none, none) if frequent.complete else np.unique(h[w == 0], return_counts=True)
-                parts.append((doc_id, pair, n, np.where(pair < 0, x[at], 0), np.where(pair < 0, y[at], 0), lone, times, len(w), max(0, len(w) - 1), base))
-            if not parts:
-                continue
-            sizes = np.array([[len(p[1]), len(p[5]), 1] for p in parts])
-            order = pa.array(np.concatenate([np.repeat(np.arange(len(parts)), sizes[:, k]) for k in range(3)]))
-            ids = pa.array([p[0] for p in parts], b.schema.field(0).type).take(order)
-            pairs, n, first, word, lone, times = (np.concatenate([p[k] for p in parts]) for k in range(1, 7))
-            a, c, d = sizes.sum(axis=0)
-            no = lambda k: np.zeros(k, np.int64)
-            kind = np.repeat([0, 1, 2], [a, c, d])
-            odd = np.concatenate([pairs < 0, np.zeros(c + d, bool)])
-            yield pa.record_batch([
-                ids,
-                pa.array(np.concatenate([pairs, no(c + d)]), mask=kind > 0),
-                pa.array(np.concatenate([n, times, [p[7] for p in parts]]).astype(np.int64)),
-                pa.array(np.concatenate([first, no(c), [p[8] for p in parts]]).astype(np.int64), mask=~(odd | (kind == 2))),
-                pa.array(np.concatenate([word, lone, no(d)]), mask=~(odd | (kind == 1))),
-                pa.array(np.concatenate([no(a + c).astype(float), [p[9] for p in parts]]), mask=kind < 2),
-            ], names)
+def pack_counts(n: np.ndarray) -> bytes:
+    """A byte each; what does not fit follows in eight."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, pair bigint, n bigint, first bigint, word bigint, value double")
+
+def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<u8", offset=size).astype(np.int64)
+    return n
+
+
+def pack_keys(keys: np.ndarray) -> tuple[bytes, int]:
+    """Sorted 64-bit keys: the first one, then differences with the bytes that the largest of them needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return keys[:1].tobytes() + planes(steps, width), width
 
 
-def scored_rows(batches, known, backoff: float, total: int):
-    """Turn rows of scored pairs, rare words and documents into doc_id, owed, words, value, off.
+def unpack_keys(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), from_planes(data[8:], width, np.uint64)]), dtype=np.uint64)
 
-    owed null: what a row adds to its document. Else value counts how often the logarithm
-    of that rare word's count is owed: once more by each word that backs off, less by
-    each pair that is scored.
-    """
-    names = ["doc_id", "owed", "words", "value", "off"]
-    logs = known.value.logs
+
+CHUNK = "chunk bigint, ids array<{kind}>, sizes binary, words binary, numbers binary"
+
+
+def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
+    """One row for each chunk: doc ids, words in each text, hashes of the words by number, all words as numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        base, made = TaskContext.get().partitionId() << 32, 0
+        number, ids, sizes, numbers, held = _Numbers(), [], [], [], 0
+
+        def out():
+            words = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in number), np.uint64, len(number))
+            flat = np.concatenate([*numbers, np.empty(0, np.uint32)])
+            every = pa.concat_arrays(ids)
+            return pa.record_batch([
+                pa.array([base + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every),
+                pa.array([np.array(sizes, "<u8").tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([planes(flat, 4)], pa.binary()),
+            ], ["chunk", "ids", "sizes", "words", "numbers"])
+
+        for b in sliced(batches):
+            first = 0
+            for at, text in enumerate(b.column(1).to_pylist()):
+                words = words_of(text)
+                numbers.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                sizes.append(len(words))
+                held += len(words)
+                if held >= chunk_words:
+                    ids.append(b.column(0).slice(first, at + 1 - first))
+                    yield out()
+                    number, ids, sizes, numbers, held, first, made = _Numbers(), [], [], [], 0, at + 1, made + 1
+            if first < b.num_rows:
+                ids.append(b.column(0).slice(first))
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, CHUNK.format(kind=kind))
+
+
+class Chunk:
+    """The n-grams of a chunk, of all orders together."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch, at: int, order: int):
+        self.sizes = np.frombuffer(row["sizes"][at].as_py(), "<u8").astype(np.int64)
+        words = np.frombuffer(row["words"][at].as_py(), np.uint64)
+        h = words[from_planes(row["numbers"][at].as_py(), 4, np.uint32)]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.ends, keys, g = [], [], h
+        for k in range(1, order + 1):
+            if k > 1:
+                g = g[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :]
+                g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                g ^= g >> np.uint64(29)
+            inside = self.place[k - 1 :] >= k - 1  # the n-gram does not reach into the text before
+            self.ends.append(np.flatnonzero(inside) + k - 1)
+            keys.append(g[inside])
+        self.keys = np.concatenate(keys)
+
+
+def requests(batches, order: int, ranges: int):
+    """range, chunk, width, keys, n: the distinct n-grams of each chunk and how often it has them."""
     for b in batches:
-        col = {c: b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("pair", "n", "pair_n", "first", "word", "value")}
-        is_pair, has_value = (b.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("pair", "value"))
-        pair, n = col["pair"], col["n"]
-        rare, common = is_pair & (pair < 0), is_pair & (pair >= 0)
-        gain = np.where(is_pair, n * (np.log(np.maximum(col["pair_n"], 1)) - np.log(backoff) + np.log(total)), 0.0)
-        p = np.where(common, pair, 0)
-        gain -= n * (logs[p >> 31] + logs[p & ((1 << 31) - 1)])
-        own = is_pair | has_value
-        alone = np.flatnonzero(~own)
-        at = np.concatenate([np.flatnonzero(own), alone, np.flatnonzero(rare), np.flatnonzero(rare)])
-        main, debts = int(own.sum()), len(at) - int(own.sum())
-        none = np.zeros(debts, np.int64)
-        yield pa.record_batch([
-            b.column("doc_id").take(pa.array(at)),
-            pa.array(np.concatenate([np.zeros(main, np.int64), col["word"][alone], col["first"][rare], col["word"][rare]]), mask=np.arange(len(at)) < main),
-            pa.array(np.concatenate([np.where(has_value, n, 0)[own], none])),
-            pa.array(np.concatenate([np.where(has_value, col["value"], gain)[own], n[alone], -n[rare], -n[rare]]).astype(np.float64)),
-            pa.array(np.concatenate([np.where(has_value, col["first"], -n)[own], none])),
-        ], names)
-
-
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_words, backed_off (words scored by backoff), log_score."""
+        for at in range(b.num_rows):
+            keys, n = np.unique(Chunk(b, at, order).keys, return_counts=True)
+            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            rows = [(r, *pack_keys(keys[s:e]), pack_counts(n[s:e])) for r, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+            part, data, width, counts = zip(*rows) if rows else ([], [], [], [])
+            yield pa.record_batch([
+                pa.array(part, pa.int64()), pa.array([b["chunk"][at].as_py()] * len(rows), pa.int64()), pa.array(width, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary()),
+            ], ["range", "chunk", "width", "keys", "n"])
+
+
+def answer(blocks: pa.Table) -> pa.Table:
+    """range, chunk, others: of the entries of each block, how often all other chunks have them."""
+    keys = [unpack_keys(k, w) for k, w in zip(blocks["keys"].to_pylist(), blocks["width"].to_pylist())]
+    n = [unpack_counts(c, len(k)) for c, k in zip(blocks["n"].to_pylist(), keys)]
+    ends = np.cumsum([len(k) for k in keys])
+    every, count = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(every)
+    sorted_keys = every[order]
+    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+    sums = np.add.reduceat(count[order], np.flatnonzero(new))  # this range of the count tables
+    others = np.empty_like(count)
+    others[order] = sums[np.cumsum(new) - 1]
+    others -= count
+    out = [pack_counts(o) for o in np.split(others, ends[:-1])]
+    return pa.table({"range": blocks["range"], "chunk": blocks["chunk"], "size": pa.array([len(k) for k in keys], pa.int64()), "others": pa.array(out, pa.binary())})
+
+
+def summed(chunk: pa.Table, answers: pa.Table, order: int, backoff: float) -> pa.Table:
+    """doc_id, n_words, backed_off, value, last: scores without the number of all words, by which the last ones are still to be divided."""
+    c = Chunk(chunk.combine_chunks(), 0, order)
+    answers = answers.sort_by("range")
+    keys, entry, n = np.unique(c.keys, return_inverse=True, return_counts=True)
+    others = np.concatenate([np.empty(0, np.int64), *(unpack_counts(o, s) for o, s in zip(answers["others"].to_pylist(), answers["size"].to_pylist()))])
+    count = (others + n)[entry]
+    own = np.ones(len(entry), np.int64)
+    several = np.flatnonzero(n[entry] > 1)
+    docs = np.concatenate([c.doc[e] for e in c.ends])
+    _, pair, times = np.unique(entry[several] * np.int64(len(c.sizes)) + docs[several], return_inverse=True, return_counts=True)
+    own[several] = times[pair]
+    count -= own
+    size = len(c.doc)
+    before = value = backed = None
+    at = 0
+    for k, ends in enumerate(c.ends, 1):
+        now = np.zeros(size, np.int64)
+        now[ends] = count[at : at + len(ends)]
+        at += len(ends)
+        logs = np.log(np.maximum(now, 1))
+        if k == 1:
+            value, last, backed = logs, np.ones(size, np.int64), np.zeros(size, np.int64)
+        else:
+            seen = now[ends] > 0
+            value[ends] = np.where(seen, logs[ends] - before[ends - 1], np.log(backoff) + value[ends])
+            last[ends] &= ~seen
+            backed[ends] = ~seen
+        before = logs
+    sums = [np.bincount(c.doc, v, len(c.sizes)) for v in (backed, value, last)]
+    ids = chunk["ids"].combine_chunks().flatten()
+    return pa.table({"doc_id": ids, "n_words": pa.array(c.sizes), "backed_off": pa.array(sums[0].astype(np.int64)), "value": pa.array(sums[1]), "last": pa.array(sums[2].astype(np.int64))})
+
+
+def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, n_words, backed_off (words whose longest context has not been seen before them elsewhere), log_score."""
     spark = docs.sparkSession
-    small_batches(spark, 10_000, "4m")
-    counts = materialize(word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    repeated = counts.where("n > 1")
-    top = most_frequent(repeated, frequent).toArrow()
-    table_ = Frequent(top.column("word").to_numpy(), top.column("n").to_numpy(), least > 1 and top.num_rows == repeated.count())
-    known = spark.sparkContext.broadcast(table_)
-    rows = pair_rows(docs, known, backoff, total).repartition(partitions(spark), F.coalesce("pair", F.xxhash64("doc_id")))
-    rows = rows.withColumn("pair_n", F.sum("n").over(Window.partitionBy(F.coalesce("pair", F.xxhash64("doc_id")), F.col("pair").isNull())))
-    rows = rows.where(F.col("pair").isNull() | (F.col("pair_n") >= least))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(lambda it: scored_rows(it, known, backoff, total), f"doc_id {kind}, owed bigint, words bigint, value double, off bigint")
-    summed = scored.groupBy("doc_id", "owed").agg(F.sum("words").alias("words"), F.sum("value").alias("value"), F.sum("off").alias("off"))
-    summed = materialize(summed, "scores")
-    rare = counts.select(F.col("word").alias("owed"), F.log("n").alias("log_n"))
-    paid = summed.where("owed is not null").join(rare, "owed").select("doc_id", "words", (F.col("value") * F.col("log_n")).alias("value"), "off")
-    out = summed.where("owed is null").select("doc_id", "words", "value", "off").union(paid).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("off").alias("backed_off"), F.sum("value").alias("value"))
-    return out.select("doc_id", "n_words", "backed_off", F.when(F.col("n_words") > 0, F.round("value", 4)).alias("log_score"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = max(partitions(spark), size * order // range_bytes)
+    every = chunks(docs, chunk_words).repartition(max(partitions(spark), size // range_bytes), "chunk")
+    blocks = every.mapInArrow(lambda it: requests(it, order, ranges), "range bigint, chunk bigint, width int, keys binary, n binary")
+    answers = blocks.groupBy("range").applyInArrow(answer, "range bigint, chunk bigint, size bigint, others binary")
+    out = every.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda left, right: summed(left, right, order, backoff), f"doc_id {kind}, n_words bigint, backed_off bigint, value double, last bigint"
+    )
+    out = materialize(out, "scores")
+    total = out.agg(F.sum("n_words").alias("total"))
+    score = F.col("value") - F.col("last") * F.log(F.col("total"))
+    return out.crossJoin(F.broadcast(total)).select("doc_id", "n_words", "backed_off", F.when(F.col("n_words") > 0, F.round(score, 4)).alias("log_score"))
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,17 +240,23 @@ WITH docs AS (
   SELECT doc_id, row_number() OVER () AS r,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
-words AS (SELECT doc_id, r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
-toks AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS x FROM words),
-c1 AS (SELECT w, count(*) AS n FROM toks GROUP BY w),
-c2 AS (SELECT x, w, count(*) AS n FROM toks WHERE x IS NOT NULL GROUP BY x, w HAVING count(*) >= {LEAST}),
+words AS (SELECT r, unnest(ws) AS z, generate_subscripts(ws, 1) AS i FROM docs),
+toks AS (SELECT *, lag(z) OVER o AS y, lag(z, 2) OVER o AS x FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+d1 AS (SELECT r, z, count(*) AS own, sum(count(*)) OVER (PARTITION BY z) - count(*) AS n FROM toks GROUP BY r, z),
+d2 AS (SELECT r, y, z, sum(count(*)) OVER (PARTITION BY y, z) - count(*) AS n FROM toks WHERE y IS NOT NULL GROUP BY r, y, z),
+d3 AS (SELECT r, x, y, z, sum(count(*)) OVER (PARTITION BY x, y, z) - count(*) AS n FROM toks WHERE x IS NOT NULL GROUP BY r, x, y, z),
 scored AS (
-  SELECT doc_id, toks.x IS NOT NULL AND c2.n IS NULL AS off,
-         CASE WHEN toks.x IS NULL THEN ln(c1.n / (SELECT count(*) FROM toks)) WHEN c2.n IS NOT NULL THEN ln(c2.n / cx.n)
-              ELSE ln({BACKOFF} * c1.n / (SELECT count(*) FROM toks)) END AS s
-  FROM toks JOIN c1 ON c1.w = toks.w LEFT JOIN c1 cx ON cx.w = toks.x LEFT JOIN c2 ON c2.x = toks.x AND c2.w = toks.w)
-SELECT ids.doc_id AS doc_id, count(s)::BIGINT AS n_words, count(*) FILTER (off)::BIGINT AS backed_off, round(sum(s), 4) AS log_score
-FROM (SELECT DISTINCT doc_id FROM documents) ids LEFT JOIN scored ON scored.doc_id IS NOT DISTINCT FROM ids.doc_id GROUP BY ids.doc_id"""
+  SELECT toks.r, (toks.y IS NOT NULL AND d2.n = 0) OR (toks.x IS NOT NULL AND d3.n = 0) AS off,
+         CASE WHEN d3.n > 0 THEN ln(d3.n / cx.n)
+              ELSE CASE WHEN toks.x IS NOT NULL THEN ln({BACKOFF}) ELSE 0 END + CASE WHEN d2.n > 0 THEN ln(d2.n / cy.n)
+              ELSE CASE WHEN toks.y IS NOT NULL THEN ln({BACKOFF}) ELSE 0 END + ln(greatest(d1.n, 1) / (SELECT count(*) FROM toks)) END END AS s
+  FROM toks JOIN d1 ON d1.r = toks.r AND d1.z = toks.z
+  LEFT JOIN d1 cy ON cy.r = toks.r AND cy.z = toks.y
+  LEFT JOIN d2 ON d2.r = toks.r AND d2.y = toks.y AND d2.z = toks.z
+  LEFT JOIN d2 cx ON cx.r = toks.r AND cx.y = toks.x AND cx.z = toks.y
+  LEFT JOIN d3 ON d3.r = toks.r AND d3.x = toks.x AND d3.y = toks.y AND d3.z = toks.z)
+SELECT docs.doc_id AS doc_id, count(s)::BIGINT AS n_words, count(*) FILTER (off)::BIGINT AS backed_off, round(sum(s), 4) AS log_score
+FROM docs LEFT JOIN scored USING (r) GROUP BY docs.r, docs.doc_id"""
 
 QUERIES = {"op2_stupid_backoff": op2_stupid_backoff}
 ORACLES = {"op2_stupid_backoff": ORACLE}

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, small_batches, table
+from tallyloom.llm.common import materialize, sliced, table
 from tallyloom.llm.encoding import encoder, read_vocabulary
 
 LENGTH, WINDOWS, MERGE, END_ID = 2048, 64, 64, 1
@@ -67,7 +67,6 @@ class Windows:
 def pack(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID, length: int = LENGTH, windows: int = WINDOWS, merge: int = MERGE) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     vocab = spark.sparkContext.broadcast(vocabulary)
 
     def rows_of(done, part, whole):
@@ -82,7 +81,7 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID, length: int =
         def batch(rows):
             return pa.record_batch([pa.array(c, pa.int64() if n != "whole" else pa.bool_()) for n, c in zip(names, zip(*rows))], names)
 
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
                 ids = np.append(ids, code.dtype.type(end_id)).astype("<u4")

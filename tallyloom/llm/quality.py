@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import small_batches, table
+from tallyloom.llm.common import sliced, table
 
 PER_CLASS = 1500
 SYMBOLS, STOPS = b"|#$%&*!@^~<>=_+`{}[]/\\", b".,;:'\"?()-"
@@ -200,7 +200,6 @@ def is_held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, quality); the driver gets features of about 2 * per_class documents."""
-    small_batches(docs.sparkSession, 500)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     share = F.lit(0.0)
     for row in usable.groupBy("quality").count().collect():
@@ -210,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(near), "doc_id")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             own, size, counts = line_features(b.column("text").to_pylist())
             ends = np.cumsum(counts)
             parts = [(own[e - c : e].tobytes(), size[e - c : e].tobytes()) for c, e in zip(counts, ends)]
@@ -230,13 +229,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs with quality_score and bad_lines, for every row."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.select(*(F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("quality_score", "bad_lines")))
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("bad_lines", T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             s, bad = shared.value.score(b.column("text").to_pylist())
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64()), pa.array(bad, pa.int64())], [*b.schema.names, "quality_score", "bad_lines"])
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, materialize, runs, small_batches, spanning, table
+from tallyloom.llm.common import components, materialize, runs, sliced, spanning, table
 
 SHINGLE, DISTANCE, SEGMENTS, BLOCK = 3, 3, 2, 2048
 WORDS = 65536
@@ -51,11 +51,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed long) of every row."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1000):
             yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import partitions, small_batches, table
+from tallyloom.llm.common import partitions, sliced, table
 
 K, SHINGLE, SEED = 128, 5, 7
 PART = 100_000  # words of a long text sketched at a time
@@ -124,7 +124,7 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
 
     def lows(batches):
         low: dict[int, int] = {}
-        for b in batches:
+        for b in sliced(batches):
             at = b.column(0).to_numpy()
             for r, x in zip(np.searchsorted(bounds, at, "right").tolist(), at.tolist()):
                 low[r] = min(x, low.get(r, x))
@@ -136,7 +136,7 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
 
     def deal(batches):
         lows_ = np.array(sorted(lend), np.int64)
-        for b in batches:
+        for b in sliced(batches):
             at = b.column("at").to_numpy()
             own = np.searchsorted(bounds, at, "right").astype(np.int64)
             yield pa.record_batch([pa.array(own), pa.array(np.zeros(len(at), bool)), *b.columns], names)
@@ -153,7 +153,6 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
 def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; see the contract in op4."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "contained_in_edited"]
 
@@ -164,7 +163,7 @@ def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
 
     def run(batches):
         waiting = None  # the last row read, while its next one isn't known
-        for b in batches:
+        for b in sliced(batches):
             done = []
             for where, borrowed, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("range", "borrowed", "doc_id", "text"))):
                 if borrowed and (waiting is None or waiting[0] != where):

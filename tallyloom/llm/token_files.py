@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, partitions, shared_dir, small_batches, table
+from tallyloom.llm.common import materialize, partitions, shared_dir, sliced, table
 from tallyloom.llm.encoding import encoder, read_vocabulary
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
@@ -91,7 +91,6 @@ class _Writer:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Write doc_id, text in ascending doc_id order; the manifest: shard, file, n_docs, n_tokens."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     kind = pa.int64()
     vocab = spark.sparkContext.broadcast(vocabulary)
 
@@ -104,7 +103,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int =
         doc_ids, sizes = [], []
         with fs.open_output_stream(mine) as sink:
             w = _Writer(sink, code.dtype, length)
-            for b in batches:
+            for b in sliced(batches):
                 doc_ids += b.column(0).to_pylist()
                 for ids in code.encode(b.column(1).to_pylist()):
                     w.add(np.append(ids, code.dtype.type(end_id)))
@@ -129,7 +128,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("shard", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 f, (fs, path) = TokenFile(file), pafs.FileSystem.from_uri(f"{file}.docs")
                 with fs.open_input_file(path) as source:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -220,26 +221,48 @@ def test_byte_bpe(spark, table):
         assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_stupid_backoff(spark):
-    texts = ["a b a b c", "A b\tc d", "", None, "x"]
-    tokens = [[x.lower() for x in (t or "").split()] for t in texts]
-    one, two = {}, {}
-    for w in tokens:
-        for x in w:
-            one[x] = one.get(x, 0) + 1
-        for p in zip(w, w[1:]):
-            two[p] = two.get(p, 0) + 1
-    n = sum(one.values())
-    for frequent in (100, 1, 0):
-        for row in lm_score.stupid_backoff(documents(spark, texts), frequent=frequent).collect():
-            w = tokens[row["doc_id"]]
-            s = [np.log(one[w[0]] / n)] if w else []
-            off = 0
-            for p in zip(w, w[1:]):
-                off += two[p] < 2
-                s.append(np.log(two[p] / one[p[0]]) if two[p] >= 2 else np.log(0.4 * one[p[1]] / n))
-            assert (row["n_words"], row["backed_off"]) == (len(w), off)
-            assert row["log_score"] == (pytest.approx(sum(s), abs=1e-4) if w else None)
+def backoff_scores(texts, order):
+    """(words, backed off, score) of each text by a model of all others."""
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    grams = [[Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in tokens] for k in range(1, order + 1)]
+    every = [sum(g, Counter()) for g in grams]
+    n = sum(every[0].values())
+    out = []
+    for d, w in enumerate(tokens):
+        count = lambda g: every[len(g) - 1][g] - grams[len(g) - 1][d][g]  # noqa: B023, E731
+        total, off = 0.0, 0
+        for i in range(len(w)):
+            first = max(0, i - order + 1)
+            for at in range(first, i + 1):
+                g = tuple(w[at : i + 1])
+                if at == i:
+                    total += np.log(max(1, count(g)) / n)
+                elif count(g):
+                    total += np.log(count(g) / count(g[:-1]))
+                    break
+                else:
+                    off += at == first
+                    total += np.log(0.4)
+        out.append((len(w), off, total))
+    return out
+
+
+@pytest.mark.parametrize("order,chunk", [(3, 4_000_000), (2, 1), (4, 30), (1, 7)])
+def test_stupid_backoff(spark, order, chunk):
+    r = random.Random(6)
+    texts = ["a b a b c", "A b\tc d", "", None, "x", "a b a b c", "é É \x1f z"] + [" ".join(r.choice("abcdef") for _ in range(r.randrange(12))) for _ in range(60)] + ["a " * 700]
+    want = backoff_scores(texts, order)
+    for row in lm_score.stupid_backoff(documents(spark, texts).repartition(3), order, chunk_words=chunk).collect():
+        n, off, total = want[row["doc_id"]]
+        assert (row["n_words"], row["backed_off"]) == (n, off)
+        assert row["log_score"] == (pytest.approx(total, abs=1e-3) if n else None)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=40, unique=True), st.lists(st.integers(1, 2**40), max_size=40))
+def test_blocks_keep_keys_and_counts(keys, counts):
+    k, n = np.sort(np.array(keys, np.uint64)), np.array(counts, np.int64)
+    assert (lm_score.unpack_keys(*lm_score.pack_keys(k)) == k).all()
+    assert (lm_score.unpack_counts(lm_score.pack_counts(n), len(n)) == n).all()
 
 
 def test_trust_and_distrust_follow_links(spark):
