@@ -14,8 +14,8 @@ frequent n-gram is one entry of a chunk, however many of its documents have it),
 dealt out by ranges of their 64-bit hash. Each range is one part of the count tables:
 its entries are summed by hash, and the sums are joined back to the entries of each
 chunk. Chunks meet their counts by chunk number and sum them by document. Entries
-travel as blocks, one for each chunk and range: sorted hashes as differences, counts as
-bytes. Only the sum of all words comes to the driver. Work and blocks grow in
+travel as compressed blocks, one for each chunk, order and range: sorted hashes as
+differences, counts as bytes. Only the sum of all words comes to the driver. Work and blocks grow in
 proportion to the texts as long as chunks have many more entries than there are ranges;
 raise ``chunk_words`` and ``range_bytes`` together with executor memory (at 100 TB to
 about 60 million and 1 GB).
@@ -34,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """The lowest width bytes of unsigned integers: all first bytes, all second ones, ..."""
     return values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T.tobytes()
@@ -69,10 +78,11 @@ def from_planes(data: bytes, width: int, kind) -> np.ndarray:
 
 def pack_counts(n: np.ndarray) -> bytes:
     """A byte each; what does not fit follows in eight."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
+    return packed(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes())
 
 
 def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    data = unpacked(data)
     n = np.frombuffer(data, np.uint8, size).astype(np.int64)
     n[n == 255] = np.frombuffer(data, "<u8", offset=size).astype(np.int64)
     return n
@@ -82,10 +92,11 @@ def pack_keys(keys: np.ndarray) -> tuple[bytes, int]:
     """Sorted 64-bit keys: the first one, then differences with the bytes that the largest of them needs."""
     steps = np.diff(keys)
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return keys[:1].tobytes() + planes(steps, width), width
+    return packed(keys[:1].tobytes() + planes(steps, width)), width
 
 
 def unpack_keys(data: bytes, width: int) -> np.ndarray:
+    data = unpacked(data)
     return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), from_planes(data[8:], width, np.uint64)]), dtype=np.uint64)
 
 
@@ -106,7 +117,7 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
             every = pa.concat_arrays(ids)
             return pa.record_batch([
                 pa.array([base + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every),
-                pa.array([np.array(sizes, "<u8").tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([planes(flat, 4)], pa.binary()),
+                pa.array([np.array(sizes, "<u8").tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([packed(planes(flat, 4))], pa.binary()),
             ], ["chunk", "ids", "sizes", "words", "numbers"])
 
         for b in sliced(batches):
@@ -129,88 +140,82 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
 
 
 class Chunk:
-    """The n-grams of a chunk, of all orders together."""
+    """The texts of a chunk as hashed words."""
 
-    def __init__(self, row: pa.Table | pa.RecordBatch, at: int, order: int):
+    def __init__(self, row: pa.Table | pa.RecordBatch, at: int):
         self.sizes = np.frombuffer(row["sizes"][at].as_py(), "<u8").astype(np.int64)
         words = np.frombuffer(row["words"][at].as_py(), np.uint64)
-        h = words[from_planes(row["numbers"][at].as_py(), 4, np.uint32)]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.ends, keys, g = [], [], h
+        self.words = words[from_planes(unpacked(row["numbers"][at].as_py()), 4, np.uint32)]
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def ngrams(self, order: int):
+        """For each order from 1: where its n-grams end, and their hashes."""
+        g = self.words
         for k in range(1, order + 1):
             if k > 1:
-                g = g[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :]
+                g = g[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[k - 1 :]
                 g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 g ^= g >> np.uint64(29)
             inside = self.place[k - 1 :] >= k - 1  # the n-gram does not reach into the text before
-            self.ends.append(np.flatnonzero(inside) + k - 1)
-            keys.append(g[inside])
-        self.keys = np.concatenate(keys)
+            yield np.flatnonzero(inside) + k - 1, g[inside]
 
 
 def requests(batches, order: int, ranges: int):
-    """range, chunk, width, keys, n: the distinct n-grams of each chunk and how often it has them."""
+    """range, chunk, width, size, keys, n: the distinct n-grams of each chunk and how often it has them."""
     for b in batches:
         for at in range(b.num_rows):
-            keys, n = np.unique(Chunk(b, at, order).keys, return_counts=True)
-            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-            rows = [(r, *pack_keys(keys[s:e]), pack_counts(n[s:e])) for r, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-            part, data, width, counts = zip(*rows) if rows else ([], [], [], [])
-            yield pa.record_batch([
-                pa.array(part, pa.int64()), pa.array([b["chunk"][at].as_py()] * len(rows), pa.int64()), pa.array(width, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary()),
-            ], ["range", "chunk", "width", "keys", "n"])
+            chunk = b["chunk"][at].as_py()
+            for k, (_, grams) in enumerate(Chunk(b, at).ngrams(order)):
+                keys, n = np.unique(grams, return_counts=True)
+                cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+                rows = [(k * ranges + r, chunk, e - s, *pack_keys(keys[s:e]), pack_counts(n[s:e])) for r, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["range", "chunk", "size", "keys", "width", "n"])
 
 
 def answer(blocks: pa.Table) -> pa.Table:
-    """range, chunk, others: of the entries of each block, how often all other chunks have them."""
+    """range, chunk, size, others: of the entries of each block, how often all other chunks have them."""
     keys = [unpack_keys(k, w) for k, w in zip(blocks["keys"].to_pylist(), blocks["width"].to_pylist())]
-    n = [unpack_counts(c, len(k)) for c, k in zip(blocks["n"].to_pylist(), keys)]
-    ends = np.cumsum([len(k) for k in keys])
-    every, count = np.concatenate(keys), np.concatenate(n)
+    sizes = blocks["size"].to_pylist()
+    count = np.concatenate([unpack_counts(c, size) for c, size in zip(blocks["n"].to_pylist(), sizes)])
+    every = np.concatenate(keys)
     order = np.argsort(every)
-    sorted_keys = every[order]
-    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+    new = np.diff(every[order], prepend=~every[order[0]]) != 0
     sums = np.add.reduceat(count[order], np.flatnonzero(new))  # this range of the count tables
     others = np.empty_like(count)
     others[order] = sums[np.cumsum(new) - 1]
     others -= count
-    out = [pack_counts(o) for o in np.split(others, ends[:-1])]
-    return pa.table({"range": blocks["range"], "chunk": blocks["chunk"], "size": pa.array([len(k) for k in keys], pa.int64()), "others": pa.array(out, pa.binary())})
+    out = [pack_counts(o) for o in np.split(others, np.cumsum(sizes)[:-1])]
+    return pa.table({"range": blocks["range"], "chunk": blocks["chunk"], "size": blocks["size"], "others": pa.array(out, pa.binary())})
 
 
-def summed(chunk: pa.Table, answers: pa.Table, order: int, backoff: float) -> pa.Table:
+def summed(chunk: pa.Table, answers: pa.Table, order: int, ranges: int, backoff: float) -> pa.Table:
     """doc_id, n_words, backed_off, value, last: scores without the number of all words, by which the last ones are still to be divided."""
-    c = Chunk(chunk.combine_chunks(), 0, order)
-    answers = answers.sort_by("range")
-    keys, entry, n = np.unique(c.keys, return_inverse=True, return_counts=True)
-    others = np.concatenate([np.empty(0, np.int64), *(unpack_counts(o, s) for o, s in zip(answers["others"].to_pylist(), answers["size"].to_pylist()))])
-    count = (others + n)[entry]
-    own = np.ones(len(entry), np.int64)
-    several = np.flatnonzero(n[entry] > 1)
-    docs = np.concatenate([c.doc[e] for e in c.ends])
-    _, pair, times = np.unique(entry[several] * np.int64(len(c.sizes)) + docs[several], return_inverse=True, return_counts=True)
-    own[several] = times[pair]
-    count -= own
-    size = len(c.doc)
-    before = value = backed = None
-    at = 0
-    for k, ends in enumerate(c.ends, 1):
-        now = np.zeros(size, np.int64)
-        now[ends] = count[at : at + len(ends)]
-        at += len(ends)
-        logs = np.log(np.maximum(now, 1))
-        if k == 1:
-            value, last, backed = logs, np.ones(size, np.int64), np.zeros(size, np.int64)
+    c = Chunk(chunk.combine_chunks(), 0)
+    size, docs = len(c.words), len(c.sizes)
+    value = backed = last = before = np.zeros(size)
+    answers = sorted(zip(*(answers[x].to_pylist() for x in ("range", "size", "others"))), key=lambda a: a[0])
+    for k, (ends, grams) in enumerate(c.ngrams(order)):
+        _, entry, n = np.unique(grams, return_inverse=True, return_counts=True)
+        count = np.concatenate([np.empty(0, np.int64), *(unpack_counts(o, s) for r, s, o in answers if r // ranges == k)])
+        count = (count + n)[entry] - 1
+        several = np.flatnonzero(n[entry] > 1)
+        _, pair, own = np.unique(entry[several] * np.int64(docs) + c.doc[ends[several]], return_inverse=True, return_counts=True)
+        count[several] -= own[pair] - 1  # what the document itself has
+        logs = np.zeros(size)
+        logs[ends] = np.log(np.maximum(count, 1))
+        if k == 0:
+            value, last, backed = logs.copy(), np.ones(size), np.zeros(size)
         else:
-            seen = now[ends] > 0
+            seen = count > 0
             value[ends] = np.where(seen, logs[ends] - before[ends - 1], np.log(backoff) + value[ends])
-            last[ends] &= ~seen
+            last[ends[seen]] = 0
             backed[ends] = ~seen
         before = logs
-    sums = [np.bincount(c.doc, v, len(c.sizes)) for v in (backed, value, last)]
+    backed, value, last = (np.bincount(c.doc, v, docs) for v in (backed, value, last))
     ids = chunk["ids"].combine_chunks().flatten()
-    return pa.table({"doc_id": ids, "n_words": pa.array(c.sizes), "backed_off": pa.array(sums[0].astype(np.int64)), "value": pa.array(sums[1]), "last": pa.array(sums[2].astype(np.int64))})
+    return pa.table({"doc_id": ids, "n_words": pa.array(c.sizes), "backed_off": pa.array(backed.astype(np.int64)), "value": pa.array(value), "last": pa.array(last.astype(np.int64))})
 
 
 def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -218,12 +223,12 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    ranges = max(partitions(spark), size * order // range_bytes)
+    ranges = max(partitions(spark), size // range_bytes)
     every = chunks(docs, chunk_words).repartition(max(partitions(spark), size // range_bytes), "chunk")
-    blocks = every.mapInArrow(lambda it: requests(it, order, ranges), "range bigint, chunk bigint, width int, keys binary, n binary")
+    blocks = every.mapInArrow(lambda it: requests(it, order, ranges), "range bigint, chunk bigint, size bigint, keys binary, width int, n binary")
     answers = blocks.groupBy("range").applyInArrow(answer, "range bigint, chunk bigint, size bigint, others binary")
     out = every.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda left, right: summed(left, right, order, backoff), f"doc_id {kind}, n_words bigint, backed_off bigint, value double, last bigint"
+        lambda left, right: summed(left, right, order, ranges, backoff), f"doc_id {kind}, n_words bigint, backed_off bigint, value double, last bigint"
     )
     out = materialize(out, "scores")
     total = out.agg(F.sum("n_words").alias("total"))
