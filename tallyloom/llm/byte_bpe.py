@@ -1,43 +1,51 @@
 """Byte-level BPE by Spark higher-order functions.
 
-Texts are cut into pieces (common.PIECE) that encode independently. The frequent
-distinct pieces of the whole corpus, a bounded number of them, are folded once and
-written to the shared folder, where each worker reads them; other
-pieces are folded once for each document that has them. Both go through one column
-expression, bpe(): a fold over the bytes of each match of the splitting pattern that
-merges the leftmost adjacent pair of lowest rank until none has a rank. Ranks come
-from a literal map in the plan, hashed into short buckets.
+Texts are cut into pieces (common.PIECE) that encode independently. Each distinct piece
+of the corpus that occurs more than once is folded once, up to a bounded number of the
+most frequent ones; every worker gets their ids as sorted hashes. A piece that occurs
+once (or, in corpora that exceed the bound, one beyond it) is folded where it stands,
+once for each document. Both go through one column expression, bpe(): all runs of bytes
+of a match that are tokens, in order of their rank, are folded over a bit mask of the
+match's boundaries. A run becomes a token if both its ends still are boundaries and one
+boundary is left between them, which then goes. Ranks come from a literal map in the
+plan, hashed into short buckets.
 
-Decoding concatenates the vocabulary's byte strings.
+One pass in order of rank merges as repeated merging of the lowest pair does, provided
+that every token is the last merge of its own bytes; RankMap makes sure of that.
 
-Python only cuts and assembles: it looks frequent pieces up, leaves holes for the
-others, and after the fold fills the holes and digests the ids. Texts are never
-shuffled; only piece counts are, summed before the shuffle.
+A mask holds a match of 62 bytes. Longer matches (below one in ten thousand in prose)
+are merged in Python with a heap, in n log n, as no array fold over them stays linear.
+
+Decoding concatenates the vocabulary's byte strings, as a column expression.
+
+Texts are never shuffled; only piece counts are, summed before the shuffle.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each; a
-null doc_id is carried along; extra columns are ignored; an empty table gives none.
+null doc_id is carried along; very long texts and words take time in proportion to their
+length (words: and its logarithm); there are no ties, the leftmost of equal pairs merges
+first; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 import json
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
-import pyarrow.fs as pafs
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import PIECE, materialize, sliced, table, write_shared
+from tallyloom.llm.common import PIECE, materialize, sliced, table
 
-FREQUENT, LONGEST = 750_000, 32  # pieces of at most so many characters that a worker holds
+FREQUENT = 1_500_000  # folded pieces that a worker holds, some 25 bytes each
+BITS = 62  # bytes of a match folded as a bit mask
 BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
-HELD = 200_000  # distinct pieces counted before they are passed on
+HELD = 300_000  # distinct pieces that a worker counts or numbers before it starts anew
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -50,6 +58,31 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merge_word(word: bytes, ranks: dict[bytes, int], below: int = NO_RANK) -> list[bytes]:
+    """Parts of a word after all merges of a rank under below, lowest rank first, then leftmost."""
+    n = len(word)
+    after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if 0 <= i and after[i] < n and (rank := ranks.get(word[i : after[after[i]]], NO_RANK)) < below:
+            heapq.heappush(heap, (rank, i, after[after[i]]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        mid = after[i]
+        if gone[i] or mid >= n or after[mid] != end:
+            continue
+        gone[mid], after[i] = 1, end
+        if end < n:
+            before[end] = i
+        offer(i)
+        offer(before[i])
+    return [word[i : after[i]] for i in range(n) if not gone[i]]
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -59,13 +92,15 @@ class RankMap:
     """The ranks as literals of the plan: buckets of keys and of ranks, found by hash."""
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = BUCKETS):
+        if odd := next((t for t, r in ranks.items() if len(t) > 1 and len(merge_word(t, ranks, r)) != 2), None):
+            raise ValueError(f"the token {odd!r} is not the last merge of its own bytes")
         keys: list[list[str]] = [[] for _ in range(buckets)]
         values: list[list[int]] = [[NO_RANK] for _ in range(buckets)]
         for token, rank in ranks.items():
             at = np.int64(np.uint64(xxhash.xxh64_intdigest(token, 42))) % buckets  # as xxhash64() and pmod()
             keys[at].append(base64.b64encode(token).decode())
             values[at].append(rank)
-        self.buckets = buckets
+        self.buckets, self.longest = buckets, max(map(len, ranks), default=1)
         self.keys = F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>")
         self.values = F.from_json(F.lit(json.dumps(values)), "array<array<int>>")
 
@@ -76,51 +111,71 @@ class RankMap:
         return F.element_at(F.element_at(self.values, at), (F.array_position(F.element_at(self.keys, at), token) + 1).cast("int"))
 
 
-def joined(*arrays: Column) -> Column:
-    """Arrays one after the other; flatten() evaluates faster than concat() inside a lambda."""
-    return F.flatten(F.array(*arrays))
-
+def left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
 
-def merged(state: Column, ranks: RankMap) -> Column:
-    """One merge of the leftmost pair of lowest rank; state: parts, and the rank of each pair of neighbours."""
-    p, r = state["parts"], state["ranks"]
 
-    def at(i):
-        def with_new(new):
-            n = F.size(r)
-            left = F.when(i > 1, let(F.concat(F.element_at(p, F.greatest(i - 1, F.lit(1))), new), ranks.rank))
-            right = F.when(i < n, let(F.concat(new, F.try_element_at(p, i + 2)), ranks.rank))
-            return F.struct(
-                joined(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("parts"),
-                F.array_compact(joined(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.array(left, right), F.slice(r, i + 2, n))).alias("ranks"),
-            )
+def right(value: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, by)
 
-        return let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), with_new)
 
-    def step(low):
-        return F.when(F.coalesce(low, F.lit(NO_RANK)) == NO_RANK, state).otherwise(let(F.array_position(r, low).cast("int"), at))
-
-    return let(F.array_min(r), step)
+def merged(mask: Column, run: Column) -> Column:
+    """The mask of boundaries after a run of bytes (rank, start, size) has been tried; bit k stands before byte k."""
+    size, start = run.bitwiseAND(F.lit(63)).cast("int"), F.call_function("shiftright", run, F.lit(6)).bitwiseAND(F.lit(63)).cast("int")
+    one = F.lit(1).cast("bigint")
+    ends = left(one, size) + one
+    inside = right(mask, start).bitwiseAND(left(one, size + 1) - one)
+    return let(inside, lambda seen: F.when((F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends), mask - left(seen - ends, start)).otherwise(mask))
 
 
 def bpe_word(word: Column, ranks: RankMap) -> Column:
-    """Ids (array<int>) of one match of the splitting pattern, given as binary."""
+    """Ids (array<int>) of one match of the splitting pattern, given as binary; null where it is longer than a mask."""
     n = F.length(word)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    start = let(parts, lambda p: F.struct(
-        p.alias("parts"),
-        F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), ranks.rank)).alias("ranks"),
-    ))
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda state, _: merged(state, ranks), lambda state: F.transform(state["parts"], ranks.rank))
-    return let(ranks.rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).otherwise(folded))
+
+    def runs_of(size):
+        def at(start):
+            return let(ranks.rank(F.substring(word, start, size)), lambda rank: F.when(rank < NO_RANK, rank.cast("bigint") * 4096 + (start - 1) * 64 + size))
+
+        return F.transform(F.sequence(F.lit(1), n - size + 1), at)
+
+    known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(ranks.longest))), runs_of))))
+    mask = F.aggregate(known, F.lit(-1).cast("bigint"), merged)
+
+    def ids(mask):
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", mask, k) == 1)
+        # the next boundary is the lowest bit left above this one
+        rest = lambda k: right(mask, k + 1)
+        size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
+        return F.transform(starts, lambda k: ranks.rank(F.substring(word, k + 1, size(k))))
+
+    return let(ranks.rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).when(n <= BITS, let(mask, ids)))
 
 
 def bpe(text: Column, ranks: RankMap, pattern: str) -> Column:
-    """Ids (array<int>) of a string column: each match of pattern is folded separately."""
+    """Ids (array<int>) of a string column: each match of pattern is folded separately; null where one is too long for it."""
     words = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
     return F.flatten(F.transform(words, lambda w: bpe_word(w.cast("binary"), ranks)))
 
 
+def joined(ids: Column, strings: list[bytes]) -> Column:
+    """The byte strings of an array of ids, one after the other (binary)."""
+    table_ = F.from_json(F.lit(json.dumps([s.hex() for s in strings])), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda k: F.element_at(table_, k + 1)), ""))
+
+
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The text's bytes of a column of ids (array<int>)."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return joined(ids, tokens)
+
+
+def little_endian(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """A column of ids as little-endian unsigned 32-bit integers."""
+    return joined(ids, [k.to_bytes(4, "little") for k in range(max(ranks.values(), default=-1) + 1)])
+
+
 def piece_counts(docs: DataFrame) -> DataFrame:
     """piece, n: how often each piece of any text occurs."""
 
@@ -143,7 +198,7 @@ def piece_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_pieces(docs: DataFrame, most: int) -> DataFrame:
-    """The pieces with the highest counts, most of them at most (equal counts stay together)."""
+    """The repeated pieces, most of them at most, those with the highest counts (equal counts stay together)."""
     counts = materialize(piece_counts(docs).where("n > 1"), "counts")
     level = F.floor(F.log2("n") * 16)
     total, cut = 0, 0
@@ -152,87 +207,129 @@ def frequent_pieces(docs: DataFrame, most: int) -> DataFrame:
         if total > most:
             cut = row["level"] + 1
             break
-    return counts.where(level >= cut).where(F.length("piece") <= LONGEST).select("piece")
+    return counts.where(level >= cut).select("piece")
+
+
+def digests(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the pieces' hashes."""
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in pieces), ">u8").reshape(-1, 2)
+    return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint32)
+
+
+class Folded:
+    """Ids of the frequent pieces, found by hash."""
 
+    def __init__(self, rows: pa.Table):
+        key = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        ids = rows["ids"].combine_chunks().take(pa.array(order))
+        self.key, self.check = key[order], rows["check"].to_numpy().view(np.uint32)[order]
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<i4") if len(order) else np.empty(0, "<i4")
+        self.ends = np.cumsum(np.array([0, *pa.compute.binary_length(ids).to_pylist()]) // 4)
 
-_held: dict[str, dict[str, bytes]] = {}
+    def find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids start, and how many there are (0: not among them)."""
+        key, check = digests(pieces)
+        if not len(self.key) or not len(key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = (self.key[at] == key) & (self.check[at] == check)
+        return np.where(there, self.ends[at], 0), np.where(there, self.ends[at + 1] - self.ends[at], 0)
 
 
-def dictionary(uri: str) -> dict[str, bytes]:
-    """The folded frequent pieces, read once by each worker from the shared folder."""
-    if uri not in _held:
-        _held.clear()
-        fs, path = pafs.FileSystem.from_uri(uri)
-        _held[uri] = {}
-        for b in pads.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["piece", "ids"], batch_size=20_000, batch_readahead=1, fragment_readahead=1):
-            ids = b.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = (np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)])) * 4).tolist()
-            _held[uri].update((p, flat[s:e]) for p, s, e in zip(b.column("piece").to_pylist(), ends, ends[1:]))
-    return _held[uri]
+class _Numbers(dict):
+    """Pieces, numbered as they come."""
 
+    def __missing__(self, piece: str) -> int:
+        self[piece] = found = len(self)
+        return found
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+
+def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, size of them, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, ids (array<int>) of every text."""
     spark = docs.sparkSession
     rank_map = RankMap(ranks)
-    folded = write_shared(frequent_pieces(docs, frequent).select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids")), "dictionary")
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    vocab = spark.sparkContext.broadcast(tokens)
     kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches):
+        for b in batches:
+            b = b.filter(b["ids"].is_valid())
+            key, check = digests(b["piece"].to_pylist())
+            ids = [np.array(x, "<i4").tobytes() for x in b["ids"].to_pylist()]
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(ids, pa.binary())], ["key", "check", "ids"])
+
+    folded = frequent_pieces(docs, frequent).repartition("piece").select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids"))
+    known = spark.sparkContext.broadcast(Folded(folded.mapInArrow(packed, "key bigint, check int, ids binary").toArrow()))  # at most `frequent` rows
+    all_ranks = spark.sparkContext.broadcast(ranks)
     names = ["doc_id", "ids", "holes", "which", "rare"]
 
     def look_up(batches):
-        find = dictionary(folded).get
+        number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), known.value
         for b in sliced(batches):
-            ids_of, holes_of, which_of, rare_of = [], [], [], []
-            for text in b.column(1).to_pylist():
-                pieces = PIECE.findall(text) if text else []
-                found = list(map(find, pieces))
-                holes, which, rare = [], [], {}
-                if None in found:
-                    size = 0
-                    for at, ids in enumerate(found):
-                        if ids is None:
-                            holes.append(size)
-                            which.append(rare.setdefault(pieces[at], len(rare)))
-                            found[at] = b""
-                        else:
-                            size += len(ids)
-                ids_of.append(b"".join(found))
-                holes_of.append(holes)
-                which_of.append(which)
-                rare_of.append(list(rare))
-            yield pa.record_batch([b.column(0), pa.array(ids_of, pa.binary()), pa.array(holes_of, pa.list_(pa.int32())), pa.array(which_of, pa.list_(pa.int32())), pa.array(rare_of, pa.list_(pa.string()))], names)
+            if len(number) > HELD:
+                number, start, size = _Numbers(), start[:0], size[:0]
+            before = len(number)
+            numbers = [np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)) for pieces in (PIECE.findall(t) if t else [] for t in b.column(1).to_pylist())]
+            new = list(number)[before:]
+            s, n = table_.find(new)
+            start, size = np.concatenate([start, s]), np.concatenate([size, n])
+            flat = np.concatenate([*numbers, np.empty(0, np.int64)])
+            sizes = size[flat]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids = table_.ids[slices(start[flat], sizes)]
+            cuts = np.cumsum([0, *map(len, numbers)])
+            words, holes_of, which_of, rare_of = None, [], [], []
+            for at, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                gap = np.flatnonzero(sizes[lo:hi] == 0)
+                rare, which = np.unique(numbers[at][gap], return_inverse=True)
+                if len(rare):
+                    words = words or list(number)
+                holes_of.append((ends[lo:hi][gap] - ends[lo]).astype(np.int32))
+                which_of.append(which.astype(np.int32))
+                rare_of.append([words[k] for k in rare.tolist()] if len(rare) else [])
+            offsets = pa.array(ends[cuts].astype(np.int32))
+            yield pa.record_batch([
+                b.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(holes_of, pa.list_(pa.int32())), pa.array(which_of, pa.list_(pa.int32())), pa.array(rare_of, pa.list_(pa.string())),
+            ], names)
 
     def assemble(batches):
-        piece = vocab.value.__getitem__
+        find = regex.compile(pattern)
         for b in sliced(batches):
-            n, ids_sha, text_sha = [], [], []
-            for ids, holes, which, rare in zip(*(b.column(c).to_pylist() for c in names[1:])):
+            out = []
+            for at, (holes, which, rare, folds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("holes", "which", "rare", "folds")))):
+                ids = b["ids"][at].values.to_numpy()
                 if holes:
-                    fills = [np.array(x, "<u4").tobytes() for x in rare]
-                    parts, at = [], 0
-                    for hole, w in zip(holes, which):
-                        parts += (ids[at:hole], fills[w])
-                        at = hole
-                    ids = b"".join([*parts, ids[at:]])
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(piece, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, ids binary, holes array<int>, which array<int>, rare array<string>")
-    whole = cut.withColumn("rare", F.transform("rare", lambda w: bpe(w, rank_map, pattern)))
-    return whole.mapInArrow(assemble, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                    for k, fold in enumerate(folds):
+                        if fold is None:  # longer than a mask
+                            folds[k] = [all_ranks.value[t] for w in find.findall(rare[k]) for t in merge_word(w.encode("utf-8", "surrogatepass"), all_ranks.value)]
+                    sizes = np.fromiter(map(len, folds), np.int64, len(folds))
+                    fills = np.fromiter((x for f in folds for x in f), np.int32, int(sizes.sum()))
+                    which = np.array(which)
+                    starts = np.cumsum(sizes) - sizes
+                    ids = np.insert(ids, np.repeat(holes, sizes[which]), fills[slices(starts[which], sizes[which])])
+                out.append(ids)
+            offsets = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int32)]), pa.int32()))], ["doc_id", "ids"])
+
+    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, ids array<int>, holes array<int>, which array<int>, rare array<string>")
+    whole = cut.withColumn("folds", F.transform("rare", lambda w: bpe(w, rank_map, pattern)))
+    return whole.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_and_decode(table(spark, sf_dir, "documents"), read_ranks(), public_tokenizers.PATTERN)
+    ranks, ids = read_ranks(), F.col("ids")
+    found = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(little_endian(ids, ranks), 256).alias("ids_sha256"), F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256")
+    )
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -22,6 +23,8 @@ from tests.llm.helpers import documents, words
 
 DATA = "/root/testdata/sf0.001"
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+RANKS = byte_bpe.read_ranks()
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
 @pytest.fixture(scope="module")
@@ -208,17 +211,59 @@ def test_token_files(spark, table):
         assert real == m["n_tokens"]
 
 
-def test_byte_bpe(spark, table):
-    ranks = byte_bpe.read_ranks()
-    code = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+@pytest.fixture(scope="module")
+def ranks():
+    return RANKS
+
+
+@pytest.fixture(scope="module")
+def library():
+    return LIBRARY
+
+
+@pytest.mark.parametrize("frequent", [1_500_000, 50, 0])
+def test_byte_bpe(spark, table, ranks, library, frequent):
     r = random.Random(4)
     texts = table["text"][:40] + ["", None] + ["".join(r.choice("abtheé\n\t  .,'s12_<|ñ²日本") for _ in range(r.randrange(30))) for _ in range(200)]
-    got = byte_bpe.encode_and_decode(documents(spark, texts), ranks, public_tokenizers.PATTERN, frequent=50)
+    texts += ["x" * n for n in (61, 62, 63, 64)] + ["".join(r.choice("aeinrst") for _ in range(n)) for n in (60, 61, 62, 63, 64, 500, 500)] + [" " * 90, "1" * 70 + "!" * 63 + "é" * 31 + " " + "é" * 32]
+    got = byte_bpe.encode(documents(spark, texts), ranks, public_tokenizers.PATTERN, frequent=frequent)
+    got = got.withColumns({"text": byte_bpe.decoded("ids", ranks), "raw": byte_bpe.little_endian("ids", ranks)})
     for row in got.collect():
         text = texts[row["doc_id"]] or ""
-        ids = code.encode_ordinary(text)
-        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        ids = library.encode_ordinary(text)
+        assert row["ids"] == ids and bytes(row["text"]) == text.encode() and bytes(row["raw"]) == np.array(ids, "<u4").tobytes()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeinrst0é", min_size=1, max_size=40))
+def test_words_merge_as_the_library_does(word):
+    ids = LIBRARY.encode_ordinary(word)
+    assert [RANKS[t] for w in PATTERN.findall(word) for t in byte_bpe.merge_word(w.encode(), RANKS)] == ids
+
+
+def test_a_word_of_100_000_letters(spark, ranks, library):
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "a" * 100_000]
+    start = time.monotonic()
+    got = {row["doc_id"]: row["ids"] for row in byte_bpe.encode(documents(spark, texts), ranks, public_tokenizers.PATTERN).collect()}
+    assert time.monotonic() - start < 60
+    assert got[0] == library.encode_ordinary(texts[0])
+    assert "".join(library.decode([k]) for k in got[1]) == texts[1] and got[1][:1000] == library.encode_ordinary("a" * 8000)[:1000]
+
+
+def test_letters_that_java_does_not_know(spark, ranks, library):
+    """Code points whose class differs between the regex library and Java 17 (Unicode 13): the ids are the same."""
+    letter = regex.compile(r"\p{L}|\p{N}")
+    newer = [c for c in map(chr, [*range(0x0870, 0x0890), *range(0x10570, 0x105C0), *range(0x12F90, 0x12FF1), *range(0x16A70, 0x16ACA), *range(0x31350, 0x313B0, 3), *range(0x1DF00, 0x1DF1F)]) if letter.match(c)]
+    texts = [f"a{c}b {c}{c}1 日{c}.{c} x" for c in newer]
+    assert len(texts) > 200
+    for row in byte_bpe.encode(documents(spark, texts), ranks, public_tokenizers.PATTERN, frequent=0).collect():
+        assert row["ids"] == library.encode_ordinary(texts[row["doc_id"]])
+
+
+def test_a_vocabulary_must_be_made_of_merges():
+    with pytest.raises(ValueError):
+        byte_bpe.RankMap({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
 
 
 def backoff_scores(texts, order):
