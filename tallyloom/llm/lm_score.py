@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, partitions, sliced, table
 
-BACKOFF, ORDER, CHUNK_WORDS, RANGE_BYTES = 0.4, 3, 4_000_000, 32 << 20
+BACKOFF, ORDER, CHUNK_WORDS, RANGE_BYTES = 0.4, 3, 2_500_000, 32 << 20
 
 
 class _Numbers(dict):
@@ -147,7 +147,7 @@ class Chunk:
         words = np.frombuffer(row["words"][at].as_py(), np.uint64)
         self.words = words[from_planes(unpacked(row["numbers"][at].as_py()), 4, np.uint32)]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.start = np.cumsum(self.sizes) - self.sizes
 
     def ngrams(self, order: int):
         """For each order from 1: where its n-grams end, and their hashes."""
@@ -157,7 +157,10 @@ class Chunk:
                 g = g[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[k - 1 :]
                 g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 g ^= g >> np.uint64(29)
-            inside = self.place[k - 1 :] >= k - 1  # the n-gram does not reach into the text before
+            inside = np.ones(len(g), bool)
+            for back in range(1, k):  # not those that reach into the next text
+                at = self.start - back
+                inside[at[(at >= 0) & (at < len(g))]] = False
             yield np.flatnonzero(inside) + k - 1, g[inside]
 
 
@@ -190,27 +193,42 @@ def answer(blocks: pa.Table) -> pa.Table:
     return pa.table({"range": blocks["range"], "chunk": blocks["chunk"], "size": blocks["size"], "others": pa.array(out, pa.binary())})
 
 
+def elsewhere(grams: np.ndarray, doc: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs outside its document: others, of the distinct ones in order, and those in this chunk's other documents."""
+    order = np.argsort(grams, kind="stable")  # equal n-grams by document, as these follow each other
+    grams, doc = grams[order], doc[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    del grams
+    starts = np.flatnonzero(new)
+    n = np.diff(starts, append=len(new))
+    count = np.repeat(others + n, n)
+    new[1:] |= doc[1:] != doc[:-1]
+    starts = np.flatnonzero(new)
+    n = np.diff(starts, append=len(new))
+    count -= np.repeat(n, n)
+    out = np.empty_like(count)
+    out[order] = count
+    return out
+
+
 def summed(chunk: pa.Table, answers: pa.Table, order: int, ranges: int, backoff: float) -> pa.Table:
     """doc_id, n_words, backed_off, value, last: scores without the number of all words, by which the last ones are still to be divided."""
     c = Chunk(chunk.combine_chunks(), 0)
     size, docs = len(c.words), len(c.sizes)
-    value = backed = last = before = np.zeros(size)
+    value, last, backed, before = np.zeros(size), np.ones(size, bool), np.zeros(size, bool), None
     answers = sorted(zip(*(answers[x].to_pylist() for x in ("range", "size", "others"))), key=lambda a: a[0])
     for k, (ends, grams) in enumerate(c.ngrams(order)):
-        _, entry, n = np.unique(grams, return_inverse=True, return_counts=True)
-        count = np.concatenate([np.empty(0, np.int64), *(unpack_counts(o, s) for r, s, o in answers if r // ranges == k)])
-        count = (count + n)[entry] - 1
-        several = np.flatnonzero(n[entry] > 1)
-        _, pair, own = np.unique(entry[several] * np.int64(docs) + c.doc[ends[several]], return_inverse=True, return_counts=True)
-        count[several] -= own[pair] - 1  # what the document itself has
+        others = np.concatenate([np.empty(0, np.int64), *(unpack_counts(o, s) for r, s, o in answers if r // ranges == k)])
+        count = elsewhere(grams, c.doc[ends], others)
         logs = np.zeros(size)
         logs[ends] = np.log(np.maximum(count, 1))
         if k == 0:
-            value, last, backed = logs.copy(), np.ones(size), np.zeros(size)
+            value[:] = logs
         else:
             seen = count > 0
             value[ends] = np.where(seen, logs[ends] - before[ends - 1], np.log(backoff) + value[ends])
-            last[ends[seen]] = 0
+            last[ends[seen]] = False
             backed[ends] = ~seen
         before = logs
     backed, value, last = (np.bincount(c.doc, v, docs) for v in (backed, value, last))
