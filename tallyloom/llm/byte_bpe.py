@@ -2,7 +2,8 @@
 
 Texts are cut into pieces (common.PIECE) that encode independently. Each distinct piece
 of the corpus that occurs more than once is folded once, up to a bounded number of the
-most frequent ones; every worker gets their ids as sorted hashes. A piece that occurs
+most frequent ones; their ids are written to the shared folder, and every worker holds
+them by sorted hashes. A piece that occurs
 once (or, in corpora that exceed the bound, one beyond it) is folded where it stands,
 once for each document. Both go through one column expression, bpe(): all runs of bytes
 of a match that are tokens, in order of their rank, are folded over a bit mask of the
@@ -35,12 +36,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import PIECE, materialize, sliced, table
+from tallyloom.llm.common import PIECE, file_system, materialize, sliced, table, write_shared
 
 FREQUENT = 1_500_000  # folded pieces that a worker holds, some 25 bytes each
 BITS = 62  # bytes of a match folded as a bit mask
@@ -104,11 +106,15 @@ class RankMap:
         self.keys = F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>")
         self.values = F.from_json(F.lit(json.dumps(values)), "array<array<int>>")
 
-    def rank(self, token: Column) -> Column:
+    def rank(self, token: Column, keys: Column, values: Column) -> Column:
         """Rank of a byte string, NO_RANK if it has none."""
         at = (F.pmod(F.xxhash64(token), F.lit(self.buckets)) + 1).cast("int")
         # position 0 (not found) stands for the first of the bucket's ranks, NO_RANK
-        return F.element_at(F.element_at(self.values, at), (F.array_position(F.element_at(self.keys, at), token) + 1).cast("int"))
+        return F.element_at(F.element_at(values, at), (F.array_position(F.element_at(keys, at), token) + 1).cast("int"))
+
+    def bound(self, use) -> Column:
+        """use(rank), where the literals stand once in the plan however often rank(token) is called."""
+        return let(self.keys, lambda keys: let(self.values, lambda values: use(lambda token: self.rank(token, keys, values))))
 
 
 def left(value: Column, by: Column) -> Column:
@@ -128,17 +134,17 @@ def merged(mask: Column, run: Column) -> Column:
     return let(inside, lambda seen: F.when((F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends), mask - left(seen - ends, start)).otherwise(mask))
 
 
-def bpe_word(word: Column, ranks: RankMap) -> Column:
+def bpe_word(word: Column, rank, longest: int) -> Column:
     """Ids (array<int>) of one match of the splitting pattern, given as binary; null where it is longer than a mask."""
     n = F.length(word)
 
     def runs_of(size):
         def at(start):
-            return let(ranks.rank(F.substring(word, start, size)), lambda rank: F.when(rank < NO_RANK, rank.cast("bigint") * 4096 + (start - 1) * 64 + size))
+            return let(rank(F.substring(word, start, size)), lambda r: F.when(r < NO_RANK, r.cast("bigint") * 4096 + (start - 1) * 64 + size))
 
         return F.transform(F.sequence(F.lit(1), n - size + 1), at)
 
-    known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(ranks.longest))), runs_of))))
+    known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(longest))), runs_of))))
     mask = F.aggregate(known, F.lit(-1).cast("bigint"), merged)
 
     def ids(mask):
@@ -146,15 +152,15 @@ def bpe_word(word: Column, ranks: RankMap) -> Column:
         # the next boundary is the lowest bit left above this one
         rest = lambda k: right(mask, k + 1)
         size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
-        return F.transform(starts, lambda k: ranks.rank(F.substring(word, k + 1, size(k))))
+        return F.transform(starts, lambda k: rank(F.substring(word, k + 1, size(k))))
 
-    return let(ranks.rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).when(n <= BITS, let(mask, ids)))
+    return let(rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).when(n <= BITS, let(mask, ids)))
 
 
 def bpe(text: Column, ranks: RankMap, pattern: str) -> Column:
     """Ids (array<int>) of a string column: each match of pattern is folded separately; null where one is too long for it."""
     words = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: bpe_word(w.cast("binary"), ranks)))
+    return ranks.bound(lambda rank: F.flatten(F.transform(words, lambda w: bpe_word(w.cast("binary"), rank, ranks.longest))))
 
 
 def joined(ids: Column, strings: list[bytes]) -> Column:
@@ -219,13 +225,21 @@ def digests(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Folded:
     """Ids of the frequent pieces, found by hash."""
 
-    def __init__(self, rows: pa.Table):
-        key = rows["key"].to_numpy().view(np.uint64)
+    def __init__(self, uri: str):
+        fs, path = file_system(uri)
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), b"")]
+        for b in pads.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["key", "check", "ids"], batch_readahead=1, fragment_readahead=1):
+            if b.num_rows:
+                ends = np.frombuffer(b["ids"].buffers()[1], np.int32)[b["ids"].offset : b["ids"].offset + b.num_rows + 1]
+                parts.append((b["key"].to_numpy(), b["check"].to_numpy(), np.diff(ends).astype(np.int64) // 4, b["ids"].buffers()[2].to_pybytes()[ends[0] : ends[-1]]))
+        key, check, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        key = key.view(np.uint64)
         order = np.argsort(key)
-        ids = rows["ids"].combine_chunks().take(pa.array(order))
-        self.key, self.check = key[order], rows["check"].to_numpy().view(np.uint32)[order]
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<i4") if len(order) else np.empty(0, "<i4")
-        self.ends = np.cumsum(np.array([0, *pa.compute.binary_length(ids).to_pylist()]) // 4)
+        self.key, self.check = key[order], check.view(np.uint32)[order]
+        starts = (np.cumsum(size) - size)[order]
+        size = size[order]
+        self.ids = np.frombuffer(b"".join(p[3] for p in parts), "<i4")[slices(starts, size)]
+        self.ends = np.concatenate([[0], np.cumsum(size)])
 
     def find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids start, and how many there are (0: not among them)."""
@@ -237,6 +251,17 @@ class Folded:
         return np.where(there, self.ends[at], 0), np.where(there, self.ends[at + 1] - self.ends[at], 0)
 
 
+_held: dict[str, Folded] = {}
+
+
+def held(uri: str) -> Folded:
+    """The folded pieces, read once by each worker from the shared folder."""
+    if uri not in _held:
+        _held.clear()
+        _held[uri] = Folded(uri)
+    return _held[uri]
+
+
 class _Numbers(dict):
     """Pieces, numbered as they come."""
 
@@ -265,12 +290,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(ids, pa.binary())], ["key", "check", "ids"])
 
     folded = frequent_pieces(docs, frequent).repartition("piece").select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids"))
-    known = spark.sparkContext.broadcast(Folded(folded.mapInArrow(packed, "key bigint, check int, ids binary").toArrow()))  # at most `frequent` rows
+    known = write_shared(folded.mapInArrow(packed, "key bigint, check int, ids binary"), "folded")
     all_ranks = spark.sparkContext.broadcast(ranks)
     names = ["doc_id", "ids", "holes", "which", "rare"]
 
     def look_up(batches):
-        number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), known.value
+        number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), held(known)
         for b in sliced(batches):
             if len(number) > HELD:
                 number, start, size = _Numbers(), start[:0], size[:0]

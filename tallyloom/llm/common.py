@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a uri and the path there: pyarrow's own, else through Hadoop's client (libhdfs), as Spark does."""
+    name, _, rest = uri.partition("://")
+    if name in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        host, _, path = rest.partition("/")
+        return pafs.HadoopFileSystem(f"{name}://{host}"), f"/{path}"
+
+
 def write_shared(df: DataFrame, name: str) -> str:
     """Write df once into the shared folder; returns the path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -64,6 +77,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for new columns: those wanted, with underscores behind where docs has one of that name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Views of at most so many rows, which bounds the Python objects made at a time.
 
@@ -79,6 +102,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, size: int = 128 << 20) -> int:
+    """How many partitions keep the texts of each to about size bytes; not fewer than the session has."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // size))
+
+
+def join_keys(rows: DataFrame, table_: DataFrame, keys: Sequence[str], n: str, share: int = 1000) -> DataFrame:
+    """Inner join with a (written) table of one row for each key, whose column n counts the key's rows.
+
+    Keys that have more than a ``share``-th of all rows are fewer than ``share``: they are
+    broadcast, whatever their size, and their rows stay where they are. Of the others no
+    task gets much.
+    """
+    total = table_.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * share > total
+    hot = F.broadcast(table_.where(often))
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(table_.where(~often), list(keys))
+    return rows.join(hot, list(keys)).unionByName(rest)
+
+
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """Connected components of the undirected edges: (node, component).
 
