@@ -233,7 +233,7 @@ def summed(chunk: pa.Table, answers: pa.Table, order: int, ranges: int, backoff:
         before = logs
     backed, value, last = (np.bincount(c.doc, v, docs) for v in (backed, value, last))
     ids = chunk["ids"].combine_chunks().flatten()
-    return pa.table({"doc_id": ids, "n_words": pa.array(c.sizes), "backed_off": pa.array(backed.astype(np.int64)), "value": pa.array(value), "last": pa.array(last.astype(np.int64))})
+    return pa.table({"doc_id": ids, "n_words": pa.array(c.sizes), "backed_off": pa.array(backed.astype(np.int64)), "value": pa.array(value.astype(np.float64)), "last": pa.array(last.astype(np.int64))})
 
 
 def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
