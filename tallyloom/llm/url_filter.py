@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import join_keys, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,21 +102,21 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dam
         "rule": rule_of(F.col("host"), F.col("path"), rules, lambda v, r: r),
         "ruled": rule_of(F.col("host"), F.col("path"), rules, lambda v, r: v),
     })
-    votes = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
+    votes = judged.groupBy("host").agg(F.count_if((F.col("ruled") == "allow") & (F.col("host") != "")).alias("allow"), F.count_if((F.col("ruled") == "block") & (F.col("host") != "")).alias("block"), F.count("*").alias("pages"))
     votes = materialize(votes, "votes")
     edges = materialize(host_edges(pages), "hosts")
     linked = not edges.isEmpty()
-    ranks = votes.select("host")
+    ranks = votes.select("host", "pages")
     for name, vote, turned in (("trust", "allow", edges), ("distrust", "block", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))):
         total = votes.agg(F.sum(vote).alias("total"))
         seeds = votes.where(F.col(vote) > 0).crossJoin(F.broadcast(total)).select("host", (F.col(vote) / F.col("total")).alias("weight"))
         rank = propagate(turned, seeds, damping, settled) if linked else seeds.withColumnRenamed("weight", "rank")  # no links: all rank restarts
         ranks = ranks.join(rank.withColumnRenamed("rank", name), "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    bad = ranks.where(distrust - trust > settled * (distrust + trust)).select("host", F.lit(True).alias("bad"))
-    graph = F.when(F.col("bad"), "block").otherwise("allow")
-    return judged.join(bad, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", graph).alias("verdict"), F.when(F.col("ruled").isNull(), "graph").otherwise("rule").alias("by")
+    bad = (F.col("host") != "") & (distrust - trust > settled * (distrust + trust))
+    ranks = materialize(ranks.select("host", "pages", F.when(bad, "block").otherwise("allow").alias("graph")), "verdicts")
+    return join_keys(judged, ranks, ["host"], "pages").select(
+        "page_id", "host", "path", "rule", F.coalesce("ruled", "graph").alias("verdict"), F.when(F.col("ruled").isNull(), "graph").otherwise("rule").alias("by")
     )
 
 
