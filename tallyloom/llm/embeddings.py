@@ -1,7 +1,7 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors of a label are turned into their principal axes, widest first, which leaves
-cosines as they are. Pairs of blocks are compared at once: leading axes first, the
+Vectors are turned into the principal axes of all vectors of their length, widest first,
+which leaves cosines as they are. Pairs of blocks are compared at once: leading axes first, the
 rest bounded by the product of the suffix norms (Cauchy-Schwarz); a pair is left as
 soon as it can't reach the threshold. What remains is decided on the given components
 in double precision.
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, materialize, runs, sliced, spanning, table
+from tallyloom.llm.common import components, join_keys, materialize, runs, sliced, spanning, table
 
 THRESHOLD, BLOCK, STEPS, BINS = 0.93, 2048, (8, 16, 32), 4
+SPLIT, BYTES = 8, 32 << 20  # blocks that a large bin has at least, bytes that a block has at most
 SLACK = 1e-9  # more than rounding can shift a bound
 
 
@@ -72,17 +73,25 @@ def axes(groups: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]) for d, m in found.items()}
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, axes_: np.ndarray, threshold: float, same: bool, steps=STEPS) -> np.ndarray:
+class Turned:
+    """Vectors on the principal axes, as unit vectors, with the norms of their suffixes."""
+
+    def __init__(self, x: np.ndarray, axes_: np.ndarray):
+        self.x, self.norm = x, np.linalg.norm(x, axis=1)
+        self.p = x / self.norm[:, None] @ axes_
+        tail = np.sqrt(np.maximum(np.cumsum((self.p * self.p)[:, ::-1], axis=1)[:, ::-1], 0))
+        self.tail = np.hstack([tail, np.zeros((len(x), 1))])
+
+    def part(self, at: slice) -> Turned:
+        out = object.__new__(Turned)
+        out.x, out.norm, out.p, out.tail = self.x[at], self.norm[at], self.p[at], self.tail[at]
+        return out
+
+
+def near_pairs(x: Turned, y: Turned, threshold: float, same: bool, steps=STEPS) -> np.ndarray:
     """near[i, j]: cosine of x[i] and y[j] is at least threshold."""
-    def turned(v):
-        u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        p = u @ axes_
-        tail = np.sqrt(np.maximum(np.cumsum((p * p)[:, ::-1], axis=1)[:, ::-1], 0))
-        return p, np.hstack([tail, np.zeros((len(v), 1))])
-
-    a, ta = turned(x)
-    b, tb = (a, ta) if same else turned(y)
-    d, near, at = x.shape[1], np.zeros((len(a), len(b)), bool), 0
+    a, ta, b, tb = x.p, x.tail, y.p, y.tail
+    d, near, at = a.shape[1], np.zeros((len(a), len(b)), bool), 0
     dots = np.zeros((len(a), len(b)))
     rows = cols = None  # the pairs left, once they are few
     for step in [s for s in steps if s < d] + [d]:
@@ -99,14 +108,13 @@ def near_pairs(x: np.ndarray, y: np.ndarray, axes_: np.ndarray, threshold: float
             live = left + ta[rows, step] * tb[cols, step] >= threshold - SLACK
             rows, cols, left = rows[live], cols[live], left[live]
         at = step
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     for lo in range(0, len(rows), 65536):
         i, j = rows[lo : lo + 65536], cols[lo : lo + 65536]
-        near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]) >= threshold
+        near[i, j] = np.einsum("ij,ij->i", x.x[i], y.x[j]) / (x.norm[i] * y.norm[j]) >= threshold
     return near | near.T if same else near
 
 
-def tiles(groups: DataFrame, axes_: dict[int, np.ndarray], threshold: float, block: int, bins: int) -> DataFrame:
+def tiles(groups: DataFrame, axes_: dict[int, np.ndarray], threshold: float, block: int, bins: int, size: int) -> DataFrame:
     """Rows dealt out as block pairs: label, dim, i, j name the pair; side 0 is block i, side 1 block j."""
     width = (np.arccos(threshold) + 1e-7) / bins
 
@@ -124,14 +132,15 @@ def tiles(groups: DataFrame, axes_: dict[int, np.ndarray], threshold: float, blo
     rows = groups.select("label", "dim", "rid", "copies", "embedding").mapInArrow(binned, f"label {kind}, dim int, rid bigint, copies bigint, embedding {item}, bin int")
     rows = materialize(rows, "bins")
     cell = ["label", "dim", "bin"]
-    blocks = materialize(rows.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    most = F.greatest(F.lit(block), F.least(F.col("n") / SPLIT, F.lit(size) / (8 * F.col("dim"))))
+    blocks = materialize(rows.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / most).cast("int")), "blocks")
     # for each bin, the blocks of the bins within reach
     reach = blocks.select("label", "dim", "bin", F.explode(F.sequence(F.lit(-bins), F.lit(bins))).alias("step"))
     reach = reach.withColumn("to", F.col("bin") + F.col("step"))
     to = blocks.select("label", "dim", F.col("bin").alias("to"), "blocks")
     reach = reach.join(to, ["label", "dim", "to"]).groupBy(*cell).agg(F.collect_list(F.struct("to", "blocks")).alias("reach"))  # at most 2 * bins + 1
-    own = blocks.join(reach, cell)
-    dealt = rows.join(own, cell).withColumn("own", F.struct("bin", F.pmod(F.xxhash64("rid"), "blocks").cast("int").alias("block")))
+    own = materialize(blocks.join(reach, cell), "reach")
+    dealt = join_keys(rows, own, cell, "n").withColumn("own", F.struct("bin", F.pmod(F.xxhash64("rid"), "blocks").cast("int").alias("block")))
     other = F.flatten(F.transform("reach", lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["to"].alias("bin"), k.alias("block")))))
     dealt = dealt.select("label", "dim", "rid", "copies", "embedding", "own", F.explode(other).alias("other"))
     return dealt.select(
@@ -140,34 +149,43 @@ def tiles(groups: DataFrame, axes_: dict[int, np.ndarray], threshold: float, blo
     ).select("label", "dim", "i.*", F.col("j.bin").alias("bin2"), F.col("j.block").alias("block2"), "side", "rid", "copies", "embedding")
 
 
-def compare(batches, axes_: dict[int, np.ndarray], threshold: float):
+def compare(batches, axes_: dict[int, np.ndarray], threshold: float, block: int):
     """For each tile: rid and its links (b null), and forest links a, b (n null)."""
     for t in runs(batches, ["label", "dim", "bin", "block", "bin2", "block2"]):
         side, rid, copies = (t.column(c).to_numpy() for c in ("side", "rid", "copies"))
-        x = matrix(t.column("embedding"))
+        x, turn = matrix(t.column("embedding")), axes_[t.column("dim")[0].as_py()]
         same = t.column("bin")[0] == t.column("bin2")[0] and t.column("block")[0] == t.column("block2")[0]
         at, to = side == 0, side == 0 if same else side == 1
         if not at.any() or not to.any():
             continue
-        near = near_pairs(x[at], x[to], axes_[t.column("dim")[0].as_py()], threshold, same)
-        i, j = spanning(near, same)
-        counts = [(rid[at], near @ copies[to])] + ([] if same else [(rid[to], near.T @ copies[at])])
-        ids, n = (np.concatenate(c) for c in zip(*counts))
-        ids, n = ids[n > 0], n[n > 0]
-        a, b = np.concatenate([ids, rid[at][i]]), np.concatenate([ids, rid[to][j]])
-        only = np.arange(len(a)) < len(ids)
-        yield pa.record_batch([
-            pa.array(a), pa.array(b, mask=only), pa.array(np.concatenate([n, np.zeros(len(i), n.dtype)]).astype(np.int64), mask=~only),
-        ], ["a", "b", "n"])
-
-
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bins: int = BINS) -> DataFrame:
+        left = Turned(x[at], turn)
+        right = left if same else Turned(x[to], turn)
+        del x
+        rows, cols, a_rid, b_rid = copies[at], copies[to], rid[at], rid[to]
+        n_left, n_right = np.zeros(len(rows), np.int64), np.zeros(len(cols), np.int64)
+        for i in range(0, len(rows), block):
+            for j in range(i if same else 0, len(cols), block):
+                own = same and i == j
+                a, b = slice(i, i + block), slice(j, j + block)
+                near = near_pairs(left.part(a), right.part(b), threshold, own)
+                if not near.any():
+                    continue
+                n_left[a] += near @ cols[b]
+                if not own:
+                    n_right[b] += near.T @ rows[a]
+                p, q = spanning(near, own)
+                yield pa.record_batch([pa.array(a_rid[a][p]), pa.array(b_rid[b][q]), pa.nulls(len(p), pa.int64())], ["a", "b", "n"])
+        for ids, n in ((a_rid, n_left), (b_rid, n_right)):
+            yield pa.record_batch([pa.array(ids[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0])], ["a", "b", "n"])
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bins: int = BINS, size: int = BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
     groups = distinct_vectors(vectors)
     turn = axes(groups)
     keys = ["label", "dim", "bin", "block", "bin2", "block2"]
-    found = tiles(groups, turn, threshold, block, bins).repartition(*keys).sortWithinPartitions(*keys)
-    found = materialize(found.mapInArrow(lambda it: compare(it, turn, threshold), "a bigint, b bigint, n bigint"), "links")
+    found = tiles(groups, turn, threshold, block, bins, size).repartition(*keys).sortWithinPartitions(*keys)
+    found = materialize(found.mapInArrow(lambda it: compare(it, turn, threshold, block), "a bigint, b bigint, n bigint"), "links")
     links = found.where("n is not null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("links"))
     comps = components(found.where("b is not null"))
     info = groups.join(links, "rid", "left").join(comps, groups.rid == comps.node, "left").select(
