@@ -4,14 +4,20 @@ Features are hashed byte bigrams, trigrams and word beginnings of the lower-case
 as shares of the text's total. A linear one-versus-rest support vector machine for each
 family chooses the family; within a family of several languages, a linear machine for
 each pair of languages votes, and summed margins break ties. All are trained here, by
-dual coordinate descent on a bounded number of labelled documents of each language:
-those with the smallest hash of their id, whatever the size of the corpus.
+dual coordinate descent on a bounded sample of labelled documents: for each of the
+``languages`` most frequent languages at most ``per_language`` documents of more than
+``chars`` characters, those with the smallest hash of their id, whatever the size of the
+corpus.
 
 Whole texts are scored: a score is the mean over all n-grams of the n-grams' weights.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are
 all texts where there is nothing to learn from; a single learned language is predicted
-for every other text; repeated rows are predicted each; extra columns are ignored.
+for every other text; of equal votes and margins, or equal families, the first in the alphabet
+is taken; repeated rows are predicted each; rows with a
+null id are learned from as any; very long texts take time in proportion to their length;
+extra columns are kept, and a new column whose name is taken gets an underscore; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import sliced, table
+from tallyloom.llm.common import free_names, sliced, table
 
 #: Family of a language code; a code that isn't here is its own family.
 FAMILIES = {
@@ -34,7 +40,8 @@ FAMILIES = {
     "slavic": "ru uk pl cs sk bg sr hr sl",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-PER_LANGUAGE, BITS = 500, 12
+PER_LANGUAGE, LANGUAGES, CHARS, BITS = 500, 100, 20, 12
+COLUMNS = ("lang_pred", "lang_score")
 UNKNOWN = "und"
 #: Least lengths of the classes in which scores are compared; the part of learned texts that a floor may lose, and how many a class needs.
 LENGTHS, LOST, SEEN = (20, 50, 100, 200, 400, 800, 1600), 0.005, 100
@@ -125,14 +132,16 @@ def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, languages: int = LANGUAGES, chars: int = CHARS) -> Model:
     """Learn from at most per_language documents of each language (doc_id, text, lang).
 
     Whole texts are turned into vectors where they lie; the driver gets about
-    per_language vectors of 2 ** bits numbers for each language.
+    per_language vectors of 2 ** bits numbers for each language, at most
+    2 * per_language * languages in all.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 20) & ~is_held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > chars) & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    usable = usable.where(F.col("lang").isin(list(counts))) if counts else usable.where("false")
     share = F.lit(1.0)
     for lang, n in counts.items():  # a hash threshold that keeps somewhat more than wanted
         share = F.when(F.col("lang") == lang, min(1.0, 1.2 * per_language / n + 20 / n)).otherwise(share)
@@ -143,9 +152,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -
         for b in sliced(batches):
             yield pa.record_batch([b.column(0), b.column(1), pa.array([vector(t, bits).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["lang", "order", "vector"])
 
-    rows = near.select(F.col("lang").cast("string"), "order", F.col("text").cast("string")).mapInArrow(run, "lang string, order bigint, vector binary").collect()
+    rows = near.select("lang", "order", "text").mapInArrow(run, "lang string, order bigint, vector binary")
+    rows = rows.orderBy("order", "vector").limit(2 * per_language * max(1, len(counts))).collect()
     kept, seen = [], dict.fromkeys(counts, 0)
-    for row in sorted(rows, key=lambda r: (r["order"], bytes(r["vector"]))):
+    for row in rows:
         if seen[row["lang"]] < per_language:
             seen[row["lang"]] += 1
             kept.append(row)
@@ -153,18 +163,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) -
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score, for every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    fields = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in fields))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    """docs with lang_pred and lang_score (or free_names of these), for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = free_names(docs, *COLUMNS)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
         for b in sliced(batches):
             found = [shared.value.predict(t) for t in b.column(text_col).to_pylist()]
             lang, score = zip(*found) if found else ((), ())
-            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
+            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -178,7 +186,7 @@ def floors(docs: DataFrame, model: Model, most: int = 2000) -> dict[int, float]:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 20) & is_held_out(F.col("doc_id")))
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > CHARS) & is_held_out(F.col("doc_id")))
     share = min(1.0, most / max(1, usable.count()))
     some = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(13)), 11) / F.lit(float(1 << 53)) < share)
 

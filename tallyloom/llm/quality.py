@@ -9,13 +9,16 @@ Labels exist for documents only. At first each line takes its document's label;
 once, the lines of bad documents that the field finds good are relabelled, the worst
 line staying bad, and the field is trained again.
 
-It learns from at most ``per_class`` documents of either label, those with the smallest
-hash of their id; whole texts are turned into features where they lie.
+It learns from a bounded sample: at most ``per_class`` documents of either label, those
+with the smallest hash of their id, and only from documents of at most ``lines`` lines.
+Whole texts are turned into features where they lie; all texts are scored whole.
 
 Defined results: null, empty and blank texts have score 0 (bad); repeated rows are
-scored each; a document with both labels counts with each; null labels are left
-out; with no label, or only one value of it, to learn from, every text that isn't blank
-scores 1 (0 where the only value is 0); extra columns are kept.
+scored each; a document with both labels counts with each; null labels and null ids are
+not learned from; equal hashes are ordered by their features; with no label, or only one
+value of it, to learn from, every text that isn't blank scores 1 (0 where the only value
+is 0); very long texts take time in proportion to their lines; extra columns are kept,
+and a new column whose name is taken gets an underscore; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import sliced, table
+from tallyloom.llm.common import free_names, sliced, table
 
-PER_CLASS = 1500
+PER_CLASS, LINES = 1500, 1000
+COLUMNS = ("quality_score", "bad_lines")
 SYMBOLS, STOPS = b"|#$%&*!@^~<>=_+`{}[]/\\", b".,;:'\"?()-"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "stop", "high", "mark")
 
@@ -45,7 +49,7 @@ def _class_table() -> np.ndarray:
 
 
 ONE_HOT = _class_table()
-OWN = 16  # features of a line itself
+OWN = 17  # features of a line itself
 SIZE = 3 * OWN
 
 
@@ -78,7 +82,7 @@ def line_features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray,
     share = kinds / np.maximum(1, size)[:, None]
     own = np.stack([
         np.ones(len(lines)), np.log1p(size) / 5, kinds[:, 1] / letters, (kinds[:, 1] > 0.5 * letters), share[:, 2], share[:, 3], share[:, 4], np.minimum(1, kinds[:, 4] / n),
-        share[:, 5], share[:, 6], kinds[:, 7] / n, np.log1p(n) / 4, np.minimum(3, size / n / 6), 1 - distinct / n, again / n, twice + 0.5 * closed,
+        share[:, 5], share[:, 6], kinds[:, 7] / n, np.log1p(n) / 4, np.minimum(3, size / n / 6), 1 - distinct / n, again / n, twice, closed,
     ], axis=1)
     return own.astype(np.float32), size, np.array(counts, np.int64)
 
@@ -198,8 +202,11 @@ def is_held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    """Learn from docs (doc_id, text) and labels (doc_id, quality); the driver gets features of about 2 * per_class documents."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lines: int = LINES) -> QualityModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, quality).
+
+    The driver gets features of at most 4 * per_class rows of at most lines lines, 68 bytes a line.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     share = F.lit(0.0)
     for row in usable.groupBy("quality").count().collect():
@@ -212,13 +219,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
         for b in sliced(batches):
             own, size, counts = line_features(b.column("text").to_pylist())
             ends = np.cumsum(counts)
-            parts = [(own[e - c : e].tobytes(), size[e - c : e].tobytes()) for c, e in zip(counts, ends)]
+            at = np.flatnonzero((counts > 0) & (counts <= lines))
+            b = b.take(pa.array(at))
+            parts = [(own[e - c : e].tobytes(), size[e - c : e].tobytes()) for c, e in zip(counts[at], ends[at])]
             yield pa.record_batch([b.column("order"), b.column("quality").cast(pa.int32()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["order", "quality", "own", "size"])
 
-    found = rows.select("order", "quality", "text").mapInArrow(run, "order bigint, quality int, own binary, size binary").collect()
+    found = rows.select("order", "quality", "text").mapInArrow(run, "order bigint, quality int, own binary, size binary")
+    # repeated rows of an id have one hash, so that only their number is unknown before
+    found = found.orderBy("order", "quality", "own", "size").limit(4 * per_class).collect()
     kept, seen = [], {0: 0, 1: 0}
-    for row in sorted(found, key=lambda r: (r["order"], r["quality"], bytes(r["own"]))):
-        if seen[row["quality"]] < per_class and len(row["size"]):
+    for row in found:
+        if seen[row["quality"]] < per_class:
             seen[row["quality"]] += 1
             kept.append(row)
     own = np.frombuffer(b"".join(r["own"] for r in kept), np.float32).reshape(-1, OWN)
@@ -227,16 +238,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with quality_score and bad_lines, for every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    docs = docs.select(*(F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("quality_score", "bad_lines")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("bad_lines", T.LongType())])
+    """docs with quality_score and bad_lines (or free_names of these), for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = free_names(docs, *COLUMNS)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
 
     def run(batches):
         for b in sliced(batches):
             s, bad = shared.value.score(b.column("text").to_pylist())
-            yield pa.record_batch([*b.columns, pa.array(s, pa.float64()), pa.array(bad, pa.int64())], [*b.schema.names, "quality_score", "bad_lines"])
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64()), pa.array(bad, pa.int64())], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
