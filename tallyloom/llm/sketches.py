@@ -14,8 +14,9 @@ the next, the last with the first. Texts move once, dealt into ranges of doc_id;
 range also gets the first document of the one after it.
 
 Defined results: null text counts as empty; a null doc_id comes before all others; rows
-with one doc_id follow each other in order of text; a single row is its own next one;
-extra columns are ignored; an empty table gives none.
+with one doc_id follow each other in order of text, in one range; a single row is its own
+next one; very long texts are sketched whole, in parts; ids are integers; extra columns
+are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import partitions, sliced, table
+from tallyloom.llm.common import parts_for, sliced, table
 
 K, SHINGLE, SEED = 128, 5, 7
 PART = 100_000  # words of a long text sketched at a time
@@ -152,7 +153,6 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
 
 def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; see the contract in op4."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "contained_in_edited"]
 
@@ -177,8 +177,8 @@ def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
 
     types = [None, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, contained_in_edited double"
-    types[0] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    return dealt_in_order(docs, partitions(spark)).mapInArrow(run, schema)
+    types[0] = {"bigint": pa.int64(), "int": pa.int32()}.get(kind)
+    return dealt_in_order(docs, parts_for(docs)).mapInArrow(run, schema)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Documents are dealt out by range of doc_id and sorted; each partition encodes it
 and writes one Arrow IPC file whose record batches hold two fixed-size lists, ``ids``
 (16 bits where the vocabulary allows) and ``mask`` (false on the padding of a file's
 last sequence). Sequence k of a file is row k % BATCH of batch k // BATCH: mapped into
-memory, any sequence is read without a copy. A second small file has each document's
+memory, any sequence and its mask (packed bits, as Arrow has them) is read without a copy.
+Ranges are sized by bytes. A second small file has each document's
 place. A file appears under its name only when complete, and a task that runs again
 writes the same bytes; a manifest lists the files.
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, partitions, shared_dir, sliced, table
+from tallyloom.llm.common import file_system, materialize, parts_for, partitions, shared_dir, sliced, table
 from tallyloom.llm.encoding import encoder, read_vocabulary
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
@@ -35,19 +36,26 @@ class TokenFile:
     """Random access to the sequences of one file; local files are mapped, not read."""
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of batch k, one row for each sequence."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """ids of batch k, one row for each sequence, and the mask of all its ids one after the other; both are views."""
         b = self.reader.get_batch(k)
-        return b.column(0).flatten().to_numpy().reshape(-1, self.length), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length)
+        return b.column(0).flatten().to_numpy().reshape(-1, self.length), b.column(1).flatten()
 
     def sequence(self, k: int) -> np.ndarray:
+        """The ids of sequence k, a view."""
         return self.reader.get_batch(k // BATCH).column(0)[k % BATCH].values.to_numpy()
 
+    def mask(self, k: int) -> np.ndarray:
+        """The mask of sequence k as packed bits, lowest first (numpy.unpackbits, bitorder="little"), a view."""
+        bits = self.reader.get_batch(k // BATCH).column(1).values
+        start = (bits.offset + k % BATCH * self.length) // 8
+        return np.frombuffer(bits.buffers()[1], np.uint8)[start : start + self.length // 8]
+
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop of the file's unpadded stream."""
         step = self.length * BATCH
@@ -96,7 +104,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int =
 
     def run(batches):
         shard, code = TaskContext.get().partitionId(), encoder(vocab.value)
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:06d}.arrow"
         mine = f"{name}.{uuid.uuid4().hex}"
@@ -117,7 +125,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int =
         yield pa.record_batch([[shard], [f"{folder}/shard-{shard:06d}.arrow"], [len(sizes)], [w.total]], ["shard", "file", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(run, "shard bigint, file string, n_docs bigint, n_tokens bigint"), "manifest")
 
 
@@ -130,7 +138,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for b in sliced(batches):
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
-                f, (fs, path) = TokenFile(file), pafs.FileSystem.from_uri(f"{file}.docs")
+                f, (fs, path) = TokenFile(file), file_system(f"{file}.docs")
                 with fs.open_input_file(path) as source:
                     places = pa.ipc.open_file(source).read_all()
                 for part in places.to_batches(max_chunksize=10_000):
