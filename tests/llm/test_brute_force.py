@@ -103,8 +103,8 @@ def test_simhash(spark, monkeypatch, block):
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in range(len(fps))}
 
 
-@pytest.mark.parametrize("block,bins", [(2048, 4), (16, 2)])
-def test_embeddings(spark, block, bins):
+@pytest.mark.parametrize("block,bins,size", [(2048, 4, 1 << 25), (16, 2, 1 << 10), (8, 4, 1 << 25)])
+def test_embeddings(spark, block, bins, size):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 24))
     x = np.vstack([base[i % 12] + rng.normal(size=24) * rng.choice([0, 0.1, 0.3]) for i in range(160)]).astype(np.float32)
@@ -114,7 +114,7 @@ def test_embeddings(spark, block, bins):
     cos = d @ d.T / np.outer(np.linalg.norm(d, axis=1), np.linalg.norm(d, axis=1))
     near = (cos >= 0.93) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(160, dtype=bool)
     want = groups(160, list(zip(*np.nonzero(near))))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(v, block=block, bins=bins).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(v, block=block, bins=bins, size=size).collect()}
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(160)}
     assert near.sum() > 100
 
@@ -203,11 +203,14 @@ def test_token_files(spark, table):
         real = 0
         for k in range(f.reader.num_record_batches):
             ids, mask = f.batch(k)
-            real += int(mask.sum())
+            real += mask.true_count
             assert (ids[0] == f.sequence(k * token_files.BATCH)).all() and ids.shape[1] == 2048
+            for row in range(len(ids)):
+                bits = np.unpackbits(f.mask(k * token_files.BATCH + row), bitorder="little")
+                assert bits.tolist() == mask[row * 2048 : row * 2048 + 2048].to_numpy(zero_copy_only=False).tolist()
             before = pa.total_allocated_bytes()
-            f.sequence(k * token_files.BATCH)
-            assert pa.total_allocated_bytes() == before  # a view of the mapped file
+            views = f.sequence(k * token_files.BATCH), f.mask(k * token_files.BATCH), *f.batch(k)
+            assert pa.total_allocated_bytes() == before and not views[0].flags.owndata and not views[1].flags.owndata  # views of the mapped file
         assert real == m["n_tokens"]
 
 
