@@ -1,9 +1,12 @@
 """Text functions that Spark lacks, as vectorised Python functions."""
 
+import html
 import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -18,9 +21,25 @@ def is_doubled(token: str) -> bool:
     return same == len(token) // 2 or (same >= PAIRS and same >= SHARE * (len(token) // 2))
 
 
+#: Glyphs that stand for two letters, which are then doubled as a pair.
+UNITS = ("fi", "fl", "ff", "ft", "Th", "th")
+
+
 def repair(token: str) -> str:
-    """Every other letter of a token whose letters all come in pairs."""
-    return token[::2] if len(token) % 2 == 0 and token[::2] == token[1::2] else token
+    """A token read as doubled letters and doubled pairs of UNITS throughout; as it is if it can't be.
+
+    From the end, each position knows whether the rest can be read, and how it begins.
+    """
+    n = len(token)
+    if n < 4 or n % 2:
+        return token
+    rest: list[str | None] = [None] * n + [""]
+    for i in range(n - 2, -1, -1):
+        if token[i] == token[i + 1] and rest[i + 2] is not None:
+            rest[i] = token[i] + rest[i + 2]
+        elif token[i : i + 2] in UNITS and token[i : i + 2] == token[i + 2 : i + 4] and rest[i + 4] is not None:
+            rest[i] = token[i : i + 2] + rest[i + 4]
+    return token if rest[0] is None else rest[0]
 
 
 @pandas_udf(T.IntegerType())
@@ -30,7 +49,7 @@ def doubled_glyphs(text: pd.Series) -> pd.Series:
 
 @pandas_udf(T.StringType())
 def doubled_repaired(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: next((repair(x) for x in t.split() if is_doubled(x)), None))
+    return text.map(lambda t: re.sub(r"\S+", lambda m: repair(m[0]), t))
 
 
 @pandas_udf(T.StringType())
@@ -43,3 +62,16 @@ def normal_answer(text: pd.Series) -> pd.Series:
 def nfc(text: pd.Series) -> pd.Series:
     """NFC, with control and private characters as spaces."""
     return text.map(lambda t: None if t is None else "".join(" " if unicodedata.category(c)[0] == "C" and c != "\n" else c for c in unicodedata.normalize("NFC", t)))
+
+
+@pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Text with its HTML character references resolved."""
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def ligatures(text: Column) -> Column:
+    """Latin ligatures as letters."""
+    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st")):
+        text = F.replace(text, F.lit(sign), F.lit(letters))
+    return text
