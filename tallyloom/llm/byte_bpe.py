@@ -14,8 +14,8 @@ plan, hashed into short buckets.
 One pass in order of rank merges as repeated merging of the lowest pair does, provided
 that every token is the last merge of its own bytes; RankMap makes sure of that.
 
-A mask holds a match of 62 bytes. Longer matches (below one in ten thousand in prose)
-are merged in Python with a heap, in n log n, as no array fold over them stays linear.
+A mask holds 62 bytes. Longer pieces (long words, URLs, keys) are merged in Python with a
+heap, in n log n, as no array fold over them stays linear.
 
 Decoding concatenates the vocabulary's byte strings, as a column expression.
 
@@ -91,30 +91,25 @@ def let(value: Column, use) -> Column:
 
 
 class RankMap:
-    """The ranks as literals of the plan: buckets of keys and of ranks, found by hash."""
+    """The ranks as a literal of the plan: small maps from byte strings to ranks, found by hash.
+
+    A byte string is a string of the characters with its bytes' code points.
+    """
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = BUCKETS):
         if odd := next((t for t, r in ranks.items() if len(t) > 1 and len(merge_word(t, ranks, r)) != 2), None):
             raise ValueError(f"the token {odd!r} is not the last merge of its own bytes")
-        keys: list[list[str]] = [[] for _ in range(buckets)]
-        values: list[list[int]] = [[NO_RANK] for _ in range(buckets)]
+        maps: list[dict[str, int]] = [{} for _ in range(buckets)]
         for token, rank in ranks.items():
-            at = np.int64(np.uint64(xxhash.xxh64_intdigest(token, 42))) % buckets  # as xxhash64() and pmod()
-            keys[at].append(base64.b64encode(token).decode())
-            values[at].append(rank)
+            key = token.decode("latin-1")
+            at = np.int64(np.uint64(xxhash.xxh64_intdigest(key.encode(), 42))) % buckets  # as xxhash64() and pmod()
+            maps[at][key] = rank
         self.buckets, self.longest = buckets, max(map(len, ranks), default=1)
-        self.keys = F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>")
-        self.values = F.from_json(F.lit(json.dumps(values)), "array<array<int>>")
-
-    def rank(self, token: Column, keys: Column, values: Column) -> Column:
-        """Rank of a byte string, NO_RANK if it has none."""
-        at = (F.pmod(F.xxhash64(token), F.lit(self.buckets)) + 1).cast("int")
-        # position 0 (not found) stands for the first of the bucket's ranks, NO_RANK
-        return F.element_at(F.element_at(values, at), (F.array_position(F.element_at(keys, at), token) + 1).cast("int"))
+        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
     def bound(self, use) -> Column:
-        """use(rank), where the literals stand once in the plan however often rank(token) is called."""
-        return let(self.keys, lambda keys: let(self.values, lambda values: use(lambda token: self.rank(token, keys, values))))
+        """use(rank), where rank(token) is null for what is no token; the literal stands once in the plan."""
+        return let(self.maps, lambda maps: use(lambda token: F.element_at(F.get(maps, F.pmod(F.xxhash64(token), F.lit(self.buckets))), token)))
 
 
 def left(value: Column, by: Column) -> Column:
@@ -135,14 +130,11 @@ def merged(mask: Column, run: Column) -> Column:
 
 
 def bpe_word(word: Column, rank, longest: int) -> Column:
-    """Ids (array<int>) of one match of the splitting pattern, given as binary; null where it is longer than a mask."""
+    """Ids (array<int>) of one match of the splitting pattern, given as a byte string of at most BITS bytes."""
     n = F.length(word)
 
     def runs_of(size):
-        def at(start):
-            return let(rank(F.substring(word, start, size)), lambda r: F.when(r < NO_RANK, r.cast("bigint") * 4096 + (start - 1) * 64 + size))
-
-        return F.transform(F.sequence(F.lit(1), n - size + 1), at)
+        return F.transform(F.sequence(F.lit(1), n - size + 1), lambda start: rank(F.substring(word, start, size)).cast("bigint") * 4096 + (start - 1) * 64 + size)
 
     known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(longest))), runs_of))))
     mask = F.aggregate(known, F.lit(-1).cast("bigint"), merged)
@@ -154,19 +146,19 @@ def bpe_word(word: Column, rank, longest: int) -> Column:
         size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
         return F.transform(starts, lambda k: rank(F.substring(word, k + 1, size(k))))
 
-    return let(rank(word), lambda whole: F.when((whole < NO_RANK) | (n < 2), F.array(whole)).when(n <= BITS, let(mask, ids)))
+    return let(rank(word), lambda whole: F.when(whole.isNotNull() | (n < 2), F.array(whole)).otherwise(let(mask, ids)))
 
 
 def bpe(text: Column, ranks: RankMap, pattern: str) -> Column:
-    """Ids (array<int>) of a string column: each match of pattern is folded separately; null where one is too long for it."""
+    """Ids (array<int>) of a string column of at most BITS bytes: each match of pattern is folded separately."""
     words = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return ranks.bound(lambda rank: F.flatten(F.transform(words, lambda w: bpe_word(w.cast("binary"), rank, ranks.longest))))
+    return ranks.bound(lambda rank: F.flatten(F.transform(words, lambda w: bpe_word(F.decode(w.cast("binary"), "ISO-8859-1"), rank, ranks.longest))))
 
 
 def joined(ids: Column, strings: list[bytes]) -> Column:
     """The byte strings of an array of ids, one after the other (binary)."""
     table_ = F.from_json(F.lit(json.dumps([s.hex() for s in strings])), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda k: F.element_at(table_, k + 1)), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda k: F.get(table_, k)), ""))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -213,7 +205,7 @@ def frequent_pieces(docs: DataFrame, most: int) -> DataFrame:
         if total > most:
             cut = row["level"] + 1
             break
-    return counts.where(level >= cut).select("piece")
+    return counts.where(level >= cut).where(F.octet_length("piece") <= BITS).select("piece")
 
 
 def digests(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +276,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
 
     def packed(batches):
         for b in batches:
-            b = b.filter(b["ids"].is_valid())
             key, check = digests(b["piece"].to_pylist())
             ids = [np.array(x, "<i4").tobytes() for x in b["ids"].to_pylist()]
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(ids, pa.binary())], ["key", "check", "ids"])
@@ -292,7 +283,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     folded = frequent_pieces(docs, frequent).repartition("piece").select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids"))
     known = write_shared(folded.mapInArrow(packed, "key bigint, check int, ids binary"), "folded")
     all_ranks = spark.sparkContext.broadcast(ranks)
-    names = ["doc_id", "ids", "holes", "which", "rare"]
+    names = ["doc_id", "parts", "which", "rare", "merged"]
+
+    def long_word(piece: str) -> list[int] | None:
+        if len(piece.encode("utf-8", "surrogatepass")) <= BITS:
+            return None
+        return [all_ranks.value[t] for w in regex.findall(pattern, piece) for t in merge_word(w.encode("utf-8", "surrogatepass"), all_ranks.value)]
 
     def look_up(batches):
         number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), held(known)
@@ -301,50 +297,36 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
                 number, start, size = _Numbers(), start[:0], size[:0]
             before = len(number)
             numbers = [np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)) for pieces in (PIECE.findall(t) if t else [] for t in b.column(1).to_pylist())]
-            new = list(number)[before:]
-            s, n = table_.find(new)
+            every = list(number)
+            s, n = table_.find(every[before:])
             start, size = np.concatenate([start, s]), np.concatenate([size, n])
             flat = np.concatenate([*numbers, np.empty(0, np.int64)])
             sizes = size[flat]
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = table_.ids[slices(start[flat], sizes)]
             cuts = np.cumsum([0, *map(len, numbers)])
-            words, holes_of, which_of, rare_of = None, [], [], []
+            stops, last, which_of, rare_of, merged_of = [np.zeros(1, np.int64)], [0], [], [], []
             for at, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 gap = np.flatnonzero(sizes[lo:hi] == 0)
-                rare, which = np.unique(numbers[at][gap], return_inverse=True)
-                if len(rare):
-                    words = words or list(number)
-                holes_of.append((ends[lo:hi][gap] - ends[lo]).astype(np.int32))
-                which_of.append(which.astype(np.int32))
-                rare_of.append([words[k] for k in rare.tolist()] if len(rare) else [])
-            offsets = pa.array(ends[cuts].astype(np.int32))
+                distinct, which = np.unique(numbers[at][gap], return_inverse=True)
+                pieces = [every[k] for k in distinct.tolist()]
+                long_ = [long_word(p) for p in pieces]
+                short = np.array([x is None for x in long_], bool)
+                place = np.where(short, np.cumsum(short) - 1, short.sum() + np.cumsum(~short) - 1)
+                stops += [ends[lo:hi][gap], ends[hi : hi + 1]]
+                last.append(last[-1] + len(gap) + 1)
+                which_of.append(np.append(place[which], -1).astype(np.int32))
+                rare_of.append([p for p, x in zip(pieces, long_) if x is None])
+                merged_of.append([x for x in long_ if x is not None])
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate(stops).astype(np.int32)), pa.array(table_.ids[slices(start[flat], sizes)], pa.int32()))
             yield pa.record_batch([
-                b.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(holes_of, pa.list_(pa.int32())), pa.array(which_of, pa.list_(pa.int32())), pa.array(rare_of, pa.list_(pa.string())),
+                b.column(0), pa.ListArray.from_arrays(pa.array(last, pa.int32()), parts), pa.array(which_of, pa.list_(pa.int32())), pa.array(rare_of, pa.list_(pa.string())), pa.array(merged_of, pa.list_(pa.list_(pa.int32()))),
             ], names)
 
-    def assemble(batches):
-        find = regex.compile(pattern)
-        for b in sliced(batches):
-            out = []
-            for at, (holes, which, rare, folds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("holes", "which", "rare", "folds")))):
-                ids = b["ids"][at].values.to_numpy()
-                if holes:
-                    for k, fold in enumerate(folds):
-                        if fold is None:  # longer than a mask
-                            folds[k] = [all_ranks.value[t] for w in find.findall(rare[k]) for t in merge_word(w.encode("utf-8", "surrogatepass"), all_ranks.value)]
-                    sizes = np.fromiter(map(len, folds), np.int64, len(folds))
-                    fills = np.fromiter((x for f in folds for x in f), np.int32, int(sizes.sum()))
-                    which = np.array(which)
-                    starts = np.cumsum(sizes) - sizes
-                    ids = np.insert(ids, np.repeat(holes, sizes[which]), fills[slices(starts[which], sizes[which])])
-                out.append(ids)
-            offsets = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int32)]), pa.int32()))], ["doc_id", "ids"])
-
-    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, ids array<int>, holes array<int>, which array<int>, rare array<string>")
-    whole = cut.withColumn("folds", F.transform("rare", lambda w: bpe(w, rank_map, pattern)))
-    return whole.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
+    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, parts array<array<int>>, which array<int>, rare array<string>, merged array<array<int>>")
+    # between the parts that were looked up stand the rare pieces, each folded once for the document
+    folds = F.concat(F.transform("rare", lambda w: bpe(w, rank_map, pattern)), "merged")
+    ids = let(folds, lambda f: F.flatten(F.zip_with("parts", "which", lambda p, k: F.when(k < 0, p).otherwise(F.concat(p, F.get(f, k))))))
+    return cut.select("doc_id", ids.alias("ids"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
