@@ -10,22 +10,42 @@ from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.groups import fold_groups
+from tallyloom.operators.layout import exchanges
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
 
 def nearest_greedy(left: list[float], right: list[float], tolerance: float) -> list[int]:
-    """For each of left in order the nearest free one of right within tolerance, ties by position; else -1."""
-    free, out = set(range(len(right))), []
+    """For each of left in order the nearest free one of right (ascending) within tolerance, ties by position; else -1.
+
+    Taken ones are skipped by links to the next free one on either side.
+    """
+    n = len(right)
+    up, down = list(range(n + 1)), list(range(n + 1))  # next free at or after i; at or before i - 1, as i
+
+    def find(link: list[int], i: int) -> int:
+        while link[i] != i:
+            link[i] = link[link[i]]
+            i = link[i]
+        return i
+
+    out = []
     for x in left:
-        best = min(free, key=lambda j: (abs(right[j] - x), j), default=-1)
-        if best >= 0 and abs(right[best] - x) <= tolerance:
-            free.remove(best)
-        else:
-            best = -1
+        at = bisect_left(right, x)
+        after, before = find(up, at), find(down, at) - 1
+        best = -1
+        if before >= 0 and abs(right[before] - x) <= tolerance:
+            best = before
+            first = bisect_left(right, right[before])  # equal ones: the first free
+            best = find(up, first)
+        if after < n and abs(right[after] - x) <= tolerance and (best < 0 or abs(right[after] - x) < abs(right[best] - x)):
+            best = after
+        if best >= 0:
+            up[best], down[best + 1] = best + 1, best
         out.append(best)
     return out
 
@@ -46,34 +66,17 @@ def longest_increasing(xs: list[int]) -> list[int]:
     return out
 
 
-def monotone_alignment(items: list[str], targets: list[str]) -> list[int]:
-    """Earliest order-preserving match that matches as many items as possible; -1 where none."""
-    n, m = len(items), len(targets)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if items[i] == targets[j] else 0)
-    out, i, j = [], 0, 0
-    while i < n:
-        hit = next((k for k in range(j, m) if items[i] == targets[k] and best[i + 1][k + 1] + 1 == best[i][j]), None)
-        out.append(-1 if hit is None else hit)
-        i, j = i + 1, j if hit is None else hit + 1
-    return out
-
-
 @query("nearest_link")
 def nearest_link(t: Tables) -> DataFrame:
     """Each purchase with the nearest unused view of the same learner and day, within two hours."""
     e = t.read("events").where(F.col("event_type").isin("purchase", "view")).select("user_id", F.to_date("ts").alias("day"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", "event_id"])
-        a, b = g[g.event_type == "purchase"], g[g.event_type == "view"]
-        to = nearest_greedy(a.us.tolist(), b.us.tolist(), 7.2e9)
-        views = b.event_id.tolist()
-        return pd.DataFrame({"user_id": a.user_id, "purchase": a.event_id, "view": pd.array([views[j] if j >= 0 else None for j in to], "Int64")})
+    def fold(rows: list[dict]) -> list[tuple]:
+        bought, seen = ([r for r in rows if r["event_type"] == kind] for kind in ("purchase", "view"))
+        to = nearest_greedy([r["us"] for r in bought], [r["us"] for r in seen], 7.2e9)
+        return [(r["user_id"], r["event_id"], seen[j]["event_id"] if j >= 0 else None) for r, j in zip(bought, to)]
 
-    return e.groupBy("user_id", "day").applyInPandas(run, "user_id bigint, purchase bigint, view bigint")
+    return fold_groups(e, ["user_id", "day"], ["us", "event_id"], fold, "user_id bigint, purchase bigint, view bigint")
 
 
 @query("lis_markers")
@@ -81,35 +84,87 @@ def lis_markers(t: Tables) -> DataFrame:
     """The longest increasing run of question numbers of each learner's day."""
     rows = t.answers.where("k is not null").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "k")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        xs = longest_increasing(g.sort_values(["ts", "event_id"]).k.tolist())
-        return pd.DataFrame({"user_id": [g.user_id.iloc[0]], "day": [g.day.iloc[0]], "length": [len(xs)], "run": [",".join(map(str, xs))]})
+    def fold(rows: list[dict]) -> list[tuple]:
+        xs = longest_increasing([r["k"] for r in rows])
+        return [(rows[0]["user_id"], rows[0]["day"], len(xs), ",".join(map(str, xs)))]
 
-    return rows.groupBy("user_id", "day").applyInPandas(run, "user_id bigint, day date, length int, run string")
+    return fold_groups(rows, ["user_id", "day"], ["ts", "event_id"], fold, "user_id bigint, day date, length int, run string")
 
 
-@query("monotone_align")
+@query("monotone_align", r"""
+WITH w AS (SELECT conv_id, turn, role, coalesce(text, '') AS a, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations),
+x AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(a), '(?m)^[\p{L}]'), lambda x: unicode(x)) AS items, array_to_string(regexp_extract_all(lower(b), '[\p{L}]+'), ' ') AS words FROM w WHERE role = 'user' AND b IS NOT NULL),
+t AS (SELECT conv_id, turn, items, array_to_string(list_transform(string_split(words, ' '), lambda x: left(x, 1)), '') AS letters FROM x),
+f AS (SELECT *, list_reduce(list_prepend(0, items), lambda p, c: CASE WHEN p < 0 OR instr(substr(letters, p + 1), chr(c)) = 0 THEN -1 ELSE p + instr(substr(letters, p + 1), chr(c))::INT END) AS first_end,
+       list_reduce(list_prepend(0, list_reverse(items)), lambda p, c: CASE WHEN p < 0 OR instr(substr(reverse(letters), p + 1), chr(c)) = 0 THEN -1 ELSE p + instr(substr(reverse(letters), p + 1), chr(c))::INT END) AS back FROM t)
+SELECT conv_id, turn, len(items)::INT AS items, first_end >= 0 AS aligned, CASE WHEN first_end > 0 THEN first_end - 1 END AS last_target, CASE WHEN first_end > 0 THEN length(letters)::INT - list_reduce(list_prepend(0, list_reverse(items)), lambda p, c: CASE WHEN p < 0 OR instr(substr(reverse(letters), p + 1), chr(c)) = 0 THEN -1 ELSE p + instr(substr(reverse(letters), p + 1), chr(c))::INT END) END AS latest_first FROM f""")
 def monotone_align(t: Tables) -> DataFrame:
-    """First words of a conversation's questions, aligned in order with those of its answers."""
-    first = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), r"(\p{L}+)", 1)
-    rows = t.read("conversations").select("conv_id", "turn", "role", first.alias("word"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("turn")
-        to = monotone_alignment(g[g.role == "user"].word.tolist(), g[g.role != "user"].word.tolist())
-        return pd.DataFrame({"conv_id": [g.conv_id.iloc[0]], "matched": [sum(x >= 0 for x in to)], "to": [",".join(map(str, to))]})
-
-    return rows.groupBy("conv_id").applyInPandas(run, "conv_id bigint, matched int, to string")
+    """First letters of a question's lines matched in order, all of them, with the first letters of the answer's words.
+
+    The earliest match is taken: last_target is where its last letter lands, latest_first
+    where the first letter lands in the latest match. matches() tells whether the two differ.
+    """
+    q = exchanges(t).select("conv_id", "turn", F.regexp_extract_all(F.lower("a"), F.lit(r"(?m)^[\p{L}]"), F.lit(0)).alias("items"), F.regexp_extract_all(F.lower("b"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("words"))
+    q = q.withColumn("letters", F.array_join(F.transform("words", lambda x: F.left(x, F.lit(1))), ""))
+    matched = q.select("conv_id", "turn", F.size("items").alias("n"), "letters", earliest(F.col("items"), F.col("letters")).alias("end"), earliest(F.reverse("items"), F.reverse("letters")).alias("back"))
+    hit = F.col("end") > 0
+    return matched.select("conv_id", "turn", F.col("n").alias("items"), (F.col("end") >= 0).alias("aligned"), F.when(hit, F.col("end") - 1).alias("last_target"), F.when(hit, F.length("letters") - F.col("back")).alias("latest_first"))
+
+
+def earliest(items: Column, letters: Column) -> Column:
+    """Where the earliest order-preserving match of all items (letters) ends, counted from 1; -1 if not all can be matched, 0 for none."""
+    def step(p, c):
+        rest = F.instr(F.substring(letters, p + 1, F.length(letters)), c)
+        return F.when((p < 0) | (rest == 0), F.lit(-1)).otherwise(p + rest)
+
+    return F.aggregate(items, F.lit(0), step)
+
+
+def matches(items: list[str], targets: list[str], fits=lambda a, b: a == b) -> tuple[list[int], bool] | None:
+    """The earliest order-preserving match of all items, and whether there is another one; None if not all can be matched.
+
+    A match is the only one if the earliest and the latest one are the same.
+    """
+    def walk(a: list[str], b: list[str]) -> list[int] | None:
+        out, at = [], 0
+        for x in a:
+            while at < len(b) and not fits(x, b[at]):
+                at += 1
+            if at == len(b):
+                return None
+            out.append(at)
+            at += 1
+        return out
+
+    first, last = walk(items, targets), walk(items[::-1], targets[::-1])
+    if first is None or last is None:
+        return None
+    return first, first != [len(targets) - 1 - j for j in reversed(last)]
+
+
+@query("standards_align")
+def standards_align(t: Tables) -> DataFrame:
+    """Each short attempt's items aligned with a learner's whole list of the year, by domain: the places, and whether they are ambiguous."""
+    p = t.read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("domain"))
+    o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"), F.year("o_orderdate").alias("year"))
+    lines = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(o, "l_orderkey").join(p, "l_partkey")
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        targets = [r["domain"] for r in rows]
+        last = max(r["l_orderkey"] for r in rows)
+        items = [r["domain"] for r in rows if r["l_orderkey"] == last][:3]
+        found = matches(items, targets)
+        return [(rows[0]["user_id"], rows[0]["year"], ",".join(map(str, found[0])), found[1])]
+
+    return fold_groups(lines, ["user_id", "year"], ["l_orderkey", "l_linenumber", "l_partkey"], fold, "user_id bigint, year int, places string, ambiguous boolean")
 
 
 @query("fuzzy_ratio")
 def fuzzy_ratio(t: Tables) -> DataFrame:
-    """Likeness (matching blocks) of every conversation's first two turns, by words."""
-    rows = t.read("conversations").where("turn < 2").select("conv_id", F.when(F.col("turn") == 0, F.coalesce("text", F.lit(""))).alias("a"), F.when(F.col("turn") == 1, F.coalesce("text", F.lit(""))).alias("b"))
-    pairs = rows.groupBy("conv_id").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a is not null and b is not null")
+    """Likeness (matching blocks) of every question and the turn after it, by words."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio(), 6) for x, y in zip(a, b)])
+        return pd.Series([round(SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio(), 6) for x, y in zip(a, b)], dtype=float)
 
-    return pairs.select("conv_id", ratio("a", "b").alias("ratio"))
+    return exchanges(t).select("conv_id", "turn", ratio("a", "b").alias("ratio"))

@@ -11,12 +11,6 @@ from tallyloom.sources.bind import Tables
 TIMED, FLAT, TUTOR = "1-URGENT", "2-HIGH", 1
 
 
-def ranked(df: DataFrame, *order, most: int) -> DataFrame:
-    """The first rows with their rank. Only those rows meet in one task."""
-    top = df.orderBy(*order).limit(most)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-
-
 @query("board_timed", f"""
 SELECT a.id AS id, name, correct, accuracy, total FROM attempts a JOIN learners l ON l.id = a.user_id
 WHERE kind = '{TIMED}' ORDER BY correct DESC, accuracy DESC, a.id LIMIT 20""")
@@ -27,11 +21,6 @@ def board_timed(t: Tables) -> DataFrame:
     return joined.orderBy(F.desc("correct"), F.desc("accuracy"), "id").limit(20).select("id", "name", "correct", "accuracy", "total")
 
 
-def _flat_branches(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    done = attempts.where((F.col("kind") == FLAT) & (F.col("ended") > F.col("started")))
-    return done.where("total = correct"), done.where("total > correct")
-
-
 @query("board_flat", f"""
 WITH done AS (SELECT * FROM attempts WHERE kind = '{FLAT}' AND ended > started),
 p AS (SELECT 0 AS branch, row_number() OVER (ORDER BY duration_ms, id) AS rank, * FROM done WHERE total = correct),
@@ -40,10 +29,12 @@ u AS (SELECT * FROM p WHERE rank <= 20 UNION ALL SELECT * FROM q WHERE rank <= 2
 SELECT branch, rank, u.id AS id, name, correct, total, duration_ms FROM u JOIN learners l ON l.id = u.user_id ORDER BY branch, rank LIMIT 20""")
 def board_flat(t: Tables) -> DataFrame:
     """Perfect attempts by speed, then imperfect ones by score and speed; twenty in all."""
-    perfect, other = _flat_branches(t.attempts)
-    p = ranked(perfect, "duration_ms", "id", most=20).withColumn("branch", F.lit(0))
-    q = ranked(other, F.desc("correct"), "duration_ms", "id", most=20).withColumn("branch", F.lit(1))
-    joined = p.unionByName(q).join(t.learners.select(F.col("id").alias("user_id"), "name"), "user_id")
+    done = t.attempts.where((F.col("kind") == FLAT) & (F.col("ended") > F.col("started")))
+    done = done.withColumns({"branch": F.when(F.col("total") == F.col("correct"), 0).otherwise(1), "missing": F.when(F.col("total") == F.col("correct"), 0).otherwise(-F.col("correct"))})
+    # one pass: both branches have one order, and each task keeps its first twenty of either
+    w = Window.partitionBy("branch").orderBy("missing", "duration_ms", "id")
+    top = done.where("total >= correct").withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 20")
+    joined = top.join(t.learners.select(F.col("id").alias("user_id"), "name"), "user_id")
     return joined.orderBy("branch", "rank").limit(20).select("branch", "rank", "id", "name", "correct", "total", "duration_ms")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tallyloom.functions.groups import fold_groups
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
@@ -16,16 +14,21 @@ GAP_SECONDS = 3600
 
 
 @query("row_clusters", f"""
-WITH g AS (SELECT user_id, event_id, ts, coalesce(epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT > {GAP_SECONDS}, true) AS fresh FROM (SELECT user_id, event_id, date_trunc('second', ts) AS ts FROM events)),
-c AS (SELECT user_id, event_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
-SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, min(event_id) AS first FROM c GROUP BY ALL""")
+WITH g AS (SELECT user_id, ts::DATE AS day, list(epoch(date_trunc('second', ts))::BIGINT ORDER BY ts) AS tops FROM events GROUP BY ALL),
+a AS (SELECT user_id, day, tops, list_reduce(list_transform(tops, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] > {GAP_SECONDS} THEN acc || x ELSE acc END) AS anchors FROM g)
+SELECT user_id, day, generate_subscripts(anchors, 1)::INT AS cluster, unnest(anchors) AS top, unnest(list_transform(anchors, lambda x: len(list_filter(tops, lambda y: y >= x AND y <= x + {GAP_SECONDS})))) AS n FROM a""")
 def row_clusters(t: Tables) -> DataFrame:
-    """Clusters of a learner's events: a new one after a gap."""
-    w = Window.partitionBy("user_id").orderBy("s", "event_id")
-    e = t.read("events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    e = e.withColumn("fresh", F.coalesce(F.col("s") - F.lag("s").over(w) > GAP_SECONDS, F.lit(True)).cast("bigint"))
-    c = e.withColumn("cluster", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return c.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    """Events of a learner's day in rows: one joins a row whose first event is near enough, else it begins a row.
+
+    Times ascend and so do the rows' first ones, so only the newest row can be near.
+    """
+    e = t.read("events").select("user_id", F.to_date("ts").alias("day"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    g = e.groupBy("user_id", "day").agg(F.sort_array(F.collect_list("s")).alias("tops"))
+    fresh = lambda acc, x: (F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > GAP_SECONDS)
+    g = g.withColumn("anchors", F.aggregate("tops", F.array().cast("array<bigint>"), lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc)))
+    rows = g.select("user_id", "day", "tops", F.posexplode("anchors").alias("pos", "top"))
+    near = F.filter("tops", lambda y: y.between(F.col("top"), F.col("top") + GAP_SECONDS))
+    return rows.select("user_id", "day", (F.col("pos") + 1).alias("cluster"), "top", F.size(near).cast("bigint").alias("n"))
 
 
 def centred_clusters(xs: list[float], tolerance: float) -> list[int]:
@@ -46,35 +49,38 @@ def centred_rows(t: Tables) -> DataFrame:
     """Lines of an order grouped by nearness of price to the group's moving mean."""
     lines = t.read("lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 1000, 3).alias("y"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["l_orderkey", "y", "l_linenumber"])
-        g["cluster"] = [c for _, part in g.groupby("l_orderkey", sort=False) for c in centred_clusters(part.y.tolist(), 5.0)]
-        return g[["l_orderkey", "l_linenumber", "cluster"]]
+    def fold(rows: list[dict]) -> list[tuple]:
+        clusters = centred_clusters([r["y"] for r in rows], 5.0)
+        return [(r["l_orderkey"], r["l_linenumber"], c) for r, c in zip(rows, clusters)]
 
-    # many small groups are handled at a time: one call for each bucket of orders
-    return lines.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("bucket")).applyInPandas(run, "l_orderkey bigint, l_linenumber int, cluster int")
+    return fold_groups(lines, ["l_orderkey"], ["y", "l_linenumber"], fold, "l_orderkey bigint, l_linenumber int, cluster int")
 
 
-def last_label_run(text: str, labels: str = "ABCD") -> str | None:
-    """Start positions of the last run of all labels in order, each at a line's start."""
-    found = [(m.start(), m[1]) for m in re.finditer(rf"(?m)^\s*([{labels}])\b", text)]
-    want, run = len(labels) - 1, []
-    for at, label in reversed(found):
-        if want >= 0 and label == labels[want]:
-            run.append(at)
-            want -= 1
-    return ",".join(map(str, reversed(run))) if want < 0 else None
+LABELS = "ABCD"
 
 
-@query("label_runs")
+@query("label_runs", r"""
+WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_extract(x, '^\s*([A-D])', 1)) AS labels FROM documents),
+d AS (SELECT *, list_max(list_filter(range(1, len(labels) + 1), lambda i: labels[i] = 'D')) AS d FROM l),
+c AS (SELECT *, list_max(list_filter(range(1, d), lambda i: labels[i] = 'C')) AS c FROM d),
+b AS (SELECT *, list_max(list_filter(range(1, c), lambda i: labels[i] = 'B')) AS b FROM c),
+a AS (SELECT *, list_max(list_filter(range(1, b), lambda i: labels[i] = 'A')) AS a FROM b)
+SELECT doc_id, CASE WHEN a IS NOT NULL THEN concat_ws(',', a - 1, b - 1, c - 1, d - 1) END AS lines FROM a""")
 def label_runs(t: Tables) -> DataFrame:
-    """Where the last ordered run of lines starting with E, T, A, O begins, for each document."""
-
-    @F.pandas_udf(T.StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: last_label_run(x, "ETAO"))
-
-    return t.read("documents").select("doc_id", run(F.coalesce("text", F.lit(""))).alias("starts"))
+    """The last run of lines that begin with A, B, C, D in order, as line numbers from 0; null if there is none.
+
+    Found from behind: the last D, the last C before it, and so on.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    d = t.read("documents").select("doc_id", F.transform(lines, lambda x: F.regexp_extract(x, rf"^\s*([{LABELS}])", 1)).alias("labels"))
+    rest = F.size("labels") + 1
+    for label in reversed(LABELS):
+        before = F.reverse(F.slice("labels", 1, F.greatest(F.col("rest") - 1, F.lit(0))))
+        at = F.array_position(before, F.lit(label))  # 0: none
+        d = d.withColumn("rest", rest.cast("int")).withColumn(f"at_{label}", F.when((F.col("rest") > 0) & (at > 0), F.col("rest") - at).cast("int"))
+        rest = F.coalesce(f"at_{label}", F.lit(0))
+    found = F.concat_ws(",", *((F.col(f"at_{x}") - 1).cast("string") for x in LABELS))
+    return d.select("doc_id", F.when(F.col(f"at_{LABELS[0]}").isNotNull(), found).alias("lines"))
 
 
 def best_markers(choices: list[list[tuple[float, float]]]) -> list[int] | None:
@@ -97,16 +103,14 @@ def marker_choice(t: Tables) -> DataFrame:
     """For each short order, one candidate of every line with ascending ship dates at least cost."""
     lines = t.read("lineitem").select("l_orderkey", "l_linenumber", F.unix_date(F.to_date("l_shipdate")).alias("at"), F.round("l_discount", 2).alias("cost"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for key, part in g.groupby("l_orderkey"):
-            part = part.sort_values(["l_linenumber", "at", "cost"])
-            choices = [list(zip(x["at"].tolist(), x["cost"].tolist())) for _, x in part.groupby("l_linenumber")]
-            path = best_markers(choices)
-            rows.append((key, len(choices), None if path is None else ",".join(map(str, path))))
-        return pd.DataFrame(rows, columns=["id", "lines", "path"])
+    def fold(rows: list[dict]) -> list[tuple]:
+        choices: dict[int, list] = {}
+        for r in rows:
+            choices.setdefault(r["l_linenumber"], []).append((r["at"], r["cost"]))
+        path = best_markers(list(choices.values()))
+        return [(rows[0]["l_orderkey"], len(choices), None if path is None else ",".join(map(str, path)))]
 
-    return lines.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("bucket")).applyInPandas(run, "id bigint, lines int, path string")
+    return fold_groups(lines, ["l_orderkey"], ["l_linenumber", "at", "cost"], fold, "id bigint, lines int, path string")
 
 
 @query("choice_parse", r"""
@@ -131,12 +135,13 @@ def template_expand(t: Tables) -> DataFrame:
 
 
 @query("ledger_check", """
-WITH r AS (SELECT conv_id AS id, turn, sha256(coalesce(text, '')) AS hash FROM conversations),
+WITH r AS (SELECT conv_id AS id, turn, sha256(lower(regexp_extract(coalesce(text, ''), '^\\s*(\\S+)', 1))) AS hash FROM conversations),
 d AS (SELECT hash, count(*) AS n, count(DISTINCT id) AS ids, min(id) AS first FROM r GROUP BY hash)
 SELECT hash, n, ids, first FROM d WHERE n > 1""")
 def ledger_check(t: Tables) -> DataFrame:
-    """Records that are not unique by content, with how many and where first."""
-    r = t.read("conversations").select(F.col("conv_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    """Records that are not unique by the digest of their first word, with how many and where first."""
+    first = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*(\S+)", 1))
+    r = t.read("conversations").select(F.col("conv_id").alias("id"), F.sha2(first, 256).alias("hash"))
     return r.groupBy("hash").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("first")).where("n > 1")
 
 
@@ -148,20 +153,31 @@ def source_counts(t: Tables) -> DataFrame:
     return d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.count_if(F.length("text") != F.col("n_chars")).alias("wrong_length"))
 
 
+def exchanges(t: Tables) -> DataFrame:
+    """Each question with the turn that follows it: conv_id, turn, a, b."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    c = t.read("conversations").select("conv_id", "turn", "role", text.alias("a"), F.lead(text).over(w).alias("b"))
+    return c.where("role = 'user' and b is not null").select("conv_id", "turn", "a", "b")
+
+
+RATIO = 0.72  # likeness from which a boundary is carried over
+
+
 @query("boundary_projection")
 def boundary_projection(t: Tables) -> DataFrame:
-    """Where the end of a conversation's question falls in its answer, by aligned words."""
+    """Where the end of a question falls in the answer, by aligned words; null where the two aren't alike enough."""
     from difflib import SequenceMatcher
 
-    @F.pandas_udf(T.IntegerType())
-    def project(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("end int, whole boolean")
+    def project(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         def one(x, y):
-            p, q = x.split(), y.split()
-            blocks = [m for m in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if m.size]
-            return blocks[-1].b + blocks[-1].size if blocks else -1
+            m = SequenceMatcher(None, x.split(), y.split(), autojunk=False)
+            last = [k for k in m.get_matching_blocks() if k.size][-1:]
+            return (last[0].b + last[0].size if last else -1, m.ratio() >= RATIO)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+        rows = [one(x, y) for x, y in zip(a, b)]
+        return pd.DataFrame({"end": pd.Series([r[0] for r in rows], dtype="int32"), "whole": pd.Series([r[1] for r in rows], dtype=bool)})
 
-    text = F.coalesce("text", F.lit(""))
-    rows = t.read("conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, text)).alias("a"), F.max(F.when(F.col("turn") == 1, text)).alias("b"))
-    return rows.where("a is not null and b is not null").select("conv_id", project("a", "b").alias("end"))
+    p = exchanges(t).select("conv_id", "turn", project("a", "b").alias("p"))
+    return p.select("conv_id", "turn", F.col("p.end").alias("end"), F.when(F.col("p.whole"), F.col("p.end")).alias("boundary"))

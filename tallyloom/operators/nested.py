@@ -20,11 +20,15 @@ def conversation_pack(t: Tables) -> DataFrame:
                     F.sha2(F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["role"], x["text"])), "\n"), 256).alias("hash"))
 
 
-def exams(t: Tables) -> DataFrame:
-    """Orders as documents: id, section, and an array of questions with grading inside."""
+def documents(t: Tables) -> DataFrame:
+    """Each order's lines as one document: id, and an array of questions with grading inside."""
     q = F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.struct(F.col("l_returnflag").alias("mode"), F.col("l_quantity").alias("points")).alias("grading"))
-    lines = t.read("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(q)).alias("questions"))
-    return t.read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("section")).join(lines, "id")
+    return t.read("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(q)).alias("questions"))
+
+
+def exams(t: Tables) -> DataFrame:
+    """Documents with their section."""
+    return t.read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("section")).join(documents(t), "id")
 
 
 @query("catalog_flatten", """
@@ -47,7 +51,7 @@ def catalog_violations(t: Tables) -> DataFrame:
     checks = F.array_compact(F.array(
         F.when(F.size(q) > 7, "too_long"), F.when(F.size(numbers) < F.size(q), "duplicate_number"), F.when(F.exists(q, lambda x: x["grading"]["points"] <= 0), "no_points"),
         F.when(F.array_max(numbers) - F.array_min(numbers) + 1 != F.size(numbers), "gap")))
-    return exams(t).select("id", checks.alias("codes")).where(F.size("codes") > 0).select("id", F.array_join("codes", ",").alias("codes"))
+    return documents(t).select("id", checks.alias("codes")).where(F.size("codes") > 0).select("id", F.array_join("codes", ",").alias("codes"))
 
 
 @query("nested_sums", """
@@ -57,8 +61,7 @@ def nested_sums(t: Tables) -> DataFrame:
     """Sums over nested sizes, the first eight only, and distinct values in order."""
     points = F.transform("questions", lambda q: q["grading"]["points"])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    lines = exams(t).drop("section")
-    return lines.select("id", F.size("questions").alias("n"), total(points).alias("points"), total(F.slice(points, 1, 8)).alias("first8"), F.size(F.array_distinct(F.transform("questions", lambda q: q["grading"]["mode"]))).alias("modes"))
+    return documents(t).select("id", F.size("questions").alias("n"), total(points).alias("points"), total(F.slice(points, 1, 8)).alias("first8"), F.size(F.array_distinct(F.transform("questions", lambda q: q["grading"]["mode"]))).alias("modes"))
 
 
 @query("zip_join", """

@@ -26,14 +26,13 @@ def srs(t: Tables) -> DataFrame:
     """
     key = ["user_id", "skill"]
     at = F.struct("ts", "event_id")
-    w = Window.partitionBy(*key)
     rows = t.answers.select(*key, "ts", "ok", at.alias("at"))
-    rows = rows.withColumn("first", F.min("at").over(w))
-    rows = rows.withColumn("wrong", F.max(F.when(~F.col("ok") & (F.col("at") > F.col("first")), F.col("at"))).over(w))
-    after = F.count_if(F.col("wrong").isNull() | (F.col("at") > F.col("wrong")))
-    out = rows.groupBy(*key).agg(
-        F.count("*").alias("seen"), F.count_if("ok").alias("correct_n"), F.count_if(~F.col("ok")).alias("wrong_n"),
-        F.to_date(F.max("ts")).alias("last_day"), after.alias("after"), F.max("wrong").alias("wrong"))
+    ends = rows.groupBy(*key).agg(
+        F.count("*").alias("seen"), F.count_if("ok").alias("correct_n"), F.count_if(~F.col("ok")).alias("wrong_n"), F.to_date(F.max("ts")).alias("last_day"),
+        F.min("at").alias("first"), F.max(F.when(~F.col("ok"), F.col("at"))).alias("wrong"))
+    ends = ends.withColumn("wrong", F.when(F.col("wrong") > F.col("first"), F.col("wrong")))
+    after = rows.join(ends.select(*key, "wrong"), key).groupBy(*key).agg(F.count_if(F.col("wrong").isNull() | (F.col("at") > F.col("wrong"))).alias("after"))
+    out = ends.join(after, key)
     doubled = F.when(F.col("wrong").isNull(), FIRST * F.pow(F.lit(2.0), F.least(F.col("after") - 1, F.lit(8)))).otherwise(F.pow(F.lit(2.0), F.least(F.col("after"), F.lit(8))))
     return out.select(*key, "seen", "correct_n", "wrong_n", "last_day", F.least(doubled, F.lit(float(CAP))).cast("int").alias("interval_days"))
 
@@ -190,18 +189,39 @@ def digit_sum(x: Column) -> Column:
     return F.aggregate(F.split(x.cast("string"), ""), F.lit(0), lambda s, d: s + F.coalesce(F.try_to_number(d, F.lit("9")).cast("int"), F.lit(0)))
 
 
+BASE = {"addition": 0.02, "subtraction": 0.05, "multiplication": 0.10, "division": 0.12}
+
+
+def borrows(a: Column, b: Column) -> Column:
+    """Borrows of a - b, digit by digit from the right."""
+    digit = lambda x, i: F.floor(x / F.pow(F.lit(10), i)).cast("bigint") % 10
+    start = F.struct(F.lit(0).alias("borrow"), F.lit(0).alias("n"))
+
+    def step(s, i):
+        new = F.when(digit(a, i) - digit(b, i) - s["borrow"] < 0, 1).otherwise(0)
+        return F.struct(new.alias("borrow"), (s["n"] + new).alias("n"))
+
+    places = F.greatest(F.length(a.cast("string")), F.length(b.cast("string")))
+    return F.aggregate(F.sequence(F.lit(0), places - 1), start, step, lambda s: s["n"])
+
+
 @query("difficulty", """
-WITH p AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 1000 AS b FROM orders),
-s AS (SELECT *, list_sum(list_transform(string_split(a::VARCHAR, ''), lambda c: c::INT)) AS sa, list_sum(list_transform(string_split(b::VARCHAR, ''), lambda c: c::INT)) AS sb,
-        list_sum(list_transform(string_split((a + b)::VARCHAR, ''), lambda c: c::INT)) AS sab FROM p)
-SELECT id, ((sa + sb - sab) // 9)::INT AS carries, round(least(1, 0.02 + 0.08 * greatest(len(a::VARCHAR), len(b::VARCHAR)) + 0.12 * ((sa + sb - sab) // 9)), 4)::DOUBLE AS score FROM s""")
+WITH p AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 1000 AS b, CASE o_orderkey % 3 WHEN 0 THEN 'addition' WHEN 1 THEN 'subtraction' ELSE 'multiplication' END AS op FROM orders),
+s AS (SELECT *, greatest(len(a::VARCHAR), len(b::VARCHAR)) AS digits, list_sum(list_transform(string_split(a::VARCHAR, ''), lambda c: c::INT)) AS sa, list_sum(list_transform(string_split(b::VARCHAR, ''), lambda c: c::INT)) AS sb,
+        list_sum(list_transform(string_split((a + b)::VARCHAR, ''), lambda c: c::INT)) AS sab FROM p),
+c AS (SELECT *, CASE WHEN op = 'addition' THEN (sa + sb - sab) // 9 ELSE 0 END AS carries,
+        CASE WHEN op = 'subtraction' THEN len(list_filter(range(1, digits + 1), lambda i: a % (10 ** i)::BIGINT < b % (10 ** i)::BIGINT)) ELSE 0 END AS borrows FROM s)
+SELECT id, op, carries::INT AS carries, borrows::INT AS borrows, round(least(1, CASE op WHEN 'addition' THEN 0.02 WHEN 'subtraction' THEN 0.05 ELSE 0.10 END + 0.08 * digits + 0.12 * carries + 0.14 * borrows), 4)::DOUBLE AS score FROM c""")
 def difficulty(t: Tables) -> DataFrame:
-    """Carries of a sum, from digit sums (each carry takes nine off), and the score they give."""
-    a, b = F.col("o_custkey"), F.col("o_orderkey") % 1000
-    carries = ((digit_sum(a) + digit_sum(b) - digit_sum(a + b)) / 9).cast("int")
+    """Carries of sums, from digit sums (each carry takes nine off), borrows of differences, and the score they give."""
+    key = F.col("o_orderkey")
+    a, b = F.col("o_custkey"), key % 1000
+    op = F.when(key % 3 == 0, "addition").when(key % 3 == 1, "subtraction").otherwise("multiplication")
+    carries = F.when(op == "addition", (digit_sum(a) + digit_sum(b) - digit_sum(a + b)) / 9).otherwise(0).cast("int")
     digits = F.greatest(F.length(a.cast("string")), F.length(b.cast("string")))
-    p = t.read("orders").select(F.col("o_orderkey").alias("id"), carries.alias("carries"), digits.alias("digits"))
-    return p.select("id", "carries", F.round(F.least(F.lit(1.0), 0.02 + 0.08 * F.col("digits") + 0.12 * F.col("carries")), 4).alias("score"))
+    p = t.read("orders").select(key.alias("id"), op.alias("op"), carries.alias("carries"), F.when(op == "subtraction", borrows(a, b)).otherwise(0).alias("borrows"), digits.alias("digits"))
+    base = F.create_map(*(F.lit(x) for pair in BASE.items() for x in pair))[F.col("op")]
+    return p.select("id", "op", "carries", "borrows", F.round(F.least(F.lit(1.0), base + 0.08 * F.col("digits") + 0.12 * F.col("carries") + 0.14 * F.col("borrows")), 4).alias("score"))
 
 
 @query("lesson_summary", """

@@ -10,8 +10,10 @@ from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
 #: Each rule is one regular expression that Java and RE2 read alike.
-LEAK = r"(?i)\b(answer|solution)\s+key\b|\b(choice|option)\s+[a-d]\s+is\s+(correct|right)\b|\brespuesta\s+correcta\b"
-PATH = r"(?i)file://|/(users|home|tmp|root|var)/|[a-z]:\\"
+#: A text that tells which choice is right.
+LEAK = r"(?i)\bsolutions?:|\bkey to the (questions|exercises)\b|\bthe (right|correct) (choice|one) (is|was) [a-d]\b|\brespuesta correcta\b"
+#: A path of the writer's own machine: an absolute path of two folders or more, a drive or a file address; not the path of a web address.
+PATH = r'(?:^|[\s"(=])(?:~?/[\w.-]+/[\w.-]+/[\w./-]*|[A-Z]:[\\/][\w.-]+|file:/{2,3}\w)'
 LICENSE = r"(?i)\blicen[sc]e(d)?\b|\ball rights reserved\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SECRET = r"(?i)\b(token|password|api[_-]?key)\s*[=:]\s*\S+"
@@ -50,14 +52,14 @@ def leak_and_path_flags(t: Tables) -> DataFrame:
 
 @query("cleaned_lines", r"""
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))),
-     lambda x: length(x) > 0 AND NOT regexp_matches(x, '^[0-9 ]+$') AND NOT regexp_matches(x, '(?i)licen[sc]e')) AS kept FROM documents)
-SELECT doc_id, len(kept)::INT AS kept, sha256(array_to_string(kept, chr(10))) AS hash FROM d""")
+     lambda x: NOT regexp_matches(x, '^[0-9 ]+$') AND NOT regexp_matches(x, '(?i)licen[sc]e')) AS kept FROM documents)
+SELECT doc_id, len(kept)::INT AS kept, sha256(trim(regexp_replace(array_to_string(kept, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS hash FROM d""")
 def cleaned_lines(t: Tables) -> DataFrame:
-    """Lines trimmed, blank ones, page numbers and license lines taken out, the rest joined."""
+    """Lines trimmed, page numbers and license lines taken out, runs of blank lines made one, the rest joined."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    kept = F.filter(lines, lambda x: (F.length(x) > 0) & ~x.rlike("^[0-9 ]+$") & ~x.rlike("(?i)licen[sc]e"))
+    kept = F.filter(lines, lambda x: ~x.rlike("^[0-9 ]+$") & ~x.rlike("(?i)licen[sc]e"))
     d = t.read("documents").select("doc_id", kept.alias("kept"))
-    return d.select("doc_id", F.size("kept").alias("kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("hash"))
+    return d.select("doc_id", F.size("kept").alias("kept"), F.sha2(F.trim(F.regexp_replace(F.array_join("kept", "\n"), r"\n{3,}", "\n\n"), F.lit("\n")), 256).alias("hash"))
 
 
 @query("balanced_marks", """
@@ -85,20 +87,37 @@ FROM c JOIN bt ON bt.item_id = c.item_id LEFT JOIN dt ON dt.doc_id = c.doc_id AN
 def benchmark_recall(t: Tables) -> DataFrame:
     """For documents that share five words in a row with an item: how much of the item's words they have.
 
-    Items are few; their shingles and word counts are joined as small tables.
+    Runs of words are hashed. Documents are cut into words once and written nowhere: those
+    that share no hash leave before anything is exploded, where the items' hashes are few
+    enough to stand in the plan; else hashes are joined by shuffle.
     """
     w = word_list(F.lower("text")).alias("w")
     b = t.read("benchmark").where("text is not null").select("item_id", w)
     d = t.read("documents").where("text is not null").select("doc_id", w)
-    runs = F.explode(F.array_distinct(F.when(F.size("w") >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))).otherwise(F.array().cast("array<string>"))))
-    c = b.select("item_id", runs.alias("s")).join(d.select("doc_id", runs.alias("s")), "s").select("item_id", "doc_id").distinct()
+    b, d = (x.withColumn("h", word_runs(F.col("w"))) for x in (b, d))
+    bs = b.select("item_id", F.explode("h").alias("s"))
+    n = bs.count()
+    small = n <= MOST_HASHES
+    if small:  # counted: at most 16 bytes each
+        d = d.join(F.broadcast(bs.agg(F.collect_set("s").alias("known"))), on=F.lit(True)).where(F.arrays_overlap("h", "known")).drop("known")
+    pairs = d.select("doc_id", "w", "h").select("doc_id", "w", F.explode("h").alias("s")).join(F.broadcast(bs) if small else bs, "s")
+    c = pairs.groupBy("item_id", "doc_id").agg(F.first("w").alias("w"))
     bt = b.select("item_id", F.explode("w").alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
-    dt = d.join(c.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("w").alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("m"))
-    rows = c.join(bt, "item_id").join(dt, ["doc_id", "t"], "left")
+    dt = c.select("item_id", "doc_id", F.explode("w").alias("t")).groupBy("item_id", "doc_id", "t").agg(F.count("*").alias("m"))
+    rows = c.select("item_id", "doc_id").join(F.broadcast(bt) if small else bt, "item_id").join(dt, ["item_id", "doc_id", "t"], "left")
     share = F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")
     return rows.groupBy("item_id", "doc_id").agg(F.round(share, 6).alias("recall"))
 
 
+MOST_HASHES = 200_000
+
+
+def word_runs(w: Column) -> Column:
+    """Distinct hashes of five words in a row."""
+    some = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
+    return F.array_distinct(F.when(F.size(w) >= SHINGLE, some).otherwise(F.array().cast("array<bigint>")))
+
+
 @query("near_token", r"""
 WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark)
 SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) = 1""")
@@ -134,12 +153,13 @@ def page_section(t: Tables) -> DataFrame:
 
 @query("doubled_tokens")
 def doubled_tokens(t: Tables) -> DataFrame:
-    """Texts with tokens whose letters come in pairs, and the first such token repaired."""
+    """How many tokens have letters in pairs, and the digest of the text with doubled tokens repaired."""
     text = F.coalesce("text", F.lit(""))
-    return t.read("documents").select("doc_id", doubled_glyphs(text).alias("doubled"), doubled_repaired(text).alias("repaired"))
+    return t.read("documents").select("doc_id", doubled_glyphs(text).alias("doubled"), F.sha2(doubled_repaired(text), 256).alias("repaired"))
 
 
 @query("normal_answers")
 def normal_answers(t: Tables) -> DataFrame:
-    """First line of each document as a normalised answer (NFKC)."""
-    return t.read("documents").select("doc_id", normal_answer(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("answer"))
+    """Every line of each document as a normalised answer (NFKC)."""
+    lines = t.read("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", normal_answer("text").alias("answer"))

@@ -30,7 +30,8 @@ SELECT user_id, CASE WHEN struct_extract_at(m, 1) >= today - 1 THEN struct_extra
 def streak(t: Tables) -> DataFrame:
     """Length of the run of days that ends on the last day or the one before; else 0."""
     day = t.activity.select("user_id", "day")
-    ended = t.attempts.select("user_id", F.to_date("ended").alias("day")).crossJoin(F.broadcast(today(t))).where("day <= today").select("user_id", "day")
+    last = t.read("lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("day")).crossJoin(F.broadcast(today(t))).where("day <= today").select("l_orderkey", "day")
+    ended = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")).join(last, "l_orderkey").select("user_id", "day")
     days = day.union(ended).distinct()
     w = Window.partitionBy("user_id").orderBy(F.desc("day"))
     islands = days.withColumn("island", F.date_add("day", F.row_number().over(w)))
@@ -114,10 +115,14 @@ def rounds(t: Tables) -> DataFrame:
 
 
 @query("fill_down", """
-SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked, lead(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_start
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)""")
+WITH c AS (SELECT conv_id, turn, role, text, role = 'user' AND turn % 3 <> 1 AS head FROM conversations)
+SELECT conv_id, turn, role, last_value(CASE WHEN head THEN turn END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS asked,
+       coalesce(first_value(CASE WHEN head THEN turn END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(turn) OVER (PARTITION BY conv_id) + 1) AS block_end
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
 def fill_down(t: Tables) -> DataFrame:
-    """Each turn with the heading turn above it, and where the next block starts if the next turn is a heading."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    head = F.when(F.col("role") == "user", F.col("turn"))
-    return t.read("conversations").select("conv_id", "turn", "role", F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("asked"), F.lead(head).over(w).alias("next_start"))
+    """Each turn with the heading above it, and where its block ends: at the next heading, else after the last turn."""
+    whole = Window.partitionBy("conv_id")
+    w = whole.orderBy("turn", "role", "text")
+    c = t.read("conversations").withColumn("head", F.when((F.col("role") == "user") & (F.col("turn") % 3 != 1), F.col("turn")))
+    below = F.first("head", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return c.select("conv_id", "turn", "role", F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("asked"), F.coalesce(below, F.max("turn").over(whole) + 1).alias("block_end"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -48,11 +49,45 @@ def export(df: DataFrame, path: str, *by: str) -> None:
     df.repartition(*by).write.partitionBy(*by).mode("overwrite").json(path)
 
 
-def publish(df: DataFrame, staging: str, path: str, valid: Callable[[DataFrame], bool]) -> DataFrame:
-    """Write to staging, check what can be read back, then write it to its place; staging stays if it isn't valid."""
-    df.write.mode("overwrite").parquet(staging)
-    back = df.sparkSession.read.schema(df.schema).parquet(staging)
+def publish(df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> DataFrame:
+    """Write a new version folder, check what can be read back, then point to it.
+
+    Versions are never changed, and the pointer is one small file that is replaced when a
+    version is whole, so readers see the old or the new one; a version that isn't valid
+    stays for inspection and is not pointed to.
+    """
+    spark = df.sparkSession
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    back = spark.read.schema(df.schema).parquet(version)
     if not valid(back):
-        raise ValueError(f"not published; see {staging}")
-    back.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        raise ValueError(f"not published; see {version}")
+    now = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    now.coalesce(1).write.mode("append").json(f"{path}/published")
+    return back
+
+
+def published(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The version that holds; back: 1 for the one before it (a rollback reads that)."""
+    versions = spark.read.schema("version string, at timestamp").json(f"{path}/published").orderBy(F.desc("at")).limit(back + 1).collect()
+    return spark.read.parquet(versions[back]["version"])
+
+
+def pinned(spark: SparkSession, path: str, schema: str, digest: str) -> DataFrame:
+    """A JSON inventory whose canonical form (sorted keys) must have the given SHA-256."""
+    doc = spark.read.text(path, wholetext=True)
+
+    @F.pandas_udf(T.StringType())
+    def canonical(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: json.dumps(json.loads(t, object_pairs_hook=_repeats), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+    rows = doc.select(F.from_json("value", schema).alias("doc"), F.sha2(canonical("value"), 256).alias("digest"))
+    wrong = F.raise_error(F.concat(F.lit("inventory has digest "), "digest"))
+    return rows.select(F.when(F.col("digest") == digest, F.col("doc")).otherwise(wrong.cast(rows.schema["doc"].dataType)).alias("doc"))
+
+
+def export_ordered(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:
+    """One JSON document for each value of by, its records in order: file-per-key exports that come out the same each time."""
+    record = F.struct(*order, *(c for c in df.columns if c not in by and c not in order))
+    docs = df.groupBy(*by).agg(F.sort_array(F.collect_list(record)).alias("records"))
+    docs.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).mode("overwrite").json(path)

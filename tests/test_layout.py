@@ -1,19 +1,14 @@
+import hashlib
 import itertools
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tallyloom.operators.layout import best_markers, centred_clusters, last_label_run
+from tallyloom.operators.layout import best_markers, centred_clusters
 from tallyloom.sources import files
 
 
-def test_label_run():
-    assert last_label_run("A x\nB y\nC z\nD w") == "0,4,8,12"
-    assert last_label_run("A x\nB y\nA q\nB y\nC z\nD w").startswith("8,")
-    assert last_label_run("A x\nC z\nB y\nD w") is None
-
-
 def test_centred_clusters():
     assert centred_clusters([0, 1, 2, 10, 11], 2) == [0, 0, 0, 1, 1]
     assert centred_clusters([], 1) == []
@@ -37,11 +32,29 @@ def test_documents_with_repeated_keys(spark, tmp_path):
     assert {r["bytes"] for r in files.digests(spark, str(tmp_path)).collect()} == {9, 18, 1}
 
 
-def test_publish_and_export(spark, tmp_path):
-    df = spark.range(4).selectExpr("id", "id % 2 as grade")
-    out = files.publish(df, f"{tmp_path}/staging", f"{tmp_path}/live", lambda d: d.count() == 4)
-    assert out.count() == 4
+def test_publish_and_rollback(spark, tmp_path):
+    first, second = spark.range(4), spark.range(7)
+    assert files.publish(first, f"{tmp_path}/out", lambda d: d.count() == 4).count() == 4
     with pytest.raises(ValueError):
-        files.publish(df, f"{tmp_path}/staging", f"{tmp_path}/live", lambda d: False)
+        files.publish(second, f"{tmp_path}/out", lambda d: False)
+    assert files.published(spark, f"{tmp_path}/out").count() == 4  # the failed one is not pointed to
+    files.publish(second, f"{tmp_path}/out", lambda d: True)
+    assert files.published(spark, f"{tmp_path}/out").count() == 7
+    assert files.published(spark, f"{tmp_path}/out", back=1).count() == 4
+
+
+def test_exports(spark, tmp_path):
+    df = spark.range(4).selectExpr("id", "id % 2 as grade", "4 - id as pos")
     files.export(df, f"{tmp_path}/export", "grade")
     assert spark.read.json(f"{tmp_path}/export").where("grade = 1").count() == 2
+    files.export_ordered(df, f"{tmp_path}/ordered", ["grade"], ["pos"])
+    got = {r["grade"]: [x["id"] for x in r["records"]] for r in spark.read.json(f"{tmp_path}/ordered").collect()}
+    assert got == {0: [2, 0], 1: [3, 1]}
+
+
+def test_pinned_inventory(spark, tmp_path):
+    (tmp_path / "i.json").write_text('{"b": 2,\n "a": [1]}')
+    digest = hashlib.sha256(b'{"a":[1],"b":2}').hexdigest()
+    assert files.pinned(spark, f"{tmp_path}/i.json", "a array<int>, b int", digest).first()["doc"]["b"] == 2
+    with pytest.raises(Exception, match="inventory has digest"):
+        files.pinned(spark, f"{tmp_path}/i.json", "a array<int>, b int", "0" * 64).collect()

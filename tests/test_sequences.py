@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import is_doubled, repair
-from tallyloom.operators.align import longest_increasing, monotone_alignment, nearest_greedy
+from tallyloom.operators.align import longest_increasing, nearest_greedy
 from tallyloom.operators.progress import clamped
 
 
@@ -26,16 +26,6 @@ def test_increasing_is_longest_and_earliest(xs):
     assert best == [xs[i] for i in first]
 
 
-@given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
-def test_alignment_matches_most(items, targets):
-    to = monotone_alignment(items, targets)
-    used = [j for j in to if j >= 0]
-    assert used == sorted(set(used))
-    assert all(j < 0 or items[i] == targets[j] for i, j in enumerate(to))
-    most = max(k for k in range(len(items) + 1) for c in combinations(items, k) if any(list(c) == list(d) for d in combinations(targets, k)))
-    assert len(used) == most
-
-
 def test_nearest_uses_each_once():
     assert nearest_greedy([1.0, 1.1, 9.0], [1.2, 0.0, 5.0], 2.0) == [0, 1, -1]
 
