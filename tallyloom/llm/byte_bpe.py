@@ -8,8 +8,8 @@ once (or, in corpora that exceed the bound, one beyond it) is folded where it st
 once for each document. Both go through one column expression, bpe(): all runs of bytes
 of a match that are tokens, in order of their rank, are folded over a bit mask of the
 match's boundaries. A run becomes a token if both its ends still are boundaries and one
-boundary is left between them, which then goes. Ranks come from a literal map in the
-plan, hashed into short buckets.
+boundary is left between them, which then goes. Ranks come from a literal table in the
+plan, found by 64-bit hash.
 
 One pass in order of rank merges as repeated merging of the lowest pair does, provided
 that every token is the last merge of its own bytes; RankMap makes sure of that.
@@ -46,7 +46,7 @@ from tallyloom.llm.common import PIECE, file_system, materialize, sliced, table,
 
 FREQUENT = 1_500_000  # folded pieces that a worker holds, some 25 bytes each
 BITS = 62  # bytes of a match folded as a bit mask
-BUCKETS, NO_RANK = 1 << 15, 2**31 - 1
+NO_RANK = 2**31 - 1
 HELD = 300_000  # distinct pieces that a worker counts or numbers before it starts anew
 
 
@@ -91,25 +91,43 @@ def let(value: Column, use) -> Column:
 
 
 class RankMap:
-    """The ranks as a literal of the plan: small maps from byte strings to ranks, found by hash.
+    """The ranks as two literal arrays of the plan: a table of the tokens' 64-bit hashes with two places for each, and the ranks beside it."""
 
-    A byte string is a string of the characters with its bytes' code points.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], buckets: int = BUCKETS):
+    def __init__(self, ranks: dict[bytes, int]):
         if odd := next((t for t, r in ranks.items() if len(t) > 1 and len(merge_word(t, ranks, r)) != 2), None):
             raise ValueError(f"the token {odd!r} is not the last merge of its own bytes")
-        maps: list[dict[str, int]] = [{} for _ in range(buckets)]
+        self.longest = max(map(len, ranks), default=1)
+        self.bits = max(4, (4 * len(ranks)).bit_length())  # at most a quarter to a half is taken
+        held: list = [None] * (1 << self.bits)
         for token, rank in ranks.items():
-            key = token.decode("latin-1")
-            at = np.int64(np.uint64(xxhash.xxh64_intdigest(key.encode(), 42))) % buckets  # as xxhash64() and pmod()
-            maps[at][key] = rank
-        self.buckets, self.longest = buckets, max(map(len, ranks), default=1)
-        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+            item = int(np.int64(np.uint64(xxhash.xxh64_intdigest(token, 42)))), rank  # as xxhash64()
+            place = self.places(item[0])[0]
+            for _ in range(1000):
+                item, held[place] = held[place], item
+                if item is None:
+                    break
+                place = sum(self.places(item[0])) - place  # the other place of what was there
+            else:
+                raise ValueError("the table of ranks is too full")
+        self.hashes = F.from_json(F.lit(json.dumps([x and x[0] for x in held])), "array<bigint>")
+        self.values = F.from_json(F.lit(json.dumps([x and x[1] for x in held])), "array<bigint>")
+
+    def places(self, h: int) -> tuple[int, int]:
+        mask = (1 << self.bits) - 1
+        return h & mask, (h >> self.bits) & mask
 
     def bound(self, use) -> Column:
-        """use(rank), where rank(token) is null for what is no token; the literal stands once in the plan."""
-        return let(self.maps, lambda maps: use(lambda token: F.element_at(F.get(maps, F.pmod(F.xxhash64(token), F.lit(self.buckets))), token)))
+        """use(rank), where rank(hash) is null for what is no token's hash; the literals stand once in the plan."""
+        mask = F.lit((1 << self.bits) - 1)
+
+        def find(hashes, values):
+            def rank(h):
+                one, two = h.bitwiseAND(mask), F.call_function("shiftright", h, F.lit(self.bits)).bitwiseAND(mask)
+                return F.when(F.get(hashes, one) == h, F.get(values, one)).when(F.get(hashes, two) == h, F.get(values, two))
+
+            return rank
+
+        return let(self.hashes, lambda hashes: let(self.values, lambda values: use(find(hashes, values))))
 
 
 def left(value: Column, by: Column) -> Column:
@@ -130,11 +148,12 @@ def merged(mask: Column, run: Column) -> Column:
 
 
 def bpe_word(word: Column, rank, longest: int) -> Column:
-    """Ids (array<int>) of one match of the splitting pattern, given as a byte string of at most BITS bytes."""
+    """Ids (array<int>) of one match of the splitting pattern, given as binary of at most BITS bytes."""
     n = F.length(word)
 
     def runs_of(size):
-        return F.transform(F.sequence(F.lit(1), n - size + 1), lambda start: rank(F.substring(word, start, size)).cast("bigint") * 4096 + (start - 1) * 64 + size)
+        hashes = F.transform(F.sequence(F.lit(1), n - size + 1), lambda start: F.xxhash64(F.substring(word, start, size)))
+        return F.transform(hashes, lambda h, start: rank(h) * 4096 + start * 64 + size)
 
     known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(longest))), runs_of))))
     mask = F.aggregate(known, F.lit(-1).cast("bigint"), merged)
@@ -144,15 +163,16 @@ def bpe_word(word: Column, rank, longest: int) -> Column:
         # the next boundary is the lowest bit left above this one
         rest = lambda k: right(mask, k + 1)
         size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
-        return F.transform(starts, lambda k: rank(F.substring(word, k + 1, size(k))))
+        return F.transform(F.transform(starts, lambda k: F.xxhash64(F.substring(word, k + 1, size(k)))), lambda h: rank(h).cast("int"))
 
-    return let(rank(word), lambda whole: F.when(whole.isNotNull() | (n < 2), F.array(whole)).otherwise(let(mask, ids)))
+    whole = F.transform(F.array(F.xxhash64(word)), lambda h: rank(h).cast("int"))
+    return let(whole, lambda own: F.when(F.get(own, F.lit(0)).isNotNull() | (n < 2), own).otherwise(let(mask, ids)))
 
 
 def bpe(text: Column, ranks: RankMap, pattern: str) -> Column:
     """Ids (array<int>) of a string column of at most BITS bytes: each match of pattern is folded separately."""
     words = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return ranks.bound(lambda rank: F.flatten(F.transform(words, lambda w: bpe_word(F.decode(w.cast("binary"), "ISO-8859-1"), rank, ranks.longest))))
+    return ranks.bound(lambda rank: F.flatten(F.transform(F.transform(words, lambda w: w.cast("binary")), lambda w: bpe_word(w, rank, ranks.longest))))
 
 
 def joined(ids: Column, strings: list[bytes]) -> Column:
