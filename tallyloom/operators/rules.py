@@ -87,35 +87,31 @@ FROM c JOIN bt ON bt.item_id = c.item_id LEFT JOIN dt ON dt.doc_id = c.doc_id AN
 def benchmark_recall(t: Tables) -> DataFrame:
     """For documents that share five words in a row with an item: how much of the item's words they have.
 
-    Runs of words are hashed. Documents are cut into words once and written nowhere: those
-    that share no hash leave before anything is exploded, where the items' hashes are few
-    enough to stand in the plan; else hashes are joined by shuffle.
+    Runs of words are hashed where the documents lie. The items' hashes are broadcast where
+    they are counted to be few, so that no run of a document is shuffled; else both sides are.
     """
     w = word_list(F.lower("text")).alias("w")
     b = t.read("benchmark").where("text is not null").select("item_id", w)
     d = t.read("documents").where("text is not null").select("doc_id", w)
-    b, d = (x.withColumn("h", word_runs(F.col("w"))) for x in (b, d))
-    bs = b.select("item_id", F.explode("h").alias("s"))
-    n = bs.count()
-    small = n <= MOST_HASHES
-    if small:  # counted: at most 16 bytes each
-        d = d.join(F.broadcast(bs.agg(F.collect_set("s").alias("known"))), on=F.lit(True)).where(F.arrays_overlap("h", "known")).drop("known")
-    pairs = d.select("doc_id", "w", "h").select("doc_id", "w", F.explode("h").alias("s")).join(F.broadcast(bs) if small else bs, "s")
-    c = pairs.groupBy("item_id", "doc_id").agg(F.first("w").alias("w"))
+    bs = b.select("item_id", F.explode(F.array_distinct(word_runs(F.col("w")))).alias("s"))
+    small = bs.count() <= MOST_HASHES  # at most 16 bytes each
+    runs = d.select("doc_id", F.explode(word_runs(F.col("w"))).alias("s"))
+    c = runs.join(F.broadcast(bs) if small else bs, "s").select("item_id", "doc_id").distinct()
     bt = b.select("item_id", F.explode("w").alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
-    dt = c.select("item_id", "doc_id", F.explode("w").alias("t")).groupBy("item_id", "doc_id", "t").agg(F.count("*").alias("m"))
-    rows = c.select("item_id", "doc_id").join(F.broadcast(bt) if small else bt, "item_id").join(dt, ["item_id", "doc_id", "t"], "left")
+    found = t.read("documents").select("doc_id", "text").join(c.select("doc_id").distinct(), "doc_id", "left_semi")
+    dt = found.select("doc_id", F.explode(word_list(F.lower("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("m"))
+    rows = c.join(bt, "item_id").join(dt, ["doc_id", "t"], "left")
     share = F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")
     return rows.groupBy("item_id", "doc_id").agg(F.round(share, 6).alias("recall"))
 
 
-MOST_HASHES = 200_000
+MOST_HASHES = 1_000_000
 
 
 def word_runs(w: Column) -> Column:
-    """Distinct hashes of five words in a row."""
-    some = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
-    return F.array_distinct(F.when(F.size(w) >= SHINGLE, some).otherwise(F.array().cast("array<bigint>")))
+    """One hash for each five words in a row."""
+    some = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
+    return F.when(F.size(w) >= SHINGLE, some).otherwise(F.array().cast("array<bigint>"))
 
 
 @query("near_token", r"""
