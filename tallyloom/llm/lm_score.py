@@ -11,7 +11,7 @@ left out for being rare or frequent.
 Documents are cut into chunks of a bounded number of words, each with its words
 numbered. A chunk's n-grams of all orders are exploded and summed in place (so that a
 frequent n-gram is one entry of a chunk, however many of its documents have it), and
-dealt out by ranges of their 64-bit hash. Each range is one part of the count tables:
+dealt out by ranges of their 60-bit hash. Each range is one part of the count tables:
 its entries are summed by hash, and the sums are joined back to the entries of each
 chunk. Chunks meet their counts by chunk number and sum them by document. Entries
 travel as compressed blocks, one for each chunk, order and range: sorted hashes as
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, partitions, sliced, table
 
-BACKOFF, ORDER, CHUNK_WORDS, RANGE_BYTES = 0.4, 3, 2_500_000, 32 << 20
+BACKOFF, ORDER, CHUNK_WORDS, RANGE_BYTES = 0.4, 3, 1_500_000, 32 << 20
+SPARE = 4  # low bits of a hash that are left out, which makes blocks smaller
 
 
 class _Numbers(dict):
@@ -89,7 +90,7 @@ def unpack_counts(data: bytes, size: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> tuple[bytes, int]:
-    """Sorted 64-bit keys: the first one, then differences with the bytes that the largest of them needs."""
+    """Sorted keys: the first one, then differences with the bytes that the largest of them needs."""
     steps = np.diff(keys)
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
     return packed(keys[:1].tobytes() + planes(steps, width)), width
@@ -150,7 +151,7 @@ class Chunk:
         self.start = np.cumsum(self.sizes) - self.sizes
 
     def ngrams(self, order: int):
-        """For each order from 1: where its n-grams end, and their hashes."""
+        """For each order from 1: where its n-grams end, and their hashes (60 bits)."""
         g = self.words
         for k in range(1, order + 1):
             if k > 1:
@@ -161,7 +162,7 @@ class Chunk:
             for back in range(1, k):  # not those that reach into the next text
                 at = self.start - back
                 inside[at[(at >= 0) & (at < len(g))]] = False
-            yield np.flatnonzero(inside) + k - 1, g[inside]
+            yield np.flatnonzero(inside) + k - 1, g[inside] >> np.uint64(SPARE)
 
 
 def requests(batches, order: int, ranges: int):
@@ -171,7 +172,7 @@ def requests(batches, order: int, ranges: int):
             chunk = b["chunk"][at].as_py()
             for k, (_, grams) in enumerate(Chunk(b, at).ngrams(order)):
                 keys, n = np.unique(grams, return_counts=True)
-                cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+                cuts = np.searchsorted((keys >> np.uint64(32 - SPARE)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
                 rows = [(k * ranges + r, chunk, e - s, *pack_keys(keys[s:e]), pack_counts(n[s:e])) for r, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["range", "chunk", "size", "keys", "width", "n"])
