@@ -40,7 +40,7 @@ FAMILIES = {
     "slavic": "ru uk pl cs sk bg sr hr sl",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-PER_LANGUAGE, LANGUAGES, CHARS, BITS = 500, 100, 20, 12
+PER_LANGUAGE, LANGUAGES, CHARS, BITS = 500, 40, 20, 12
 COLUMNS = ("lang_pred", "lang_score")
 UNKNOWN = "und"
 #: Least lengths of the classes in which scores are compared; the part of learned texts that a floor may lose, and how many a class needs.
