@@ -130,7 +130,7 @@ def one_stimulus(t: Tables) -> DataFrame:
 SELECT c_custkey AS id, lower(trim('  ' || c_name || '@Example.COM ')) AS email, regexp_matches(lower(trim(c_name || CASE WHEN c_custkey % 4 = 0 THEN '@@x' ELSE '@example.com' END)), '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS email_ok,
        length(c_name) BETWEEN 2 AND 80 AND NOT regexp_matches(c_name || CASE WHEN c_custkey % 5 = 0 THEN chr(7) ELSE '' END, '\p{Cc}') AS name_ok, regexp_matches(right(c_name, 3 + (c_custkey % 3)::INT), '^[0-9]{4}$') AS pin_ok,
        CASE WHEN upper(trim(' ' || chr(97 + (c_custkey % 6)::INT) || ' ')) IN ('A', 'B', 'C', 'D') THEN upper(chr(97 + (c_custkey % 6)::INT)) END AS choice,
-       'vine:draft:' || replace(replace(url_encode(c_name || ' ' || c_mktsegment || '/é'), '+', '%20'), '%23', '%23') AS draft_key, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Nombre ' || c_name END AS title,
+       'draft:' || replace(replace(url_encode(c_name || ' ' || c_mktsegment || '/é'), '+', '%20'), '%23', '%23') AS draft_key, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Nombre ' || c_name END AS title,
        (c_name = 'Customer#000000007' AND c_mktsegment = 'BUILDING') OR (c_name = 'Customer#000000011' AND c_nationkey > 3) OR c_custkey % 100 = 1 AS listed, CASE WHEN c_nationkey BETWEEN 3 AND 8 THEN c_nationkey END AS grade
 FROM customer""")
 def profile_fields(t: Tables) -> DataFrame:
@@ -144,7 +144,7 @@ def profile_fields(t: Tables) -> DataFrame:
     text = F.struct(name.alias("en"), F.concat(F.lit("Nombre "), name).alias("es"))
     return t.read("customer").select(
         key.alias("id"), F.lower(F.trim(F.concat(F.lit("  "), name, F.lit("@Example.COM ")))).alias("email"), address.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$").alias("email_ok"), (F.length(name).between(2, 80) & ~control).alias("name_ok"),
-        F.right(name, (key % 3 + 3).cast("int")).rlike("^[0-9]{4}$").alias("pin_ok"), F.when(letter.isin("A", "B", "C", "D"), letter).alias("choice"), F.concat(F.lit("vine:draft:"), encoded).alias("draft_key"),
+        F.right(name, (key % 3 + 3).cast("int")).rlike("^[0-9]{4}$").alias("pin_ok"), F.when(letter.isin("A", "B", "C", "D"), letter).alias("choice"), F.concat(F.lit("draft:"), encoded).alias("draft_key"),
         F.when(key % 2 == 0, text["en"]).otherwise(text["es"]).alias("title"), pair.alias("listed"), F.when(F.col("c_nationkey").between(3, 8), F.col("c_nationkey")).alias("grade"))
 
 

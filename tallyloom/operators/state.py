@@ -13,7 +13,7 @@ from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
 SEGMENTS = {"1-URGENT": "BUILDING", "2-HIGH": "MACHINERY", "3-MEDIUM": "HOUSEHOLD"}
-RATINGS = {"hard": 1, "ok": 3, "easy": 7}  # days until the next review
+RATINGS = {"hard": 1, "ok": 3, "easy": 7}  # fixed values: days until the next review
 SHORT_KINDS, SHORT_MS, LONG_MS = ("1-URGENT", "2-HIGH"), 30 * 60 * 1000, 7 * 24 * 60 * 60 * 1000
 
 
