@@ -171,7 +171,10 @@ def table_facts(t: Tables) -> DataFrame:
     return reduce(DataFrame.union, rows)
 
 
-@query("table_columns", "SELECT table_name AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY column_name) AS names FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'lineitem', 'part', 'events') GROUP BY table_name")
+COLUMN_TABLES = ("customer", "orders", "lineitem", "part", "events")
+
+
+@query("table_columns", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY column_name) AS names FROM (DESCRIBE {name})" for name in COLUMN_TABLES))
 def table_columns(t: Tables) -> DataFrame:
     """Columns of the tables, from their schemas."""
     def one(name: str) -> DataFrame:
@@ -179,7 +182,7 @@ def table_columns(t: Tables) -> DataFrame:
         first = t.read(name).limit(1).select(F.lit(name).alias("name"), F.lit(len(columns)).cast("bigint").alias("columns"), F.lit(",".join(columns)).alias("names"))
         return first
 
-    return reduce(DataFrame.union, map(one, ("customer", "orders", "lineitem", "part", "events")))
+    return reduce(DataFrame.union, map(one, COLUMN_TABLES))
 
 
 @query("skill_maps", """
