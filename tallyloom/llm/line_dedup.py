@@ -100,8 +100,8 @@ class Going:
     """The hash that the stream has reached, whose rows may go on in the next batch."""
 
     def __init__(self, first: bool, least: int):
-        self.first, self.least = first, least  # first: of this range, so that the range before may have it too
-        self.docs: pa.Array | None = None  # up to least documents, largest first
+        self.first, self.least, self.most = first, least, max(2, least)  # first: of this range, so that the range before may have it too
+        self.docs: pa.Array | None = None  # up to most documents, largest first
         self.waiting: list[pa.RecordBatch] = []  # rows of the second to last-but-one of them
 
     def take(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -109,12 +109,12 @@ class Going:
         new = steps(ids if self.docs is None else pa.concat_arrays([self.docs.slice(len(self.docs) - 1), ids]))
         if self.docs is None:
             new[0] = True
-        elif len(self.docs) < self.least:
+        elif len(self.docs) < self.most:
             new = new[1:]
         else:
             new = np.zeros(len(ids), bool)
         known = 0 if self.docs is None else len(self.docs)
-        at = np.flatnonzero(new)[: self.least - known]
+        at = np.flatnonzero(new)[: self.most - known]
         fresh = ids.take(pa.array(at))
         self.docs = fresh if self.docs is None else pa.concat_arrays([self.docs, fresh])
         if self.first:

@@ -1,19 +1,20 @@
 """Spelling variants by PartEnum signatures of letter multisets.
 
-Two words are near if one code point is inserted, deleted or replaced. Then their letter
-multisets, seen as binary vectors (one dimension for the first a, one for the second a,
-and so on), have a Hamming distance of at most two. Dimensions are dealt by hash into
-``parts`` parts; two such vectors differ in two parts at most, so that they agree in all
-of at least one choice of parts - 2 of them. Each choice gives a signature: the letters
-that a word has in the chosen parts, and the length of the shorter of two words that it
-looks for. Near words so share a signature for certain; words are met by an equality
-join of signatures and then compared letter by letter.
-
-A signature that many words share (frequent letters, anagrams) is met by a further key,
-the letters before or after the middle: one edit leaves one of the halves as it is. So no
-task gets a whole crowded signature, and in each group words are compared by halves too:
-work grows with the words and the near pairs, not with the square of a group. A pair is
-returned once, by the first signature that it shares.
+Two words are near if one code point is inserted, deleted or replaced. Take their letter
+multisets as binary vectors (one dimension for the first a, one for the second a, and so
+on): words of one length then differ in exactly two dimensions, words of lengths L and
+L + 1 in one. Dimensions are dealt by hash into ``parts`` parts, and the parts that an edit
+doesn't touch agree: for words of one length all but some two, else all but some one.
+Each choice of parts left out gives a signature: the letters in the others, and the
+shorter word's length. Near words share a signature for certain; words are met by an
+equality join of signatures and then compared letter by letter. Which choice it is follows
+from the letters that differ, so that a pair is returned once.
+
+In a group, words are only compared with those that are alike before or after the middle,
+since one edit leaves one of the halves as it is. Of a signature that more than ``crowd``
+words share (frequent letters, anagrams), the halves become part of the join key, so that
+no task gets all of it. Work so grows with words and near pairs, not with the square of a
+group.
 
 Words are counted by tasks before the shuffle. A word's form is its near word of largest
 count, if that is at least twice its own; roots follow forms by doubling steps, so that
@@ -30,6 +31,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,86 +40,92 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, runs, sliced, table
+from tallyloom.llm.common import materialize, sliced, table
 
 LEAST_CHARS, LEAST_COUNT, MANY_TIMES = 5, 3, 2
 TYPOS = 97  # a run whose hash that divides loses a code point
-PARTS, DISTANCE = 6, 2
-CROWD = 1000  # words of a signature that one task compares
-HELD = 200_000  # words that a task counts before it passes them on
-#: Runs of A-Z, a-z and U+00C0 to U+00FF in UTF-8.
-RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
+PARTS = 5
+CROWD = 1000  # words of a signature that are not dealt out by halves
+FEW = 200_000  # crowded signatures that are broadcast, counted first
+HELD = 400_000  # words that a task counts before it passes them on
 
 
-def results(doc_id: str, text: bytes, typos: int = TYPOS) -> Counter[bytes]:
-    """How often each run of a text occurs, lower-cased in A-Z, some with a code point deleted."""
-    begun, found = zlib.crc32(f"{doc_id}:".encode()), Counter()
-    for run, n in Counter(RUN.findall(text.lower())).items():
-        if (h := zlib.crc32(run, begun)) % typos == 0:
-            letters = run.decode()
-            at = h % len(letters)
-            run = (letters[:at] + letters[at + 1 :]).encode()
-        found[run] += n
-    return found
+def runs_of(text: str, least: int = LEAST_CHARS) -> Counter[bytes]:
+    """The maximal runs of A-Z, a-z and U+00C0 to U+00FF of at least so many code points, A-Z lower-cased, in Latin-1."""
+    return Counter(re.findall(rb"[a-z\xc0-\xff]{%d,}" % least, text.encode("latin-1", "replace").lower()))
+
+
+def count_words(held: dict[bytes, int], doc_id: str, text: str, least: int = LEAST_CHARS, typos: int = TYPOS) -> None:
+    """Add a text's words (in Latin-1) to held; of some runs a code point is deleted. Shorter runs have no word that counts."""
+    begun, crc, get = zlib.crc32(f"{doc_id}:".encode()), zlib.crc32, held.get
+    for run, n in runs_of(text, least).items():
+        h = crc(run if run.isascii() else run.decode("latin-1").encode(), begun)
+        if not h % typos:
+            at = h % len(run)
+            run = run[:at] + run[at + 1 :]
+        held[run] = get(run, 0) + n
 
 
 def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, typos: int = TYPOS) -> DataFrame:
     """word, n of all words that are long and frequent enough."""
 
     def count(batches):
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, int] = {}
 
         def out():
-            words = [w for w in held if len(w) >= least_chars and (w.isascii() or len(w.decode()) >= least_chars)]
-            return pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+            words = [w for w in held if len(w) >= least_chars]
+            return pa.record_batch([pa.array([w.decode("latin-1") for w in words], pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
 
         for b in sliced(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.update(results(doc_id, text, typos))
+                count_words(held, doc_id, text, least_chars, typos)
                 if len(held) > HELD:
                     yield out()
                     held.clear()
         yield out()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string").cast("binary")).where("text is not null")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string")).where("text is not null")
     return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def choices(parts: int = PARTS, distance: int = DISTANCE) -> list[tuple[int, ...]]:
-    """The parts that each signature leaves out."""
-    return list(combinations(range(parts), distance))
-
-
-class _Cells(dict):
-    """(letter, how many of it came before) -> part and 64-bit hash."""
+class Cells(dict):
+    """(letter, how many of it came before), a dimension -> part and 64-bit hash."""
 
-    def __init__(self, parts: int):
+    def __init__(self, parts: int = PARTS):
         self.parts = parts
+        self.pairs = list(combinations(range(parts), 2))  # left out for words of one length; one part for the others
+        self.kind = {p: k for k, p in enumerate(self.pairs)}
 
     def __missing__(self, cell: tuple[str, int]) -> tuple[int, int]:
         h = xxhash.xxh64_intdigest(f"{cell[0]}{cell[1]}".encode("utf-8", "surrogatepass"), 3)
         self[cell] = found = (h % self.parts, h)
         return found
 
-
-def part_sums(word: str, cells: _Cells) -> list[int]:
-    """The sum of the hashes of a word's letters in each part."""
-    sums, before = [0] * cells.parts, {}
-    for c in word:
-        k = before.get(c, 0)
-        before[c] = k + 1
-        part, h = cells[c, k]
-        sums[part] += h
-    return sums
-
-
-def signatures(words: list[str], parts: int = PARTS, distance: int = DISTANCE) -> np.ndarray:
-    """A row of 64-bit signatures for each word: the letters outside each choice of parts."""
-    cells = _Cells(parts)
-    sums = np.array([[s & (2**64 - 1) for s in part_sums(w, cells)] for w in words], np.uint64).reshape(len(words), parts)
-    total = sums.sum(axis=1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        return np.stack([(total - sums[:, list(out)].sum(axis=1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k) for k, out in enumerate(choices(parts, distance))], axis=1).view(np.int64)
+    def sums(self, word: str) -> list[int]:
+        """The sum of the hashes of a word's dimensions in each part."""
+        sums, before = [0] * self.parts, {}
+        for c in word:
+            k = before.get(c, 0)
+            before[c] = k + 1
+            part, h = self[c, k]
+            sums[part] += h
+        return [x & (2**64 - 1) for x in sums]
+
+    def signatures(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its 64-bit signatures of each pair of parts left out, then of each single part."""
+        sums = np.array([self.sums(w) for w in words], np.uint64).reshape(len(words), self.parts)
+        total = sums.sum(axis=1, dtype=np.uint64)
+        out = [total - sums[:, p] - sums[:, q] for p, q in self.pairs] + [total - sums[:, p] for p in range(self.parts)]
+        return np.stack([x * np.uint64(0x9E3779B97F4A7C15) for x in out], axis=1).view(np.int64)
+
+    def kind_of(self, a: str, b: str) -> int:
+        """The signature by which two near words (a not the longer) are returned: the first one that leaves out what differs."""
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        q = self[b[k], b.count(b[k]) - 1][0]
+        if len(a) < len(b):
+            return len(self.pairs) + q
+        p = self[a[k], a.count(a[k]) - 1][0]
+        return self.kind[min(p, q), max(p, q)] if p != q else self.kind[(p, p + 1) if p == 0 else (0, p)]
 
 
 def is_near(a: str, b: str) -> bool:
@@ -137,44 +145,83 @@ def halves(word: str, short: int) -> tuple[str, str]:
     return word[: short // 2], word[len(word) - (short - short // 2) :]
 
 
-def near_in_group(words: list[str], short: int) -> set[tuple[int, int]]:
-    """Pairs of near words, the shorter of which has short letters, as positions."""
-    by_half: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
-    for i, w in enumerate(words):
-        for side, half in enumerate(halves(w, short)):
-            by_half.setdefault((side, half), ([], []))[len(w) != short].append(i)
-    found = set()
-    for same, longer in by_half.values():
-        for k, i in enumerate(same):
-            for j in same[k + 1 :]:
-                if is_near(words[i], words[j]):
-                    found.add((min(i, j), max(i, j)))
-            for j in longer:
-                if is_near(words[i], words[j]):
-                    found.add((min(i, j), max(i, j)))
-    return found
-
-
-def compared(batches, parts: int, distance: int):
-    """Sorted rows (kind, sig, short, half, word, n): word, other, other_n of near pairs, in both directions."""
-    for t in runs(batches, ["kind", "sig", "short", "half"]):
-        if t.num_rows < 2:
+KEY = ["kind", "sig", "short", "half"]
+
+
+def groups_of(batches) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of equal KEY, of a sorted stream; about a batch each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        words, short, half, kind = t.column("word").to_pylist(), t.column("short")[0].as_py(), t.column("half")[0].as_py(), t.column("kind")[0].as_py()
-        pairs = sorted(near_in_group(words, short))
-        if not pairs:
+        cols = [b.column(k).to_numpy() for k in KEY]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if held and any(c[0] != held[-1].column(k)[held[-1].num_rows - 1].as_py() for k, c in zip(KEY, cols)):
+            cuts = np.concatenate([[0], cuts])
+        if len(cuts):
+            last = int(cuts[-1])
+            whole = [*held, b.slice(0, last)]
+            held = [b.slice(last)]
+            if sum(x.num_rows for x in whole):
+                yield pa.Table.from_batches(whole)
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(group: np.ndarray, half: np.ndarray, short: np.ndarray, size: np.ndarray, same_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group with equal halves; of unlike lengths where the group isn't one of a single length."""
+    order = np.lexsort((half, group))
+    new = (group[order][1:] != group[order][:-1]) | (half[order][1:] != half[order][:-1])
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
+    many = np.flatnonzero(np.diff(starts) > 1)
+    left, right = [], []
+    for lo, hi in zip(starts[many].tolist(), starts[many + 1].tolist()):
+        rows = order[lo:hi]
+        if same_length[rows[0]]:
+            i, j = np.triu_indices(hi - lo, 1) if hi - lo > 2 else ([0], [1])
+            left.append(rows[i])
+            right.append(rows[j])
+        else:
+            a, b = rows[size[rows] == short[rows]], rows[size[rows] != short[rows]]
+            if len(a) and len(b):
+                left.append(np.repeat(a, len(b)))
+                right.append(np.tile(b, len(a)))
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def compared(batches, parts: int):
+    """Sorted rows (KEY, word, n): word, other, other_n of near pairs, in both directions, each pair by one of its signatures."""
+    cells = Cells(parts)
+    one_length = len(cells.pairs)
+    for t in groups_of(batches):
+        kind, sig, short, key_half = (t.column(k).to_numpy() for k in KEY)
+        words, n = t.column("word").to_pylist(), t.column("n").to_numpy()
+        new = np.zeros(len(kind), np.int64)
+        new[1:] = (kind[1:] != kind[:-1]) | (sig[1:] != sig[:-1]) | (short[1:] != short[:-1]) | (key_half[1:] != key_half[:-1])
+        group, size = np.cumsum(new), np.fromiter(map(len, words), np.int64, len(words))
+        alone = np.bincount(group)[group] == 1
+        if alone.all():
             continue
-        used = sorted({i for p in pairs for i in p})
-        at = {i: k for k, i in enumerate(used)}
-        sigs = signatures([words[i] for i in used], parts, distance)
-        left, right = (np.array([at[p[k]] for p in pairs]) for k in (0, 1))
-        first = (sigs[left] == sigs[right]).argmax(axis=1) == kind
-        if half:  # of a pair with two equal halves, the first one returns it
-            first &= np.array([side_of(words[i], words[j], short) == half for i, j in pairs])
-        n = t.column("n").to_pylist()
-        pairs = [p for p, ok in zip(pairs, first) if ok]
-        both = pairs + [(j, i) for i, j in pairs]
-        yield pa.record_batch([pa.array([words[i] for i, _ in both], pa.string()), pa.array([words[j] for _, j in both], pa.string()), pa.array([n[j] for _, j in both], pa.int64())], ["word", "other", "other_n"])
+        cut = (short // 2).tolist()
+        heads = np.fromiter((hash(w[:k]) for w, k in zip(words, cut)), np.int64, len(words))
+        tails = np.fromiter((hash(w[k - s :]) for w, k, s in zip(words, cut, short.tolist())), np.int64, len(words))
+        found: set[tuple[int, int]] = set()
+        for half in (heads, tails):
+            left, right = candidates(group, half, short, size, kind < one_length)
+            for i, j, k in zip(left.tolist(), right.tolist(), kind[left].tolist()):
+                a, b = words[i], words[j]
+                if is_near(a, b) and cells.kind_of(a, b) == k and (i, j) not in found and (j, i) not in found:
+                    side = key_half[i]
+                    if not side or side == half_key(a, int(short[i]), first_half(a, b, int(short[i]))):
+                        found.add((i, j))
+        if found:
+            i, j = (np.array(x) for x in zip(*found))
+            a, b = [words[k] for k in i.tolist()], [words[k] for k in j.tolist()]
+            yield pa.record_batch([pa.array(a + b, pa.string()), pa.array(b + a, pa.string()), pa.array(np.concatenate([n[j], n[i]]))], ["word", "other", "other_n"])
 
 
 def half_key(word: str, short: int, side: int) -> int:
@@ -182,46 +229,49 @@ def half_key(word: str, short: int, side: int) -> int:
     return xxhash.xxh64_intdigest(halves(word, short)[side].encode("utf-8", "surrogatepass"), side) >> 2 | 1
 
 
-def side_of(a: str, b: str, short: int) -> int:
-    """The key of the first half that both have."""
-    return half_key(a, short, 0 if halves(a, short)[0] == halves(b, short)[0] else 1)
+def first_half(a: str, b: str, short: int) -> int:
+    """The first of the halves that both words have: by its key they are returned."""
+    return 0 if halves(a, short)[0] == halves(b, short)[0] else 1
 
 
-def near_words(words: DataFrame, parts: int = PARTS, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """word, other, other_n: each pair of near words of words (word, n) twice, once from each side."""
+def signed(words: DataFrame, parts: int = PARTS) -> DataFrame:
+    """kind, sig, short, word, n: a row for each signature of a word; short is the length of the shorter word of a pair."""
 
-    def signed(batches):
+    def run(batches):
+        cells = Cells(parts)
+        pairs = len(cells.pairs)
+        kinds = np.array([*range(pairs), *range(pairs, pairs + parts), *range(pairs, pairs + parts)], np.int32)
+        less = np.array([0] * (pairs + parts) + [1] * parts, np.int32)  # as the shorter one, or of equal length; then as the longer one
         for b in sliced(batches, 2000):
             found = b.column("word").to_pylist()
-            sigs = signatures(found, parts, distance)
             size = np.fromiter(map(len, found), np.int32, len(found))
-            rows, kinds = sigs.shape
-            at = pa.array(np.repeat(np.arange(rows), 2 * kinds))
-            kind = np.tile(np.repeat(np.arange(kinds, dtype=np.int32), 2), rows)
-            short = np.repeat(size, 2 * kinds) - np.tile(np.array([0, 1], np.int32), rows * kinds)
-            yield pa.record_batch([pa.array(kind), pa.array(np.repeat(sigs.ravel(), 2)), pa.array(short), b.column("word").take(at), b.column("n").take(at)], ["kind", "sig", "short", "word", "n"])
+            at = pa.array(np.repeat(np.arange(len(found)), len(kinds)))
+            sigs = cells.signatures(found)[:, kinds] if found else np.empty(0, np.int64)
+            short = (size[:, None] - less[None, :]).ravel()
+            yield pa.record_batch([pa.array(np.tile(kinds, len(found))), pa.array(sigs.ravel()), pa.array(short), b.column("word").take(at), b.column("n").take(at)], ["kind", "sig", "short", "word", "n"])
+
+    return words.select("word", "n").mapInArrow(run, "kind int, sig bigint, short int, word string, n bigint")
+
+
+def near_words(words: DataFrame, parts: int = PARTS, crowd: int = CROWD) -> DataFrame:
+    """word, other, other_n: each pair of near words of words (word, n) twice, once from each side."""
 
     def halved(batches):
         for b in sliced(batches, 2000):
             found, short = b.column("word").to_pylist(), b.column("short").to_pylist()
             at = pa.array(np.repeat(np.arange(len(found)), 2))
             half = np.array([half_key(w, s, side) for w, s in zip(found, short) for side in (0, 1)], np.int64)
-            yield pa.record_batch([*(b.column(c).take(at) for c in ("kind", "sig", "short")), pa.array(half), b.column("word").take(at), b.column("n").take(at)], names)
-
-    names = ["kind", "sig", "short", "half", "word", "n"]
-    schema = "kind int, sig bigint, short int, half bigint, word string, n bigint"
-    key = ["kind", "sig", "short"]
-    rows = words.select("word", "n").mapInArrow(signed, "kind int, sig bigint, short int, word string, n bigint")
-    # signatures of one word go; those of many are dealt out by halves
-    shared = rows.groupBy(*key).agg(F.count("*").alias("words")).where("words > 1")
-    shared = materialize(shared, "signatures")
-    crowded = shared.where(F.col("words") > crowd).select(*key)
-    some = materialize(rows.join(shared.select(*key, (F.col("words") > crowd).alias("crowded")), key), "signed")
-    dealt = some.where("not crowded").select(*key, F.lit(0).cast("bigint").alias("half"), "word", "n")
-    if not crowded.isEmpty():
-        dealt = dealt.union(some.where("crowded").select(*key, "word", "n").mapInArrow(halved, schema))
-    order = [*key, "half"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda it: compared(it, parts, distance), "word string, other string, other_n bigint")
+            yield pa.record_batch([*(b.column(c).take(at) for c in KEY[:3]), pa.array(half), b.column("word").take(at), b.column("n").take(at)], [*KEY, "word", "n"])
+
+    rows, key = signed(words, parts), KEY[:3]
+    crowded = materialize(rows.groupBy(*key).agg(F.count("*").alias("words")).where(F.col("words") > crowd).select(*key), "crowded")
+    if many := crowded.count():
+        known = F.broadcast(crowded) if many <= FEW else crowded
+        split = rows.join(known, key, "left_semi").mapInArrow(halved, "kind int, sig bigint, short int, half bigint, word string, n bigint")
+        rows = rows.join(known, key, "left_anti").select(*key, F.lit(0).cast("bigint").alias("half"), "word", "n").union(split)
+    else:
+        rows = rows.select(*key, F.lit(0).cast("bigint").alias("half"), "word", "n")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda it: compared(it, parts), "word string, other string, other_n bigint")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -238,7 +288,7 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, times: int = MANY_TIMES, typos: int = TYPOS, parts: int = PARTS, crowd: int = CROWD) -> DataFrame:
     """word, form, root, n, n_near, form_n for each word of docs."""
     words = materialize(word_counts(docs, least_chars, least_count, typos), "words")
-    near = near_words(words, parts, DISTANCE, crowd).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best"))
+    near = near_words(words, parts, crowd).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best"))
     joined = words.join(near, "word", "left").withColumn("is_form", F.coalesce(-F.col("best.less") >= times * F.col("n"), F.lit(False)))
     found = materialize(joined.select(
         "word", F.when(F.col("is_form"), F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(F.col("is_form"), -F.col("best.less")).alias("form_n")), "forms")
