@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+#: Pairs, and the share of pairs, from which a token counts as doubled.
 PAIRS, SHARE = 3, 0.6
 
 
@@ -23,23 +24,17 @@ def is_doubled(token: str) -> bool:
 
 #: Glyphs that stand for two letters, which are then doubled as a pair.
 UNITS = ("fi", "fl", "ff", "ft", "Th", "th")
+ONCE = re.compile(rf"(.)\1|({'|'.join(UNITS)})\2")
+ALL_TWICE = re.compile(rf"(?:(.)\1|({'|'.join(UNITS)})\2)+")
 
 
 def repair(token: str) -> str:
-    """A token read as doubled letters and doubled pairs of UNITS throughout; as it is if it can't be.
+    """A token that is written twice throughout, letter by letter or unit by unit, written once; others, and two letters, as they are.
 
-    From the end, each position knows whether the rest can be read, and how it begins.
+    A letter that is followed by itself can't begin a unit that is read otherwise (ff is the
+    same either way), so what matches as a whole can be halved from the left.
     """
-    n = len(token)
-    if n < 4 or n % 2:
-        return token
-    rest: list[str | None] = [None] * n + [""]
-    for i in range(n - 2, -1, -1):
-        if token[i] == token[i + 1] and rest[i + 2] is not None:
-            rest[i] = token[i] + rest[i + 2]
-        elif token[i : i + 2] in UNITS and token[i : i + 2] == token[i + 2 : i + 4] and rest[i + 4] is not None:
-            rest[i] = token[i : i + 2] + rest[i + 4]
-    return token if rest[0] is None else rest[0]
+    return ONCE.sub(lambda m: m[1] or m[2], token) if len(token) > 3 and ALL_TWICE.fullmatch(token) else token
 
 
 @pandas_udf(T.IntegerType())
@@ -72,6 +67,6 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 def ligatures(text: Column) -> Column:
     """Latin ligatures as letters."""
-    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st")):
+    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
         text = F.replace(text, F.lit(sign), F.lit(letters))
     return text

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.groups import fold_groups
+from tallyloom.functions.groups import fold_cogroups, fold_groups
 from tallyloom.operators.layout import exchanges
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
@@ -144,7 +145,10 @@ def matches(items: list[str], targets: list[str], fits=lambda a, b: a == b) -> t
 
 @query("standards_align")
 def standards_align(t: Tables) -> DataFrame:
-    """Each short attempt's items aligned with a learner's whole list of the year, by domain: the places, and whether they are ambiguous."""
+    """The items of a learner's last attempt of a year aligned with the whole list of the year, by domain: the places, and whether they are ambiguous.
+
+    The list holds the items, so they can always be placed; map_align aligns two tables.
+    """
     p = t.read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("domain"))
     o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"), F.year("o_orderdate").alias("year"))
     lines = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(o, "l_orderkey").join(p, "l_partkey")
@@ -152,13 +156,45 @@ def standards_align(t: Tables) -> DataFrame:
     def fold(rows: list[dict]) -> list[tuple]:
         targets = [r["domain"] for r in rows]
         last = max(r["l_orderkey"] for r in rows)
-        items = [r["domain"] for r in rows if r["l_orderkey"] == last][:3]
+        items = [r["domain"] for r in rows if r["l_orderkey"] == last]
         found = matches(items, targets)
         return [(rows[0]["user_id"], rows[0]["year"], ",".join(map(str, found[0])), found[1])]
 
     return fold_groups(lines, ["user_id", "year"], ["l_orderkey", "l_linenumber", "l_partkey"], fold, "user_id bigint, year int, places string, ambiguous boolean")
 
 
+def compatible(item: tuple, mapped: tuple) -> bool:
+    """Whether two signatures (parts, last part) agree; a missing last part fits any."""
+    return item[:-1] == mapped[:-1] and (item[-1] is None or mapped[-1] is None or item[-1] == mapped[-1])
+
+
+@query("map_align")
+def map_align(t: Tables) -> DataFrame:
+    """All items of each attempt aligned, in order, with the learner's map: where each lands, or that it can't be done.
+
+    The map is the learner's events in time; an item and an event have a domain and a last
+    part that may be missing and then fits any. An attempt is failed, ambiguous (there is
+    another way; the earliest is given) or aligned.
+    """
+    sub = lambda c, k: F.when(c % k > 0, c % 2)
+    o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
+    part = F.col("l_partkey")
+    items = t.read("lineitem").join(o, "l_orderkey").select("user_id", F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("number"), part.alias("part"), (part % 17).alias("domain"), sub(F.floor(part / 17), 3).alias("sub"))
+    k = F.coalesce("k", F.lit(0)).cast("bigint")
+    mapped = t.answers.select("user_id", "ts", "event_id", (k % 17).alias("domain"), sub(F.floor(k / 17), 4).alias("sub"))
+
+    def fold(items: list[dict], mapped: list[dict]) -> list[tuple]:
+        targets, out = [(m["domain"], m["sub"]) for m in mapped], []
+        for attempt, rows in groupby(items, key=lambda r: r["attempt"]):
+            own = [(r["domain"], r["sub"]) for r in rows]
+            found = matches(own, targets, compatible)
+            places = found and ",".join(map(str, found[0]))
+            out.append((items[0]["user_id"], attempt, len(own), "failed" if found is None else "ambiguous" if found[1] else "aligned", places))
+        return out
+
+    return fold_cogroups(items, mapped, ["user_id"], ["attempt", "number", "part"], ["ts", "event_id"], fold, "user_id bigint, attempt bigint, items int, status string, places string")
+
+
 @query("fuzzy_ratio")
 def fuzzy_ratio(t: Tables) -> DataFrame:
     """Likeness (matching blocks) of every question and the turn after it, by words."""

@@ -61,7 +61,7 @@ def missing_ids(t: Tables) -> DataFrame:
     return both.where("l is null or u is null").select("id", F.when(F.col("l").isNull(), "orphaned").otherwise("missing").alias("side"))
 
 
-GROUPS = 1000  # more groups than a nation table can have
+SMALL_SIDE = 1_000_000  # cells of one domain that are broadcast, counted first
 
 
 @query("matrix_gaps", """
@@ -69,10 +69,11 @@ WITH cells AS (SELECT n_nationkey AS grp, p_brand AS brand FROM nation, (SELECT
 there AS (SELECT DISTINCT s_nationkey AS grp, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50)
 SELECT grp, brand FROM cells EXCEPT SELECT grp, brand FROM there""")
 def matrix_gaps(t: Tables) -> DataFrame:
-    """Cells of two small fixed domains (groups, brands) without any row."""
+    """Cells of two domains (groups, brands) without any row. Both are counted, and the smaller one is broadcast if it may be."""
     brands = t.read("part").select(F.col("p_brand").alias("brand")).distinct()
-    # the groups are the side that is small by its nature; brands stay where they are
-    cells = brands.crossJoin(F.broadcast(t.read("nation").select(F.col("n_nationkey").alias("grp")).limit(GROUPS)))
+    groups = t.read("nation").select(F.col("n_nationkey").alias("grp"))
+    many, few = sorted((brands, groups), key=DataFrame.count, reverse=True)
+    cells = many.crossJoin(F.broadcast(few) if few.count() <= SMALL_SIDE else few).select("grp", "brand")
     lines = t.read("lineitem").where("l_quantity >= 50").select("l_suppkey", "l_partkey")
     there = lines.join(t.read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("grp")), "l_suppkey")
     there = there.join(t.read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand")), "l_partkey").select("grp", "brand").distinct()

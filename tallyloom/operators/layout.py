@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.groups import fold_groups
@@ -61,26 +61,45 @@ LABELS = "ABCD"
 
 @query("label_runs", r"""
 WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_extract(x, '^\s*([A-D])', 1)) AS labels FROM documents),
-d AS (SELECT *, list_max(list_filter(range(1, len(labels) + 1), lambda i: labels[i] = 'D')) AS d FROM l),
-c AS (SELECT *, list_max(list_filter(range(1, d), lambda i: labels[i] = 'C')) AS c FROM d),
-b AS (SELECT *, list_max(list_filter(range(1, c), lambda i: labels[i] = 'B')) AS b FROM c),
-a AS (SELECT *, list_max(list_filter(range(1, b), lambda i: labels[i] = 'A')) AS a FROM b)
-SELECT doc_id, CASE WHEN a IS NOT NULL THEN concat_ws(',', a - 1, b - 1, c - 1, d - 1) END AS lines FROM a""")
+a AS (SELECT doc_id, labels, unnest(list_filter(range(1, len(labels) + 1), lambda i: labels[i] = 'A')) AS a FROM l),
+b AS (SELECT *, list_min(list_filter(range(a + 1, len(labels) + 1), lambda i: labels[i] = 'B')) AS b FROM a),
+c AS (SELECT *, list_min(list_filter(range(b + 1, len(labels) + 1), lambda i: labels[i] = 'C')) AS c FROM b),
+d AS (SELECT *, list_min(list_filter(range(c + 1, len(labels) + 1), lambda i: labels[i] = 'D')) AS d FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, a) AS place FROM d WHERE d IS NOT NULL)
+SELECT l.doc_id, CASE WHEN a IS NOT NULL THEN concat_ws(',', a - 1, b - 1, c - 1, d - 1) END AS lines FROM l LEFT JOIN (SELECT * FROM r WHERE place = 1) r ON r.doc_id = l.doc_id""")
 def label_runs(t: Tables) -> DataFrame:
-    """The last run of lines that begin with A, B, C, D in order, as line numbers from 0; null if there is none.
+    """The run of lines that begin with A, B, C, D whose D comes last, as line numbers from 0; null if there is none.
 
-    Found from behind: the last D, the last C before it, and so on.
+    After an A the first B counts, after that the first C, then the first D. Runs that
+    meet in a later label end with the same D; of these the one of the earliest A is taken.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    d = t.read("documents").select("doc_id", F.transform(lines, lambda x: F.regexp_extract(x, rf"^\s*([{LABELS}])", 1)).alias("labels"))
-    rest = F.size("labels") + 1
-    for label in reversed(LABELS):
-        before = F.reverse(F.slice("labels", 1, F.greatest(F.col("rest") - 1, F.lit(0))))
-        at = F.array_position(before, F.lit(label))  # 0: none
-        d = d.withColumn("rest", rest.cast("int")).withColumn(f"at_{label}", F.when((F.col("rest") > 0) & (at > 0), F.col("rest") - at).cast("int"))
-        rest = F.coalesce(f"at_{label}", F.lit(0))
-    found = F.concat_ws(",", *((F.col(f"at_{x}") - 1).cast("string") for x in LABELS))
-    return d.select("doc_id", F.when(F.col(f"at_{LABELS[0]}").isNotNull(), found).alias("lines"))
+    labels = F.transform(lines, lambda x: F.regexp_extract(x, rf"^\s*([{LABELS}])", 1))
+    return t.read("documents").select("doc_id", last_run(labels).alias("lines"))
+
+
+def last_run(labels: Column) -> Column:
+    """The places of the last run of LABELS in an array of labels, joined by commas; null if there is none. One pass."""
+    marked = F.transform(labels, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    none = F.lit(None).cast("string")
+    names = [f"after_{x}" for x in LABELS]  # the run that has come as far as this label and waits for the next one
+    start = F.struct(*(none.alias(n) for n in names))
+
+    def step(state: Column, at: Column) -> Column:
+        out = []
+        for k, (name, label) in enumerate(zip(names, LABELS)):
+            here = at["x"] == label
+            come = F.concat_ws(",", state[names[k - 1]], at["i"].cast("string")) if k else at["i"].cast("string")
+            if k:
+                come = F.when(state[names[k - 1]].isNotNull(), come)
+            if k == len(LABELS) - 1:
+                kept = F.when(here, F.coalesce(come, state[name])).otherwise(state[name])  # a later end replaces an earlier one
+            else:
+                kept = F.when(here, F.coalesce(state[name], come)).when(at["x"] == LABELS[k + 1], None).otherwise(state[name])
+            out.append(kept.alias(name))
+        return F.struct(*out)
+
+    return F.aggregate(marked, start, step)[names[-1]]
 
 
 def best_markers(choices: list[list[tuple[float, float]]]) -> list[int] | None:

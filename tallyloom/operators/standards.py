@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.calendar import valid_date
@@ -13,46 +13,66 @@ from tallyloom.sources.bind import Tables
 
 #: Sections of a catalog in the order in which they are shown.
 SECTIONS = ("PROMO", "SMALL", "MEDIUM", "LARGE", "STANDARD", "ECONOMY", "OTHER")
-#: Codes in free spelling: framework A has strand, grade and number; framework B grade, strand and number.
-CODE = r"(?i)\bCCSS\.ELA-Literacy[. ]?(?:RL|RI|L)\.[3-8]\.[0-9]+[a-z]?\b|\bNGLS\.ELA\.Content\.(?:NY-)?[3-8]\.?(?:R|L)\.?[0-9]+[a-z]?\b"
-PART_A, PART_B = r"(?i)^CCSS\.ELA-Literacy[. ]?(RL|RI|L)\.([3-8])\.([0-9]+[a-z]?)$", r"(?i)^NGLS\.ELA\.Content\.(NY-)?([3-8])\.?(R|L)\.?([0-9]+)([a-z]?)$"
-FORMS = ("CCSS.ELA-Literacy.RL.%s.%s", "ccss.ela-literacy l.%s.%sA", "NGLS.ELA.Content.NY-%sR%s", "ngls.ela.content.ny-%s.l.%sB")
-
-
-def canonical(code: Column) -> Column:
-    """A code in its one spelling."""
-    a = lambda k: F.regexp_extract(code, PART_A, k)
-    b = lambda k: F.regexp_extract(code, PART_B, k)
-    first = F.concat(F.lit("CCSS.ELA-Literacy."), F.upper(a(1)), F.lit("."), a(2), F.lit("."), F.lower(a(3)))
-    return F.when(code.rlike(PART_A), first).otherwise(F.concat(F.lit("NGLS.ELA.Content."), F.upper(b(1)), b(2), F.upper(b(3)), b(4), F.lower(b(5))))
-
-
-def skill(code: Column) -> Column:
-    """The skill of a canonical code: language, or by the anchor number of reading standards."""
-    anchor = F.regexp_extract(code, r"(?:\.(?:RL|RI)\.[3-8]\.|[3-8]R)([0-9]+)", 1)
-    n = F.when(anchor != "", anchor.cast("int"))
-    return F.when(code.rlike(r"\.L\.|[3-8]L[0-9]"), "language-vocabulary").when(n <= 3, "key-ideas-details").when(n <= 6, "craft-structure").when(n.isNotNull(), "integration-knowledge")
+#: How the two frameworks begin, strands of the first one, skills, and the anchor numbers that part them.
+BEGINS = "CCSS.ELA-LITERACY", "NGLS.ELA.CONTENT"
+STRANDS = ("RL", "RI", "L", "W", "SL")
+LANGUAGE, READING = "language-vocabulary", ((3, "key-ideas-details"), (6, "craft-structure"), (10**9, "integration-knowledge"))
+#: What may be a code: the beginning of a framework and what hangs on to it, as far as a number.
+LOOSE = r"(?i)\b(?:CCSS\.ELA-Literacy|NGLS\.ELA\.Content)[. ]?[A-Z0-9.-]*[0-9]+[a-z]?"
+FORMS = ("CCSS.ELA-Literacy.RL.%s.%s", "ccss.ela-literacy l.%s.%sA", "NGLS.ELA.Content.NY-%sR%s", "ngls.ela.content.ny-%s.l.%sB", "CCSS.ELA Literacy.SL.%s.%s", "NGLS.ELA.Content.NY–%sSL.%sc", "CCSS.ELA—Literacy.X.%s.%s")
+
+
+def codes_in(text: Column) -> Column:
+    """code, skill of each standard in a text, in their order.
+
+    A code is cut into runs of letters and of digits. Framework A has strand, grade,
+    number and perhaps a letter; framework B perhaps NY, then grade, strand, number and
+    perhaps a letter. What doesn't fit is none.
+    """
+    one = F.replace(F.translate(text, "–—", "--"), F.lit("ELA Literacy"), F.lit("ELA-Literacy"))
+    runs = F.transform(F.regexp_extract_all(one, F.lit(LOOSE), F.lit(0)), lambda c: F.struct(
+        F.upper(c).startswith(BEGINS[0]).alias("a"), F.regexp_extract_all(F.regexp_replace(F.upper(c), "^(" + "|".join(BEGINS).replace(".", r"\.") + ")", ""), F.lit("[A-Z]+|[0-9]+"), F.lit(0)).alias("w")))
+    state = lambda r: ~r["a"] & (F.get(r["w"], F.lit(0)) == "NY")
+    runs = F.transform(runs, lambda r: F.struct(r["a"].alias("a"), state(r).alias("ny"), F.when(state(r), F.slice(r["w"], 2, 4)).otherwise(r["w"]).alias("w")))
+    at = lambda r, k: F.get(r["w"], F.lit(k))
+    fields = F.transform(runs, lambda r: F.struct(
+        r["a"].alias("a"), r["ny"].alias("ny"), F.when(r["a"], at(r, 0)).otherwise(at(r, 1)).alias("strand"), F.when(r["a"], at(r, 1)).otherwise(at(r, 0)).alias("grade"), at(r, 2).alias("number"),
+        F.when(at(r, 3).rlike("^[A-Z]$"), F.lower(at(r, 3))).otherwise("").alias("letter")))
+    good = F.filter(fields, lambda f: F.coalesce(f["grade"].rlike("^[3-8]$") & f["number"].rlike("^[0-9]+$") & F.when(f["a"], f["strand"].isin(*STRANDS)).otherwise(f["strand"].rlike("^[A-Z]{1,3}$")), F.lit(False)))
+
+    def skill(f: Column) -> Column:
+        found = F.when(f["strand"] == "L", LANGUAGE)
+        for most, name in READING:
+            found = found.when(f["strand"].isin("R", "RL", "RI") & (f["number"].cast("decimal(20,0)") <= most), name)
+        return found.otherwise("other")
+
+    return F.transform(good, lambda f: F.struct(
+        F.when(f["a"], F.concat(F.lit("CCSS.ELA-Literacy."), f["strand"], F.lit("."), f["grade"], F.lit("."), f["number"], f["letter"])).otherwise(
+            F.concat(F.lit("NGLS.ELA.Content."), F.when(f["ny"], "NY-").otherwise(""), f["grade"], f["strand"], f["number"], f["letter"])).alias("code"), skill(f).alias("skill")))
 
 
 @query("standard_codes", rf"""
-WITH p AS (SELECT p_partkey AS id, 3 + p_partkey % 6 AS g, 1 + p_size % 9 AS n, p_name FROM part),
+WITH p AS (SELECT p_partkey AS id, p_name, p_partkey % 6 + 3 AS g, p_size % 9 + 1 AS n FROM part),
 x AS (SELECT id, p_name || ': ' || CASE id % 4 WHEN 0 THEN 'CCSS.ELA-Literacy.RL.' || g || '.' || n WHEN 1 THEN 'ccss.ela-literacy l.' || g || '.' || n || 'A' WHEN 2 THEN 'NGLS.ELA.Content.NY-' || g || 'R' || n ELSE 'ngls.ela.content.ny-' || g || '.l.' || n || 'B' END
-                 || '; CCSS.ELA-Literacy.RL.' || g || '.' || n || ', ngls.ela.content.ny-' || g || '.l.' || n || 'B' AS text FROM p),
-c AS (SELECT id, unnest(regexp_extract_all(text, '{CODE}')) AS code, generate_subscripts(regexp_extract_all(text, '{CODE}'), 1) AS pos FROM x),
-k AS (SELECT id, pos, CASE WHEN regexp_matches(code, '{PART_A}') THEN 'CCSS.ELA-Literacy.' || upper(regexp_extract(code, '{PART_A}', 1)) || '.' || regexp_extract(code, '{PART_A}', 2) || '.' || lower(regexp_extract(code, '{PART_A}', 3))
-      ELSE 'NGLS.ELA.Content.' || upper(regexp_extract(code, '{PART_B}', 1)) || regexp_extract(code, '{PART_B}', 2) || upper(regexp_extract(code, '{PART_B}', 3)) || regexp_extract(code, '{PART_B}', 4) || lower(regexp_extract(code, '{PART_B}', 5)) END AS code FROM c),
-f AS (SELECT id, code, min(pos) AS pos FROM k GROUP BY id, code),
-s AS (SELECT *, CASE WHEN contains(code, '.L.') OR regexp_matches(code, '[3-8]L[0-9]') THEN 'language-vocabulary' WHEN regexp_extract(code, '(?:\.RL\.[3-8]\.|[3-8]R)([0-9]+)', 1)::INT <= 3 THEN 'key-ideas-details' WHEN regexp_extract(code, '(?:\.RL\.[3-8]\.|[3-8]R)([0-9]+)', 1)::INT <= 6 THEN 'craft-structure' ELSE 'integration-knowledge' END AS skill FROM f)
+                 || '; CCSS.ELA-Literacy.RL.' || g || '.' || n || ', ngls.ela.content.ny-' || g || '.l.' || n || 'B (CCSS.ELA Literacy.SL.' || g || '.' || n || ', NGLS.ELA.Content.NY–' || g || 'SL.' || n || 'c; CCSS.ELA—Literacy.X.' || g || '.' || n || ')' AS text FROM p),
+y AS (SELECT id, regexp_extract_all(replace(replace(replace(text, '–', '-'), '—', '-'), 'ELA Literacy', 'ELA-Literacy'), '{LOOSE}') AS c FROM x),
+c AS (SELECT id, unnest(c) AS code, generate_subscripts(c, 1) AS pos FROM y),
+f AS (SELECT id, pos, left(upper(code), 4) = 'CCSS' AS a, regexp_extract_all(regexp_replace(upper(code), '^(CCSS\.ELA-LITERACY|NGLS\.ELA\.CONTENT)', ''), '[A-Z]+|[0-9]+') AS w FROM c),
+g AS (SELECT id, pos, a, NOT a AND w[1] = 'NY' AS ny, CASE WHEN NOT a AND w[1] = 'NY' THEN w[2:] ELSE w END AS v FROM f),
+h AS (SELECT id, pos, a, ny, CASE WHEN a THEN v[1] ELSE v[2] END AS strand, CASE WHEN a THEN v[2] ELSE v[1] END AS grade, v[3] AS number, CASE WHEN regexp_matches(v[4], '^[A-Z]$') THEN lower(v[4]) ELSE '' END AS letter FROM g),
+k AS (SELECT id, pos, CASE WHEN a THEN 'CCSS.ELA-Literacy.' || strand || '.' || grade || '.' || number || letter ELSE 'NGLS.ELA.Content.' || CASE WHEN ny THEN 'NY-' ELSE '' END || grade || strand || number || letter END AS code,
+             CASE WHEN strand = 'L' THEN 'language-vocabulary' WHEN strand NOT IN ('R', 'RL', 'RI') THEN 'other' WHEN number::INT <= 3 THEN 'key-ideas-details' WHEN number::INT <= 6 THEN 'craft-structure' ELSE 'integration-knowledge' END AS skill
+      FROM h WHERE regexp_matches(grade, '^[3-8]$') AND regexp_matches(number, '^[0-9]+$') AND CASE WHEN a THEN strand IN {STRANDS} ELSE regexp_matches(strand, '^[A-Z]{{1,3}}$') END),
+s AS (SELECT id, code, min(pos) AS pos, min(skill) AS skill FROM k GROUP BY id, code)
 SELECT id, string_agg(code, ',' ORDER BY pos) AS standards, string_agg(skill, ',' ORDER BY pos) AS skills FROM s GROUP BY id""")
 def standard_codes(t: Tables) -> DataFrame:
     """The distinct standards in a text, in their first order, in one spelling, and the skill of each."""
     grade, n = F.col("p_partkey") % 6 + 3, F.col("p_size") % 9 + 1
     form = lambda k: F.format_string(FORMS[k], grade, n)
     first = F.when(F.col("p_partkey") % 4 == 0, form(0)).when(F.col("p_partkey") % 4 == 1, form(1)).when(F.col("p_partkey") % 4 == 2, form(2)).otherwise(form(3))
-    text = F.concat("p_name", F.lit(": "), first, F.lit("; "), form(0), F.lit(", "), form(3))
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), canonical))
-    p = t.read("part").select(F.col("p_partkey").alias("id"), found.alias("c"))
-    return p.select("id", F.array_join("c", ",").alias("standards"), F.array_join(F.transform("c", skill), ",").alias("skills"))
+    text = F.concat("p_name", F.lit(": "), first, F.lit("; "), form(0), F.lit(", "), form(3), F.lit(" ("), form(4), F.lit(", "), form(5), F.lit("; "), form(6), F.lit(")"))
+    p = t.read("part").select(F.col("p_partkey").alias("id"), F.array_distinct(codes_in(text)).alias("c"))
+    return p.select("id", F.array_join("c.code", ",").alias("standards"), F.array_join("c.skill", ",").alias("skills"))
 
 
 @query("standards_match", """
@@ -74,38 +94,40 @@ def standards_match(t: Tables) -> DataFrame:
 
 @query("catalog_sections", """
 WITH q AS (SELECT l_orderkey AS exam, l_partkey AS part, CASE WHEN p_type = 'STANDARD' AND year(o_orderdate) = 1996 THEN 'OTHER' ELSE p_type END AS domain, year(o_orderdate)::INT AS year, o_custkey % 6 + 3 AS grade
-           FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3),
+           FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 d AS (SELECT name, i::INT AS pos FROM (SELECT unnest(['PROMO', 'SMALL', 'MEDIUM', 'LARGE', 'STANDARD', 'ECONOMY', 'OTHER']) AS name, generate_series AS i FROM generate_series(1, 7) LIMIT 0) UNION ALL
       SELECT * FROM (VALUES ('PROMO', 1), ('SMALL', 2), ('MEDIUM', 3), ('LARGE', 4), ('STANDARD', 5), ('ECONOMY', 6), ('OTHER', 7)) v(name, pos)),
-s AS (SELECT exam, year, grade, pos, domain, count(*) AS n FROM q JOIN d ON name = domain GROUP BY ALL)
-SELECT year, grade, exam, string_agg(domain || ':' || n, ',' ORDER BY pos) AS sections, row_number() OVER (PARTITION BY year, grade ORDER BY exam) AS place FROM s GROUP BY year, grade, exam""")
+s AS (SELECT exam, year, grade, pos, domain, count(*) AS n FROM q JOIN d ON name = domain GROUP BY ALL),
+r AS (SELECT year, grade, row_number() OVER (ORDER BY year DESC, grade) AS shelf FROM (SELECT DISTINCT year, grade FROM s))
+SELECT year, grade, exam, string_agg(domain || ':' || n, ',' ORDER BY pos) AS sections, shelf FROM s JOIN r USING (year, grade) GROUP BY year, grade, exam, shelf""")
 def catalog_sections(t: Tables) -> DataFrame:
-    """Exams with their sections in a fixed order, only those that have questions; one domain is moved in one year. place orders a year and grade."""
-    from pyspark.sql import Window
+    """Exams with their sections in a fixed order, only those that have questions; one domain is moved in one year.
 
+    shelf orders the catalog: later years first, then grades. Only the distinct years and
+    grades are ordered, never all exams of one.
+    """
     order = F.array(*map(F.lit, SECTIONS))
     p = t.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 6 + 3).alias("grade"))
-    q = t.read("lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_partkey").join(p, "l_partkey").join(o, "l_orderkey")
+    q = t.read("lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey").join(o, "l_orderkey")
     domain = F.when((F.col("p_type") == "STANDARD") & (F.col("year") == 1996), "OTHER").otherwise(F.col("p_type"))
     s = q.groupBy("year", "grade", F.col("l_orderkey").alias("exam"), domain.alias("domain")).agg(F.count("*").alias("n"))
     s = s.withColumn("pos", F.array_position(order, F.col("domain"))).where("pos > 0")
     g = s.groupBy("year", "grade", "exam").agg(F.sort_array(F.collect_list(F.struct("pos", "domain", "n"))).alias("s"))
-    w = Window.partitionBy("year", "grade").orderBy("exam")
-    return g.select("year", "grade", "exam", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["domain"], x["n"].cast("string"))), ",").alias("sections"), F.row_number().over(w).cast("bigint").alias("place"))
+    shelves = g.select("year", "grade").distinct().withColumn("shelf", F.row_number().over(Window.orderBy(F.desc("year"), "grade")).cast("bigint"))
+    sections = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["domain"], x["n"].cast("string"))), ",")
+    return g.join(shelves, ["year", "grade"]).select("year", "grade", "exam", sections.alias("sections"), "shelf")
 
 
 @query("stimulus_ranges", """
-WITH r AS (SELECT l_orderkey AS exam, least(l_linenumber, 1 + l_partkey % 7) AS lo, greatest(l_linenumber, 1 + l_partkey % 7) AS hi, l_suppkey AS page FROM lineitem WHERE l_linenumber <= 4),
+WITH r AS (SELECT l_orderkey AS exam, least(l_linenumber, 1 + l_partkey % 7) AS lo, greatest(l_linenumber, 1 + l_partkey % 7) AS hi, l_suppkey AS page FROM lineitem),
 u AS (SELECT exam, lo, hi, min(page) AS first_page, count(DISTINCT page) AS pages FROM r GROUP BY ALL),
 o AS (SELECT *, lag(hi) OVER (PARTITION BY exam ORDER BY lo, hi) AS before FROM u)
 SELECT exam, count(*) AS ranges, sum(hi - lo + 1)::BIGINT AS covered, count(*) FILTER (pages > 1) AS conflicts, count(*) FILTER (before >= lo) AS overlaps, min(first_page) - 1 AS before_first FROM o GROUP BY exam""")
 def stimulus_ranges(t: Tables) -> DataFrame:
     """Ranges of questions put in order, once each: how many they cover, conflicting first pages, overlaps, and the page before the first."""
-    from pyspark.sql import Window
-
     a, b = F.col("l_linenumber"), (F.col("l_partkey") % 7 + 1).cast("int")
-    r = t.read("lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("exam"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col("l_suppkey").alias("page"))
+    r = t.read("lineitem").select(F.col("l_orderkey").alias("exam"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col("l_suppkey").alias("page"))
     u = r.groupBy("exam", "lo", "hi").agg(F.min("page").alias("first_page"), F.count_distinct("page").alias("pages"))
     o = u.withColumn("before", F.lag("hi").over(Window.partitionBy("exam").orderBy("lo", "hi")))
     return o.groupBy("exam").agg(
@@ -161,13 +183,14 @@ def date_fields(t: Tables) -> DataFrame:
 
 
 @query("table_facts", """
-SELECT 'learners' AS name, count(*) AS n, bool_or(c_acctbal > 9900) AS any_rich, sum(c_nationkey)::BIGINT AS total FROM customer
-UNION ALL SELECT 'attempts', count(*), bool_or(o_totalprice > 499000), sum(o_custkey)::BIGINT FROM orders
-UNION ALL SELECT 'items', count(*), bool_or(p_size > 50), sum(p_size)::BIGINT FROM part""")
+SELECT 'learners' AS name, count(*) AS n, coalesce(bool_or(c_acctbal > 9900), false) AS any_rich, sum(c_nationkey)::BIGINT AS total FROM customer
+UNION ALL SELECT 'attempts', count(*), coalesce(bool_or(o_totalprice > 499000), false), sum(o_custkey)::BIGINT FROM orders
+UNION ALL SELECT 'items', count(*), coalesce(bool_or(p_size > 50), false), sum(p_size)::BIGINT FROM part""")
 def table_facts(t: Tables) -> DataFrame:
     """Numbers of rows, whether any row is of a kind, and totals."""
     parts = [("learners", "customer", F.col("c_acctbal") > 9900, "c_nationkey"), ("attempts", "orders", F.col("o_totalprice") > 499000, "o_custkey"), ("items", "part", F.col("p_size") > 50, "p_size")]
-    rows = [t.read(table).agg(F.count("*").alias("n"), F.bool_or(any_).alias("any_rich"), F.sum(c).alias("total")).select(F.lit(name).alias("name"), "n", "any_rich", "total") for name, table, any_, c in parts]
+    there = {name: not t.read(table).where(any_).isEmpty() for name, table, any_, _ in parts}  # ends at the first such row
+    rows = [t.read(table).agg(F.count("*").alias("n"), F.sum(c).alias("total")).select(F.lit(name).alias("name"), "n", F.lit(there[name]).alias("any_rich"), "total") for name, table, _, c in parts]
     return reduce(DataFrame.union, rows)
 
 
@@ -176,13 +199,9 @@ COLUMN_TABLES = ("customer", "orders", "lineitem", "part", "events")
 
 @query("table_columns", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY column_name) AS names FROM (DESCRIBE {name})" for name in COLUMN_TABLES))
 def table_columns(t: Tables) -> DataFrame:
-    """Columns of the tables, from their schemas."""
-    def one(name: str) -> DataFrame:
-        columns = sorted(t.read(name).columns)
-        first = t.read(name).limit(1).select(F.lit(name).alias("name"), F.lit(len(columns)).cast("bigint").alias("columns"), F.lit(",".join(columns)).alias("names"))
-        return first
-
-    return reduce(DataFrame.union, map(one, COLUMN_TABLES))
+    """Columns of the tables, from their schemas alone, so that a table without rows has its row too."""
+    columns = {name: sorted(t.read(name).columns) for name in COLUMN_TABLES}
+    return t.spark.createDataFrame([(name, len(c), ",".join(c)) for name, c in columns.items()], "name string, columns bigint, names string")
 
 
 @query("skill_maps", """
@@ -226,14 +245,30 @@ def set_verdicts(t: Tables) -> DataFrame:
 
 
 @query("scope_switch", """
-SELECT s_suppkey AS tutor, c_custkey AS id FROM supplier JOIN customer ON CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey < 20 AND c_custkey % 50 = 0 ELSE c_nationkey = s_nationkey AND c_custkey % 7 = s_suppkey % 7 END""")
+WITH g AS (SELECT c_nationkey AS grp, c_custkey % 7 AS shift, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY ALL)
+SELECT s_suppkey AS tutor, 'assigned' AS scope, grp, shift, n, first FROM supplier JOIN g ON grp = s_nationkey AND shift = s_suppkey % 7 WHERE s_suppkey % 10 <> 0
+UNION ALL SELECT s_suppkey, 'all', NULL, NULL, (SELECT count(*) FROM customer), (SELECT min(c_custkey) FROM customer) FROM supplier WHERE s_suppkey % 10 = 0""")
 def scope_switch(t: Tables) -> DataFrame:
-    """Learners that a tutor sees: those assigned (equal group and shift); for the first tutors whose scope is all, every fiftieth."""
+    """What each tutor sees: the group and shift assigned to them, or all, with how many learners that is and the first.
+
+    A tutor meets counted groups, not learners; roster() lists the learners of one tutor.
+    """
     c = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("grp"), (F.col("c_custkey") % 7).alias("shift"))
     s = t.read("supplier").select(F.col("s_suppkey").alias("tutor"), F.col("s_nationkey").alias("grp"), (F.col("s_suppkey") % 7).alias("shift"))
-    assigned = s.where("tutor % 10 <> 0").join(c, ["grp", "shift"]).select("tutor", "id")
-    every = s.where("tutor in (0, 10)").select("tutor").crossJoin(c.where("id % 50 = 0").select("id"))  # two tutors
-    return assigned.union(every)
+    n = F.count("*").alias("n"), F.min("id").alias("first")
+    assigned = s.where("tutor % 10 <> 0").join(c.groupBy("grp", "shift").agg(*n), ["grp", "shift"]).select("tutor", F.lit("assigned").alias("scope"), "grp", "shift", "n", "first")
+    none = F.lit(None).cast("bigint")
+    every = s.where("tutor % 10 = 0").select("tutor").crossJoin(F.broadcast(c.agg(*n)))  # one row
+    return assigned.union(every.select("tutor", F.lit("all").alias("scope"), none.alias("grp"), none.alias("shift"), "n", "first"))
+
+
+def roster(t: Tables, tutor: int) -> DataFrame:
+    """id of each learner whom one tutor sees."""
+    c = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("grp"), (F.col("c_custkey") % 7).alias("shift"))
+    if tutor % 10 == 0:
+        return c.select("id")
+    own = t.read("supplier").where(F.col("s_suppkey") == tutor).select(F.col("s_nationkey").alias("grp"), (F.col("s_suppkey") % 7).alias("shift"))
+    return c.join(own, ["grp", "shift"], "left_semi").select("id")
 
 
 @query("keyed_lookup", """
@@ -256,13 +291,16 @@ def pair_membership(t: Tables) -> DataFrame:
 
 @query("provenance", """
 WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), d AS (SELECT source, sum(n)::BIGINT AS n, string_agg(lang, ',' ORDER BY lang) AS langs FROM c GROUP BY source)
-SELECT source, n, langs, n = (SELECT max(n) FROM d) AS expected FROM d""")
+SELECT source, n, langs, langs = 'de,en,es,fr' AND n >= 10 AS expected FROM d""")
 def provenance(t: Tables) -> DataFrame:
-    """Documents by source with the distinct languages in order, and whether the number is that of the largest source."""
+    """Documents by source with the distinct languages in order, and whether both are as declared."""
     c = t.read("documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
     d = c.groupBy("source").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
-    most = d.agg(F.max("n").alias("most"))
-    return d.crossJoin(F.broadcast(most)).select("source", "n", "langs", (F.col("n") == F.col("most")).alias("expected"))  # one row
+    return d.select("source", "n", "langs", ((F.col("langs") == DECLARED[0]) & (F.col("n") >= DECLARED[1])).alias("expected"))
+
+
+#: What each source is declared to hold: its languages, and how many documents at least.
+DECLARED = "de,en,es,fr", 10
 
 
 @query("most_missed", """

@@ -184,19 +184,31 @@ def draft_state(t: Tables) -> DataFrame:
 
 
 @query("exam_score", """
-WITH r AS (SELECT l_orderkey AS id, l_linenumber AS q, l_partkey % 4 AS answer, l_suppkey % 4 AS key, l_quantity::BIGINT AS points FROM lineitem),
-e AS (SELECT id, max(q) AS asked, count(*) AS given, count(DISTINCT q) AS once, sum(CASE WHEN answer = key THEN points ELSE 0 END)::BIGINT AS earned, sum(points)::BIGINT AS possible FROM r GROUP BY id)
-SELECT id, CASE WHEN given = asked AND once = asked THEN 'graded' ELSE 'incomplete' END AS status, CASE WHEN given = asked AND once = asked THEN earned END AS earned, CASE WHEN given = asked AND once = asked THEN possible END AS possible,
-       CASE WHEN given = asked AND once = asked THEN CASE WHEN possible > 0 THEN floor(100.0 * earned / possible + 0.5)::INT ELSE 0 END END AS percent FROM e""")
+WITH asked AS (SELECT o_orderkey AS id, unnest(range(1, 2 + o_orderkey % 7)) AS q FROM orders),
+said AS (SELECT l_orderkey AS id, l_linenumber AS q, count(*) AS n, min(l_partkey % 4) AS answer, min(l_suppkey % 4) AS key FROM lineitem GROUP BY ALL),
+j AS (SELECT coalesce(asked.id, said.id) AS id, asked.q IS NOT NULL AS is_asked, coalesce(n, 0) AS n, answer = key AS ok, 1 + (asked.id + asked.q) % 4 AS points FROM asked FULL JOIN said ON asked.id = said.id AND asked.q = said.q),
+e AS (SELECT id, count(*) FILTER (is_asked) AS asked, count(*) FILTER (is_asked AND n = 0) AS missing, count(*) FILTER (NOT is_asked) AS foreign_n, count(*) FILTER (n > 1) AS repeated, sum(CASE WHEN ok AND is_asked THEN points ELSE 0 END)::BIGINT AS earned, sum(CASE WHEN is_asked THEN points END)::BIGINT AS possible FROM j GROUP BY id),
+v AS (SELECT *, CASE WHEN asked = 0 THEN 'unknown' WHEN missing > 0 THEN 'incomplete' WHEN foreign_n > 0 THEN 'foreign' WHEN repeated > 0 THEN 'repeated' ELSE 'graded' END AS status FROM e)
+SELECT id, status, asked, missing, CASE WHEN status = 'graded' THEN earned END AS earned, CASE WHEN status = 'graded' THEN possible END AS possible, CASE WHEN status = 'graded' THEN CASE WHEN possible > 0 THEN floor(100.0 * earned / possible + 0.5)::INT ELSE 0 END END AS percent FROM v""")
 def exam_score(t: Tables) -> DataFrame:
-    """Points of each attempt whose questions (1 to the last) have all been answered once; others are incomplete."""
-    right = F.col("l_partkey") % 4 == F.col("l_suppkey") % 4
-    points = F.col("l_quantity").cast("bigint")
-    e = t.read("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.max("l_linenumber").alias("asked"), F.count("*").alias("given"), F.count_distinct("l_linenumber").alias("once"), F.sum(F.when(right, points).otherwise(0)).alias("earned"), F.sum(points).alias("possible"))
-    whole = (F.col("given") == F.col("asked")) & (F.col("once") == F.col("asked"))
+    """Points of each attempt whose asked questions have all been answered once, and no others.
+
+    What is asked is a table of its own, with the points: a last question that nobody
+    answered makes an attempt incomplete. Else an answer may be foreign (not asked) or
+    repeated; an attempt without questions is unknown.
+    """
+    key, q = F.col("o_orderkey"), F.col("q")
+    asked = t.read("orders").select(key.alias("id"), F.explode(F.sequence(F.lit(1).cast("bigint"), key % 7 + 1)).alias("q")).withColumn("points", (F.col("id") + q) % 4 + 1)
+    answers = t.read("lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("q")).agg(F.count("*").alias("n"), F.min(F.col("l_partkey") % 4).alias("answer"), F.min(F.col("l_suppkey") % 4).alias("key"))
+    j = asked.join(answers, ["id", "q"], "full")
+    is_asked = F.col("points").isNotNull()
+    e = j.groupBy("id").agg(
+        F.count_if(is_asked).alias("asked"), F.count_if(is_asked & F.col("n").isNull()).alias("missing"), F.count_if(~is_asked).alias("foreign"), F.count_if(F.col("n") > 1).alias("repeated"),
+        F.sum(F.when(F.col("answer") == F.col("key"), F.coalesce("points", F.lit(0))).otherwise(0)).alias("earned"), F.sum("points").alias("possible"))
+    status = F.when(F.col("asked") == 0, "unknown").when(F.col("missing") > 0, "incomplete").when(F.col("foreign") > 0, "foreign").when(F.col("repeated") > 0, "repeated").otherwise("graded")
+    whole = status == "graded"
     percent = F.when(F.col("possible") > 0, F.floor(100.0 * F.col("earned") / F.col("possible") + 0.5)).otherwise(0).cast("int")
-    return e.select("id", F.when(whole, "graded").otherwise("incomplete").alias("status"), *(F.when(whole, c).alias(n) for c, n in ((F.col("earned"), "earned"), (F.col("possible"), "possible"), (percent, "percent"))))
+    return e.select("id", status.alias("status"), "asked", "missing", *(F.when(whole, c).alias(n) for c, n in ((F.col("earned"), "earned"), (F.col("possible"), "possible"), (percent, "percent"))))
 
 
 @query("homework_score", """

@@ -3,16 +3,17 @@
 import datetime as dt
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions.calendar import valid_date
 from tallyloom.functions.text import ligatures, repair, unescaped
-from tallyloom.operators import gates, rules, standards
+from tallyloom.operators import cohort, gates, layout, rules, standards, state
 from tallyloom.operators.align import earliest, matches, nearest_greedy
 from tallyloom.operators.progress import borrows
 from tallyloom.operators.state import commit, preflight
+from tallyloom.sources.bind import Tables
 
 DAY = dt.date(2026, 7, 18)
 REQUEST = "request string, day date, module string, track string, confirm boolean, action string, student string"
@@ -28,9 +29,9 @@ def ask(spark, *students, module="food", track="ela", confirm=False, action=None
     return spark.createDataFrame([("r", DAY, module, track, confirm, action, s) for s in students], REQUEST)
 
 
-def run(spark, request, state):
-    verdict = preflight(request, *state)
-    new_tracks, sessions = commit(request, verdict, *state[1:])
+def run(spark, request, before):
+    verdict = preflight(request, *before)
+    new_tracks, sessions = commit(request, verdict, *before[1:])
     row = verdict.first()
     return row, {tuple(r) for r in new_tracks.collect()}, {(r["student"], r["module"]) for r in sessions.collect()}
 
@@ -105,13 +106,74 @@ def test_valid_dates(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(valid_date(F.col("x"))).first()[0] == want
 
 
-@pytest.mark.parametrize("code,spelling,skill", [
-    ("ccss.ela-literacy.rl.3.2", "CCSS.ELA-Literacy.RL.3.2", "key-ideas-details"), ("CCSS.ELA-Literacy L.6.4C", "CCSS.ELA-Literacy.L.6.4c", "language-vocabulary"),
-    ("NGLS.ELA.Content.NY-3.R.7", "NGLS.ELA.Content.NY-3R7", "integration-knowledge"), ("ngls.ela.content.ny-8r5", "NGLS.ELA.Content.NY-8R5", "craft-structure"), ("NGLS.ELA.Content.4L2a", "NGLS.ELA.Content.4L2a", "language-vocabulary"),
+@pytest.mark.parametrize("text,codes", [
+    ("ccss.ela-literacy.rl.3.2", [("CCSS.ELA-Literacy.RL.3.2", "key-ideas-details")]), ("CCSS.ELA-Literacy L.6.4C", [("CCSS.ELA-Literacy.L.6.4c", "language-vocabulary")]),
+    ("NGLS.ELA.Content.NY-3.R.7", [("NGLS.ELA.Content.NY-3R7", "integration-knowledge")]), ("ngls.ela.content.ny-8r5", [("NGLS.ELA.Content.NY-8R5", "craft-structure")]), ("NGLS.ELA.Content.4L2a", [("NGLS.ELA.Content.4L2a", "language-vocabulary")]),
+    ("CCSS.ELA Literacy.SL.5.1, CCSS.ELA\u2013Literacy.W.8.10", [("CCSS.ELA-Literacy.SL.5.1", "other"), ("CCSS.ELA-Literacy.W.8.10", "other")]),
+    ("NGLS.ELA.Content.NY\u20147ABC12b; ngls.ela.content.3rl2", [("NGLS.ELA.Content.NY-7ABC12b", "other"), ("NGLS.ELA.Content.3RL2", "key-ideas-details")]),
+    ("CCSS.ELA-LiteracyL.6.4c", [("CCSS.ELA-Literacy.L.6.4c", "language-vocabulary")]), ("CCSS.ELA-Literacy.RL.9.1 CCSS.ELA-Literacy.RX.3.1 NGLS.ELA.Content.NY-2R1", []), ("", []),
 ])
-def test_standards(spark, code, spelling, skill):
-    assert value(spark, standards.canonical(F.col("x")), x=code) == spelling
-    assert value(spark, standards.skill(F.col("x")), x=spelling) == skill
+def test_standards(spark, text, codes):
+    assert [tuple(c) for c in value(spark, standards.codes_in(F.col("x")), x=text)] == codes
+
+
+@pytest.mark.parametrize("labels,want", [("ABCDD", "0,1,2,3"), ("AABCD", "0,2,3,4"), ("ABCDABC", "0,1,2,3"), ("ABCDABCD", "4,5,6,7"), ("ABACBDCD", "2,4,6,7"), ("DCBA", None), ("A BxC D", "0,2,4,6"), ("ABBCCDD", "0,1,3,5"), ("", None)])
+def test_label_runs(spark, labels, want):
+    assert value(spark, layout.last_run(F.split(F.col("x"), "")), x=labels) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ABCD", max_size=14))
+def test_label_runs_by_their_definition(spark, labels):
+    """After each A the first B, C and D in turn; the run whose D is last, of equal ones the first."""
+    runs = []
+    for a in (i for i, x in enumerate(labels) if x == "A"):
+        run = [a]
+        for x in "BCD":
+            at = labels.find(x, run[-1] + 1)
+            if at < 0:
+                break
+            run.append(at)
+        if len(run) == 4:
+            runs.append(run)
+    want = max(runs, key=lambda r: (r[3], -r[0]), default=None)
+    assert value(spark, layout.last_run(F.split(F.col("x"), "")), x=labels) == (want and ",".join(map(str, want)))
+
+
+def attempt(spark, tmp, orders, lines):
+    spark.createDataFrame(orders, "o_orderkey bigint").write.parquet(f"{tmp}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp}/lineitem.parquet")
+    return {r["id"]: (r["status"], r["earned"], r["possible"]) for r in state.exam_score(Tables(spark, str(tmp))).collect()}
+
+
+def test_exam_score(spark, tmp_path):
+    """Order k has 1 + k % 7 questions; question q of it has 1 + (k + q) % 4 points."""
+    lines = [(7, 1, 4, 8), (8, 1, 1, 1), (9, 1, 1, 1), (9, 2, 1, 2), (9, 3, 5, 1), (14, 1, 1, 1), (14, 2, 1, 1), (21, 1, 1, 1), (21, 1, 1, 1), (99, 1, 1, 1)]
+    got = attempt(spark, tmp_path, [(7,), (8,), (9,), (14,), (21,), (22,)], lines)
+    assert got == {7: ("graded", 1, 1), 8: ("incomplete", None, None), 9: ("graded", 4, 8), 14: ("foreign", None, None), 21: ("repeated", None, None), 22: ("incomplete", None, None), 99: ("unknown", None, None)}
+
+
+def test_roster_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(k, k % 3, "a") for k in range(40)], "c_custkey bigint, c_nationkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 3) for k in range(12)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    t = Tables(spark, str(tmp_path))
+    counts = {r["tutor"]: (r["scope"], r["n"], r["first"]) for r in standards.scope_switch(t).collect()}
+    for tutor in range(12):
+        ids = sorted(r["id"] for r in standards.roster(t, tutor).collect())
+        assert ids == [k for k in range(40) if tutor % 10 == 0 or k % 3 == tutor % 3 and k % 7 == tutor % 7]
+        assert counts.get(tutor) == (("all" if tutor % 10 == 0 else "assigned", len(ids), ids[0]) if ids else None)
+    for name in ("orders", "lineitem", "part", "events"):
+        spark.createDataFrame([], "b int, a string").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {tuple(r) for r in standards.table_columns(t).collect()} >= {("part", 2, "a,b"), ("customer", 3, "c_custkey,c_name,c_nationkey")}
+
+
+def test_more_groups_than_any_nation_table(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1500)], "n_nationkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, "x"), (2, "y")], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(5, 7)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(5, 1, 50.0), (5, 2, 49.0)], "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in cohort.matrix_gaps(Tables(spark, str(tmp_path))).select("grp", "brand").collect()}
+    assert got == {(g, b) for g in range(1500) for b in "xy"} - {(7, "x")}
 
 
 @pytest.mark.parametrize("a,b,want", [(52, 7, 1), (100, 1, 2), (100, 100, 0), (41, 23, 1), (5, 3, 0), (1000, 999, 3)])
@@ -120,7 +182,7 @@ def test_borrows(spark, a, b, want):
 
 
 def test_text_repairs(spark):
-    assert value(spark, ligatures(unescaped("x")), x="&lt;p&gt; &amp;amp; eﬃcient ﬁsh") == "<p> &amp; efficient fish"
+    assert value(spark, ligatures(unescaped("x")), x="&lt;p&gt; &amp;amp; eﬃcient ﬁsh, loﬅ ﬆill") == "<p> &amp; efficient fish, lost still"
     assert repair("ffiisshh") == "fish" and repair("ThThee") == "The" and repair("fifisshh") == "fish" and repair("abba") == "abba"
 
 
