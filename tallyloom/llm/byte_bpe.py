@@ -123,7 +123,9 @@ class RankMap:
         def find(hashes, values):
             def rank(h):
                 one, two = h.bitwiseAND(mask), F.call_function("shiftright", h, F.lit(self.bits)).bitwiseAND(mask)
-                return F.when(F.get(hashes, one) == h, F.get(values, one)).when(F.get(hashes, two) == h, F.get(values, two))
+                # a token left its first place only for another one, so that where that is empty there is none
+                first = F.get(hashes, one)
+                return F.when(first.isNull(), None).when(first == h, F.get(values, one)).when(F.get(hashes, two) == h, F.get(values, two))
 
             return rank
 
@@ -349,14 +351,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     return cut.select("doc_id", ids.alias("ids"))
 
 
+def with_bytes(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded (doc_id, ids) with raw, the ids as little-endian unsigned 32-bit integers, and decoded, the tokens' bytes one after the other."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        pieces = shared.value
+        for b in sliced(batches):
+            raw, text = [], []
+            for ids in b.column(1):
+                found = ids.values.to_numpy()
+                raw.append(found.astype("<u4").tobytes())
+                text.append(b"".join([pieces[k] for k in found.tolist()]))
+            yield pa.record_batch([*b.columns, pa.array(raw, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "raw", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, raw binary, decoded binary")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks, ids = read_ranks(), F.col("ids")
-    found = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return found.select(
-        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(little_endian(ids, ranks), 256).alias("ids_sha256"), F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256")
-    )
+    ranks = read_ranks()
+    found = with_bytes(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}
