@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.calendar import clock
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
+from tallyloom.sources.documents import CheckedJson
 
 
 @query("latest_snapshot", "SELECT user_id, skill, arg_max(value, (ts, event_id)) AS value, arg_min(value, (ts, event_id)) AS first_value, count(*) AS writes FROM answers GROUP BY ALL")
@@ -96,3 +97,12 @@ def json_fields(t: Tables) -> DataFrame:
     m = F.from_json("props", "map<string,int>")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(m, F.lit("k")) / 100.0))
     return t.read("events").select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), share.alias("share"), F.try_element_at(m, F.lit("missing")).isNull().alias("absent"), F.to_json(F.map_values(m)).alias("list"))
+
+
+@query("props_documents", """
+SELECT event_id, json(props)::VARCHAR AS doc, (props->>'k')::INT AS k, NULL::VARCHAR AS problem FROM events WHERE props IS NOT NULL""")
+def props_documents(t: Tables) -> DataFrame:
+    """The events' properties as checked documents, read by the data source: canonical spelling, one field, and what is wrong with a bad one."""
+    t.spark.dataSource.register(CheckedJson)
+    docs = t.spark.read.format(CheckedJson.name()).option("column", "props").option("key", "event_id").load(f"{t.sf_dir}/events.parquet")
+    return docs.select(F.col("key").cast("bigint").alias("event_id"), "doc", F.from_json("doc", "k int")["k"].alias("k"), "problem")

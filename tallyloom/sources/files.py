@@ -91,3 +91,45 @@ def export_ordered(df: DataFrame, path: str, by: list[str], order: list[str]) ->
     record = F.struct(*order, *(c for c in df.columns if c not in by and c not in order))
     docs = df.groupBy(*by).agg(F.sort_array(F.collect_list(record)).alias("records"))
     docs.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).mode("overwrite").json(path)
+
+
+def publish_together(tables: dict[str, DataFrame], path: str, valid: Callable[[dict[str, DataFrame]], bool]) -> dict[str, DataFrame]:
+    """Write a new version folder for each table, check all that can be read back, then point to all of them at once.
+
+    The manifest is one line that names every folder; until it is written readers see the
+    versions before, all of them, and after it the new ones, whatever fails between two
+    writes. Nothing is changed in place.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folders = {name: f"{path}/{name}/version-{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(folders[name])
+    back = {name: spark.read.schema(df.schema).parquet(folders[name]) for name, df in tables.items()}
+    if not valid(back):
+        raise ValueError(f"not published; see {', '.join(folders.values())}")
+    _point(spark, path, folders)
+    return back
+
+
+def _point(spark: SparkSession, path: str, folders: dict[str, str]) -> None:
+    entry = spark.createDataFrame([(folders,)], "versions map<string,string>").withColumn("at", F.current_timestamp())
+    entry.coalesce(1).write.mode("append").json(f"{path}/together")
+
+
+def _manifests(spark: SparkSession, path: str, n: int) -> list[dict[str, str]]:
+    rows = spark.read.schema("versions map<string,string>, at timestamp").json(f"{path}/together").orderBy(F.desc("at")).limit(n).collect()
+    return [r["versions"] for r in rows]
+
+
+def published_together(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that hold now, of one and the same manifest."""
+    return {name: spark.read.parquet(folder) for name, folder in _manifests(spark, path, 1)[0].items()}
+
+
+def roll_back_together(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Point to the manifest before the present one again, by a new entry; all tables go back at once."""
+    found = _manifests(spark, path, 2)
+    if len(found) < 2:
+        raise ValueError("there is no version before")
+    _point(spark, path, found[1])
+    return published_together(spark, path)
