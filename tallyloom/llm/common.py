@@ -102,10 +102,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(docs: DataFrame, size: int = 128 << 20) -> int:
-    """How many partitions keep the texts of each to about size bytes; not fewer than the session has."""
-    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-total // size))
+def parts_for(docs: DataFrame, size: int = 128 << 20, rows: int = 2_000_000) -> int:
+    """How many partitions keep the texts of each to about size bytes and rows rows; not fewer than the session has."""
+    total, n = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.count("*")).first()
+    return max(partitions(docs.sparkSession), -(-(total or 0) // size), -(-n // rows))
 
 
 def join_keys(rows: DataFrame, table_: DataFrame, keys: Sequence[str], n: str, share: int = 1000) -> DataFrame:

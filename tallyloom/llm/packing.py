@@ -8,8 +8,9 @@ emitted. What stays open at the end is bounded for each partition; in groups of
 ``merge`` partitions the pieces of these windows are packed again, longest first.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed
-each; a null doc_id is carried along; extra columns are ignored; an empty table gives
-none. Every id lies in exactly one piece.
+each; a null doc_id is carried along; ids are of an integer type; very long texts fill
+several windows; of equally good windows the first is taken; extra columns are ignored; an
+empty table gives none. Every id lies in exactly one piece.
 """
 
 from __future__ import annotations

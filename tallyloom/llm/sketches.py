@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyloom.llm.common import parts_for, sliced, table
 
@@ -120,7 +121,7 @@ def dealt_in_order(docs: DataFrame, parts: int) -> DataFrame:
     """range, borrowed, doc_id, at, text: sorted within partitions; borrowed rows are the next range's first."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("at"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 
     def lows(batches):
@@ -175,9 +176,8 @@ def compare_with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
             if done:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
 
-    types = [None, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, contained_in_edited double"
-    types[0] = {"bigint": pa.int64(), "int": pa.int32()}.get(kind)
     return dealt_in_order(docs, parts_for(docs)).mapInArrow(run, schema)
 
 

@@ -5,12 +5,13 @@ and writes one Arrow IPC file whose record batches hold two fixed-size lists, ``
 (16 bits where the vocabulary allows) and ``mask`` (false on the padding of a file's
 last sequence). Sequence k of a file is row k % BATCH of batch k // BATCH: mapped into
 memory, any sequence and its mask (packed bits, as Arrow has them) is read without a copy.
-Ranges are sized by bytes. A second small file has each document's
-place. A file appears under its name only when complete, and a task that runs again
+Ranges are sized by bytes and rows. A second small file has each document's
+place, written as it comes. A file appears under its name only when complete, and a task that runs again
 writes the same bytes; a manifest lists the files.
 
 Defined results: null and empty texts have the end id alone; rows with one doc_id follow
-each other in order of text; a null doc_id comes first; extra columns are ignored; an
+each other in order of text; a null doc_id comes first; ids are of an
+integer type; very long texts are encoded whole, in their place; extra columns are ignored; an
 empty table gives files without sequences and no rows.
 """
 
@@ -108,21 +109,20 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int =
         fs.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:06d}.arrow"
         mine = f"{name}.{uuid.uuid4().hex}"
-        doc_ids, sizes = [], []
-        with fs.open_output_stream(mine) as sink:
+        n_docs, kinds = 0, pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        with fs.open_output_stream(mine) as sink, fs.open_output_stream(f"{mine}.docs") as places, pa.ipc.new_file(places, kinds) as out:
             w = _Writer(sink, code.dtype, length)
             for b in sliced(batches):
-                doc_ids += b.column(0).to_pylist()
+                start, sizes = w.total, []
                 for ids in code.encode(b.column(1).to_pylist()):
                     w.add(np.append(ids, code.dtype.type(end_id)))
                     sizes.append(len(ids) + 1)
+                n_docs += len(sizes)
+                out.write_batch(pa.record_batch([b.column(0), pa.array(start + np.cumsum([0, *sizes])[:-1], pa.int64()), pa.array(sizes, pa.int64())], schema=kinds))
             w.close()
-        places = pa.table({"doc_id": pa.array(doc_ids, kind), "start": pa.array(np.cumsum([0, *sizes])[:-1], pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
-        with fs.open_output_stream(f"{mine}.docs") as sink, pa.ipc.new_file(sink, places.schema) as out:
-            out.write_table(places)
         fs.move(mine, name)
         fs.move(f"{mine}.docs", f"{name}.docs")
-        yield pa.record_batch([[shard], [f"{folder}/shard-{shard:06d}.arrow"], [len(sizes)], [w.total]], ["shard", "file", "n_docs", "n_tokens"])
+        yield pa.record_batch([[shard], [f"{folder}/shard-{shard:06d}.arrow"], [n_docs], [w.total]], ["shard", "file", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -139,12 +139,11 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for b in sliced(batches):
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 f, (fs, path) = TokenFile(file), file_system(f"{file}.docs")
-                with fs.open_input_file(path) as source:
-                    places = pa.ipc.open_file(source).read_all()
-                for part in places.to_batches(max_chunksize=10_000):
-                    start, n = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                    crc = [zlib.crc32(f.tokens(s, s + k).astype("<u4")) for s, k in zip(start.tolist(), n.tolist())]
-                    yield pa.record_batch([part.column("doc_id"), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with fs.open_input_file(path) as source, pa.ipc.open_file(source) as places:
+                    for part in map(places.get_batch, range(places.num_record_batches)):
+                        start, n = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
+                        crc = [zlib.crc32(f.tokens(s, s + k).astype("<u4")) for s, k in zip(start.tolist(), n.tolist())]
+                        yield pa.record_batch([part.column("doc_id"), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(partitions(spark), "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

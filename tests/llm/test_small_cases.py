@@ -7,10 +7,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import byte_bpe, embeddings, encoding, language_id, lm_score, near_copies, packing, quality, simhash, sketches, token_files, url_filter
-from tallyloom.llm.common import file_system, shared_dir
+from tallyloom.llm.common import file_system, parts_for, shared_dir
 from tests.llm.helpers import HARD, documents, words
 
 VOCAB = encoding.read_vocabulary()
@@ -204,3 +205,16 @@ def test_pipeline_stages_on_hard_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0, name
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint"])
+def test_ids_of_any_integer_type(spark, kind):
+    docs = spark.createDataFrame([(k, f"text {k} of some") for k in range(5)], "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = sketches.compare_with_next(docs)
+    assert found.schema["doc_id"].dataType.simpleString() == kind and {r["doc_id"] for r in found.collect()} == set(range(5))
+    assert [r["n_tokens"] > 1 for r in run_tokens(spark, docs).collect()] == [True] * 5 and {r["doc_id"] for r in packing.pack(docs, VOCAB).collect()} == set(range(5))
+
+
+def test_many_empty_texts_have_many_partitions(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    assert parts_for(docs, rows=100) == 30 and parts_for(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))
