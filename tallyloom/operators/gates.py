@@ -133,3 +133,26 @@ def page_titles(t: Tables) -> DataFrame:
     href = F.col("href")
     link = F.when(href == "", None).when(href.rlike("^[a-z]+://"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(host, folder, href))
     return p.select("page_id", ligatures(unescaped("raw")).alias("title"), link.alias("first_link"))
+
+
+#: Signs of worn or embedded fonts and what they stand for; a list of our own, in code order.
+GLYPHS = (("\u00ad", ""), ("\u2010", "-"), ("\u2011", "-"), ("\u2212", "-"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"), ("\uf0b7", "\u2022"))
+FOLIO = r"^[0-9]{1,3}$|^[0-9]{1,2}( [0-9]){1,3}\.?$|^[0-9]{5,8}[A-Z]$"
+_SIGNS = "coalesce(text, '')"
+for _sign, _letters in GLYPHS:
+    _SIGNS = f"replace({_SIGNS}, '{_sign}', '{_letters}')"
+
+
+@query("glyph_lines", rf"""
+WITH d AS (SELECT doc_id, string_split(nfc_normalize({_SIGNS}), chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(x, '\p{{C}}', ' ', 'g'), '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '{FOLIO}') AND NOT regexp_matches(x, '{FOOTER}')) AS kept FROM d)
+SELECT doc_id, len(kept)::INT AS lines, sha256(trim(regexp_replace(array_to_string(kept, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))) AS hash FROM c""")
+def glyph_lines(t: Tables) -> DataFrame:
+    """Lines with signs of worn fonts read as letters, NFC, without control characters, folios and footers; runs of blank lines are one."""
+    text = F.coalesce("text", F.lit(""))
+    for sign, letters in GLYPHS:
+        text = F.replace(text, F.lit(sign), F.lit(letters))
+    lines = F.transform(F.split(nfc(text), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    kept = F.filter(lines, lambda x: ~x.rlike(FOLIO) & ~x.rlike(FOOTER))
+    d = t.read("documents").select("doc_id", kept.alias("kept"))
+    return d.select("doc_id", F.size("kept").alias("lines"), F.sha2(F.trim(F.regexp_replace(F.array_join("kept", "\n"), r"\n{3,}", "\n\n"), F.lit("\n")), 256).alias("hash"))
