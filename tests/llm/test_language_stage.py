@@ -30,13 +30,12 @@ def test_nothing_learned_keeps_all(spark):
 def test_every_language_is_learned(spark):
     """45 languages, one of them with few documents, under a bound of rows that leaves each a handful."""
     r = random.Random(2)
-    letters = [chr(0x400 + k) for k in range(180)]
-    own = {f"l{k:02}": letters[4 * k : 4 * k + 4] for k in range(45)}
-    rows = [(i, " ".join("".join(r.choices(own[lang], k=4)) for _ in range(12)), lang) for i, lang in enumerate(sorted(own) * 12)] + [(10_000 + i, "x" * 30, "l00") for i in range(3)]
+    own = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3)] for k in range(45)}
+    rows = [(i, " ".join(r.choices(own[lang], k=12)), lang) for i, lang in enumerate(sorted(own) * 12)] + [(10_000 + i, "x" * 30, "l00") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language_id.train(docs, rows=450)
     assert model.langs == sorted(own)
     found = language_id.predict(docs.where("doc_id < 10000"), model).select("lang", "lang_pred").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.75 * len(found)
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
     assert {r["lang_pred"] for r in found} == set(own)
     assert len(language_id.train(docs, rows=1).langs) == 45
