@@ -10,7 +10,10 @@ from tallyloom.operators.rules import CONNECTIVE, LEAK, PATH, SECRET
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
+#: Fixed value: what counts as a word, since numbers of words must agree.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
+#: Fixed values of the gates: characters from and to, words at least; distinct words and letters or digits at least; printed numbers at least.
+EXPLANATION, BILINGUAL, TRANSCRIPT, DISTINCT, ALNUM, MARKS = (60, 1200, 10), (55, 1000, 9), (400, 20000, 80), 6, 40, 3
 #: Sentences that only say which answer is right.
 GENERIC = r"(?i)\b(answer|scoring) key\b|\b(as|per|by) the key\b|^\W*(the )?(correct|right) (answer|choice) is\b.{0,12}$|\bclave de respuestas\b|^\W*la respuesta correcta es\b.{0,12}$"
 REASON = {"es": r"(?i)\b(porque|por tanto|entonces|así que|ya que|luego)\b", "other": CONNECTIVE}
@@ -49,8 +52,8 @@ def explanation_gate(t: Tables) -> DataFrame:
     d = t.read("documents").select("doc_id", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
     text = F.col("text")
     m = d.select("doc_id", "text", *counted(text))
-    thin = (F.col("alnum") < 40) | (F.col("words") < 10) | (F.col("distinct_words") < 6)
-    return m.select("doc_id", codes(length=~F.col("chars").between(60, 1200), not_substantive=thin, no_connective=~text.rlike(CONNECTIVE), generic=text.rlike(GENERIC), footer=text.rlike(FOOTER), path=text.rlike(PATH)).alias("violations"))
+    thin = (F.col("alnum") < ALNUM) | (F.col("words") < EXPLANATION[2]) | (F.col("distinct_words") < DISTINCT)
+    return m.select("doc_id", codes(length=~F.col("chars").between(*EXPLANATION[:2]), not_substantive=thin, no_connective=~text.rlike(CONNECTIVE), generic=text.rlike(GENERIC), footer=text.rlike(FOOTER), path=text.rlike(PATH)).alias("violations"))
 
 
 @query("bilingual_gate", f"""
@@ -62,7 +65,7 @@ def bilingual_gate(t: Tables) -> DataFrame:
     d = t.read("documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
     m = d.select("doc_id", "lang", "text", *counted(text))
     reasoned = F.when(F.col("lang") == "es", text.rlike(REASON["es"])).otherwise(text.rlike(REASON["other"]))
-    return m.select("doc_id", "lang", codes(length=~F.col("chars").between(55, 1000), not_substantive=(F.col("words") < 9) | (F.col("alnum") < 40), generic=text.rlike(GENERIC), no_reasoning=~reasoned).alias("violations"))
+    return m.select("doc_id", "lang", codes(length=~F.col("chars").between(*BILINGUAL[:2]), not_substantive=(F.col("words") < BILINGUAL[2]) | (F.col("alnum") < ALNUM), generic=text.rlike(GENERIC), no_reasoning=~reasoned).alias("violations"))
 
 
 @query("transcript_gate", rf"""
@@ -80,8 +83,8 @@ def transcript_gate(t: Tables) -> DataFrame:
     doubled = F.exists("w", lambda x: x.rlike(r"^(?:(.)\1){3,}$"))
     falls = F.exists(F.arrays_zip(F.slice("marks", 1, F.greatest(F.size("marks") - 1, F.lit(0))).alias("a"), F.slice("marks", 2, F.size("marks")).alias("b")), lambda z: z["b"] <= z["a"])
     return m.select("doc_id", codes(
-        length=~F.length(text).between(400, 20000), words=F.size("w") < 80, private_glyph=text.rlike(PRIVATE), footer=text.rlike(FOOTER), leak=text.rlike(LEAK), doubled=doubled, path=text.rlike(PATH), secret=text.rlike(SECRET),
-        few_marks=F.size("marks") < 3, mark_order=falls).alias("violations"))
+        length=~F.length(text).between(*TRANSCRIPT[:2]), words=F.size("w") < TRANSCRIPT[2], private_glyph=text.rlike(PRIVATE), footer=text.rlike(FOOTER), leak=text.rlike(LEAK), doubled=doubled, path=text.rlike(PATH), secret=text.rlike(SECRET),
+        few_marks=F.size("marks") < MARKS, mark_order=falls).alias("violations"))
 
 
 @query("blank_runs", r"""
@@ -137,6 +140,7 @@ def page_titles(t: Tables) -> DataFrame:
 
 #: Signs of worn or embedded fonts and what they stand for; a list of our own, in code order.
 GLYPHS = (("\u00ad", ""), ("\u2010", "-"), ("\u2011", "-"), ("\u2212", "-"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"), ("\uf0b7", "\u2022"))
+#: Lines that are page numbers or codes of a sheet.
 FOLIO = r"^[0-9]{1,3}$|^[0-9]{1,2}( [0-9]){1,3}\.?$|^[0-9]{5,8}[A-Z]$"
 _SIGNS = "coalesce(text, '')"
 for _sign, _letters in GLYPHS:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.gates import FOOTER, MARK, PRIVATE, codes, sql_codes
+from tallyloom.operators.gates import FOOTER, MARK, MARKS, PRIVATE, TRANSCRIPT, codes, sql_codes
 from tallyloom.operators.rules import LEAK, PATH, SECRET
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
@@ -122,6 +122,6 @@ def review(docs: DataFrame, expected: Column | None = None, visuals: int = 0) ->
     m = docs.select("doc_id", "text", "corrupt", F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"), line_marks(text).alias("marks"))
     counted = F.when(F.size("marks") > 0, F.sequence(F.lit(1), F.size("marks"))).otherwise(F.array().cast("array<int>"))
     return m.select("doc_id", codes(
-        length=~F.length(text).between(400, 20000), words=F.col("words") < 80, private_glyph=text.rlike(PRIVATE), footer=text.rlike(FOOTER), leak=text.rlike(LEAK), corrupt=F.coalesce("corrupt", F.lit(False)),
-        split_word=text.rlike(SPLIT_WORD), closing=text.rlike(CLOSING), path=text.rlike(PATH), secret=text.rlike(SECRET), few_marks=F.size("marks") < 3, marks_differ=F.col("marks") != (counted if expected is None else expected),
+        length=~F.length(text).between(*TRANSCRIPT[:2]), words=F.col("words") < TRANSCRIPT[2], private_glyph=text.rlike(PRIVATE), footer=text.rlike(FOOTER), leak=text.rlike(LEAK), corrupt=F.coalesce("corrupt", F.lit(False)),
+        split_word=text.rlike(SPLIT_WORD), closing=text.rlike(CLOSING), path=text.rlike(PATH), secret=text.rlike(SECRET), few_marks=F.size("marks") < MARKS, marks_differ=F.col("marks") != (counted if expected is None else expected),
         visuals=F.size(F.regexp_extract_all(text, F.lit(VISUAL), F.lit(0))) != visuals).alias("violations"))
