@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +45,22 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, *by: str) -> None:
-    """JSON files in one folder for each value of by; a reader of some values opens only theirs."""
-    df.repartition(*by).write.partitionBy(*by).mode("overwrite").json(path)
+    """JSON files in one folder for each value of by; a reader of some values opens only theirs.
+
+    The folder is a new version, to which readers (exported) are pointed once it is whole.
+    """
+    _export(df.repartition(*by), path, by)
+
+
+def _export(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    version = f"{path}/export/version-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).json(version)
+    _point(df.sparkSession, path, {"export": version})
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """The export that holds."""
+    return spark.read.json(_manifests(spark, path, 1)[0]["export"])
 
 
 def publish(df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> DataFrame:
@@ -90,7 +104,7 @@ def export_ordered(df: DataFrame, path: str, by: list[str], order: list[str]) ->
     """One JSON document for each value of by, its records in order: file-per-key exports that come out the same each time."""
     record = F.struct(*order, *(c for c in df.columns if c not in by and c not in order))
     docs = df.groupBy(*by).agg(F.sort_array(F.collect_list(record)).alias("records"))
-    docs.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).mode("overwrite").json(path)
+    _export(docs.repartition(*by).sortWithinPartitions(*by), path, by)
 
 
 def publish_together(tables: dict[str, DataFrame], path: str, valid: Callable[[dict[str, DataFrame]], bool]) -> dict[str, DataFrame]:

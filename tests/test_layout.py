@@ -4,6 +4,7 @@ import itertools
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyloom.operators.layout import best_markers, centred_clusters
 from tallyloom.sources import files
@@ -46,9 +47,15 @@ def test_publish_and_rollback(spark, tmp_path):
 def test_exports(spark, tmp_path):
     df = spark.range(4).selectExpr("id", "id % 2 as grade", "4 - id as pos")
     files.export(df, f"{tmp_path}/export", "grade")
-    assert spark.read.json(f"{tmp_path}/export").where("grade = 1").count() == 2
+    before = files.exported(spark, f"{tmp_path}/export")
+    assert before.where("grade = 1").count() == 2
+    with pytest.raises(Exception, match="disk full"):
+        files.export(df.withColumn("id", F.raise_error(F.lit("disk full"))), f"{tmp_path}/export", "grade")
+    assert files.exported(spark, f"{tmp_path}/export").count() == 4  # a failed one is not pointed to
+    files.export(df.limit(1), f"{tmp_path}/export", "grade")
+    assert files.exported(spark, f"{tmp_path}/export").count() == 1 and before.count() == 4  # who reads the old one still does
     files.export_ordered(df, f"{tmp_path}/ordered", ["grade"], ["pos"])
-    got = {r["grade"]: [x["id"] for x in r["records"]] for r in spark.read.json(f"{tmp_path}/ordered").collect()}
+    got = {r["grade"]: [x["id"] for x in r["records"]] for r in files.exported(spark, f"{tmp_path}/ordered").collect()}
     assert got == {0: [2, 0], 1: [3, 1]}
 
 
