@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.groups import fold_groups
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
@@ -107,9 +108,32 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint"), F.coalesce("html", F.lit(""))).mapInArrow(run, NODES)
 
 
+DEEP = 64
+
+
 def inherited(nodes: DataFrame, values: dict[str, Column], tree: str = "page_id", order: str = "node", depth: str = "depth") -> DataFrame:
-    """nodes with columns of the names in values: the value of the node itself, or of its nearest ancestor that has one."""
+    """nodes with columns of the names in values: the value of the node itself, or of its nearest ancestor that has one.
+
+    A plan holds a window expression for each depth; where there are trees deeper than DEEP
+    (pages that never close their tags), they are walked in order instead, one at a time.
+    """
     deepest = nodes.agg(F.max(depth)).first()[0] or 0
+    if deepest > DEEP:
+        own = nodes.withColumns({f"_own_{name}": value for name, value in values.items()})
+        columns, names = nodes.columns, list(values)
+        kinds = [*((c, nodes.schema[c].dataType) for c in nodes.columns), *((name, own.schema[f"_own_{name}"].dataType) for name in values)]
+
+        def walk(rows: list[dict]) -> list[tuple]:
+            near: list[dict] = []  # for each depth on the way to the node, what a node there has or inherits
+            out = []
+            for r in rows:
+                del near[r[depth] :]
+                above = near[-1] if near else {}
+                near.append({name: above.get(name) if r[f"_own_{name}"] is None else r[f"_own_{name}"] for name in names})
+                out.append((*(r[c] for c in columns), *near[-1].values()))
+            return out
+
+        return fold_groups(own, [tree], [order], walk, ", ".join(f"`{name}` {kind.simpleString()}" for name, kind in kinds))
     so_far = Window.partitionBy(tree).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = nodes.withColumns({f"_own_{name}": value for name, value in values.items()})
     out = own

@@ -59,6 +59,13 @@ def test_inherited_like_a_walk(spark, seed):
     assert {(x["page_id"], x["node"]): x["near"] for x in got.collect()} == want
 
 
+def test_pages_that_never_close(spark):
+    """Trees deeper than a plan may be give the same as shallow ones."""
+    deep = "<b>" * 300 + "2021 <a href='x'>one</a>" + "<b>" * 20 + "<a href='y'>two</a>"
+    assert [r[4] for r in links(spark, deep, NESTED)] == [2021, 2021, 2024, 2024, 2023, None, 2019]
+    assert links(spark, deep, NESTED)[2:] == links(spark, NESTED)
+
+
 def brute(html):
     """(href, label, region) of each link, by a stack of open elements kept as parents."""
     parent, out, stack = {}, [], []
