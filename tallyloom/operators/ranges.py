@@ -1,9 +1,9 @@
 """Ranges named in free text, and points met with the ranges that hold them.
 
 interval_join() needs no equality key. A range of length n lies in at most two blocks of
-the smallest power of two that is not below n; it is met under that size and those
+the smallest power of eight that is not below n; it is met under that size and those
 blocks. A point is looked up once for each size that occurs, of which there are at most
-64. Ranges double, points are multiplied by the sizes in use, and the join is one of equal
+22. Ranges double, points are multiplied by the sizes in use, and the join is one of equal
 keys, whatever the ranges' lengths; no task gets all ranges.
 """
 
@@ -44,17 +44,21 @@ def instruction_ranges(t: Tables) -> DataFrame:
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
-    """Each point with each range that holds it: lo <= at <= hi, all of them whole numbers. Empty and null ranges hold nothing."""
+    """Each point with each range that holds it: lo <= at <= hi, all of them whole numbers. Empty and null ranges hold nothing.
+
+    Both sides are shuffled: statistics don't know that points are multiplied, so Spark
+    would collect those of a narrow table on the driver to broadcast them.
+    """
     size = F.col(hi) - F.col(lo) + 1
-    level = F.length(F.bin(size - 1)) * (size > 1).cast("int")  # 2 ** level is the smallest power not below the length
+    level = F.ceil(F.length(F.bin(size - 1)) / 3) * 3 * (size > 1).cast("int")  # 2 ** level is the smallest power of eight not below the length
     some = ranges.where(size > 0).withColumn("_level", level.cast("int"))
     block = lambda c: F.call_function("shiftright", F.col(c).cast("bigint"), F.col("_level"))
     dealt = some.withColumn("_block", F.explode(F.array_distinct(F.array(block(lo), block(hi)))))
-    levels = [r[0] for r in some.select("_level").distinct().collect()]  # at most 64
+    levels = [r[0] for r in some.select("_level").distinct().collect()]  # at most 22
     if not levels:
         levels = [0]
     probes = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*(F.lit(x) for x in sorted(levels))))).withColumn("_block", block(at))
-    return probes.join(dealt, ["_level", "_block"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_level", "_block")
+    return probes.hint("merge").join(dealt.hint("merge"), ["_level", "_block"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_level", "_block")
 
 
 RUN = 4096  # rows whose sums are added at a time

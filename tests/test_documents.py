@@ -133,6 +133,13 @@ def test_interval_join_like_a_nested_loop(spark):
     assert ranges.interval_join(got.select("p", "x"), spark.createDataFrame([], "k int, lo bigint, hi bigint"), "x", "lo", "hi").count() == 0
 
 
+def test_multiplied_points_are_not_broadcast(spark):
+    points, spans = spark.range(1000).select(F.col("id").alias("x")), spark.range(0, 1000, 10).select("id", F.col("id").alias("lo"), (F.col("id") + 9 + F.col("id") % 7 * 50).alias("hi"))
+    got = ranges.interval_join(points, spans, "x", "lo", "hi")
+    assert got.count() == sum(lo <= x <= lo + 9 + lo % 7 * 50 for x in range(1000) for lo in range(0, 1000, 10))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_offsets_of_sparse_keys(spark):
     r = random.Random(6)
     rows = [(key, r.randrange(0, 9)) for key in r.sample(range(0, 4096 * 4096 * 3, 1013), 300)]
