@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import doubled_glyphs, doubled_repaired, normal_answer
+from tallyloom.functions.text import doubled_glyphs, doubled_repaired, normal_answer, re2, trimmed
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
-#: Each rule is one regular expression that Java and RE2 read alike.
+#: Each rule is one regular expression, which re2() makes Java read as RE2 does.
 #: A text that tells which choice is right.
 LEAK = r"(?i)\bsolutions?:|\bkey to the (questions|exercises)\b|\bthe (right|correct) (choice|one) (is|was) [a-d]\b|\brespuesta correcta\b"
 #: A path of the writer's own machine: an absolute path of two folders or more, a drive or a file address; not the path of a web address.
@@ -37,7 +37,7 @@ def text_quality(t: Tables) -> DataFrame:
     d = t.read("documents").select("doc_id", text.alias("text"), word_list(text).alias("w"))
     m = d.select(
         "doc_id", F.length("text").alias("chars"), F.size("w").alias("words"), F.size(F.array_distinct(F.filter(F.transform("w", F.lower), lambda x: F.length(x) >= 3))).alias("distinct_words"),
-        F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("alnum"), F.col("text").rlike(CONNECTIVE).alias("reasoned"))
+        F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("alnum"), F.col("text").rlike(re2(CONNECTIVE)).alias("reasoned"))
     broken = F.concat_ws(",", F.when(~F.col("chars").between(400, 20000), "length"), F.when(F.col("words") < 80, "words"), F.when(F.col("distinct_words") < 6, "repetitive"),
                          F.when(F.col("alnum") < 40, "not_substantive"), F.when(~F.col("reasoned"), "no_connective"))
     return m.select("doc_id", "chars", "words", "distinct_words", "alnum", broken.alias("violations"))
@@ -47,7 +47,7 @@ def text_quality(t: Tables) -> DataFrame:
 def leak_and_path_flags(t: Tables) -> DataFrame:
     """Which unwanted patterns each document contains."""
     text = F.coalesce("text", F.lit(""))
-    return t.read("documents").select("doc_id", *(text.rlike(p).alias(n) for n, p in FLAGS.items()))
+    return t.read("documents").select("doc_id", *(text.rlike(re2(p)).alias(n) for n, p in FLAGS.items()))
 
 
 @query("cleaned_lines", r"""
@@ -56,8 +56,8 @@ WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text,
 SELECT doc_id, len(kept)::INT AS kept, sha256(trim(regexp_replace(array_to_string(kept, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS hash FROM d""")
 def cleaned_lines(t: Tables) -> DataFrame:
     """Lines trimmed, page numbers and license lines taken out, runs of blank lines made one, the rest joined."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    kept = F.filter(lines, lambda x: ~x.rlike("^[0-9 ]+$") & ~x.rlike("(?i)licen[sc]e"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: trimmed(F.regexp_replace(x, "[ \t]+", " ")))
+    kept = F.filter(lines, lambda x: ~x.rlike(re2("^[0-9 ]+$")) & ~x.rlike(re2("(?i)licen[sc]e")))
     d = t.read("documents").select("doc_id", kept.alias("kept"))
     return d.select("doc_id", F.size("kept").alias("kept"), F.sha2(F.trim(F.regexp_replace(F.array_join("kept", "\n"), r"\n{3,}", "\n\n"), F.lit("\n")), 256).alias("hash"))
 
