@@ -168,6 +168,13 @@ def test_roster_and_empty_tables(spark, tmp_path):
     assert {tuple(r) for r in standards.table_columns(t).collect()} >= {("part", 2, "a,b"), ("customer", 3, "c_custkey,c_name,c_nationkey")}
 
 
+def test_every_tutor_has_all_rows_of_their_learners(spark, tmp_path):
+    spark.createDataFrame([(k, k % 3) for k in range(120)], "c_custkey bigint, c_nationkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 3) for k in range(41)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted((r["tutor"], r["id"]) for r in standards.scope_switch(Tables(spark, str(tmp_path))).collect())
+    assert got == [(t, k) for t in range(41) for k in range(120) if t % 10 == 0 or k % 3 == t % 3 and k % 7 == t % 7]
+
+
 def test_more_groups_than_any_nation_table(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(1500)], "n_nationkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(1, "x"), (2, "y")], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
