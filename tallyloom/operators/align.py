@@ -6,15 +6,18 @@ sees its group once, in order.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from difflib import SequenceMatcher
-from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tallyloom.functions.groups import fold_cogroups, fold_groups
+from tallyloom.functions.groups import fold_groups
 from tallyloom.operators.layout import exchanges
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
@@ -177,22 +180,65 @@ def map_align(t: Tables) -> DataFrame:
     another way; the earliest is given) or aligned.
     """
     sub = lambda c, k: F.when(c % k > 0, c % 2)
+    sign = lambda c, k: ((F.coalesce(c % 17, F.lit(17)) + 17) * 3 + F.coalesce(sub(F.floor(c / 17), k) + 1, F.lit(0))).cast("int")  # noqa: E731  17: no domain, which no map has
     o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
-    part = F.col("l_partkey")
-    items = t.read("lineitem").join(o, "l_orderkey").select("user_id", F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("number"), part.alias("part"), (part % 17).alias("domain"), sub(F.floor(part / 17), 3).alias("sub"))
+    row = F.struct("l_linenumber", "l_partkey", sign(F.col("l_partkey"), 3).alias("sign"))
+    items = t.read("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row))["sign"].alias("items")).join(o, "l_orderkey")
     k = F.coalesce("k", F.lit(0)).cast("bigint")
-    mapped = t.answers.select("user_id", "ts", "event_id", (k % 17).alias("domain"), sub(F.floor(k / 17), 4).alias("sub"))
-
-    def fold(items: list[dict], mapped: list[dict]) -> list[tuple]:
-        targets, out = [(m["domain"], m["sub"]) for m in mapped], []
-        for attempt, rows in groupby(items, key=lambda r: r["attempt"]):
-            own = [(r["domain"], r["sub"]) for r in rows]
-            found = matches(own, targets, compatible)
-            places = found and ",".join(map(str, found[0]))
-            out.append((items[0]["user_id"], attempt, len(own), "failed" if found is None else "ambiguous" if found[1] else "aligned", places))
+    mapped = t.answers.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", sign(k, 4).alias("sign"))))["sign"].alias("map"))
+    rows = items.groupBy("user_id").agg(F.collect_list(F.struct(F.col("l_orderkey").alias("attempt"), "items")).alias("attempts")).join(mapped, "user_id", "left")
+    schema = "user_id bigint, attempt bigint, items int, status string, places string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for user, attempts, targets in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                    found = Places(targets or [])
+                    for a in attempts:
+                        own = a["items"]
+                        first = found.earliest(own)
+                        status = "failed" if first is None else "ambiguous" if first != found.latest(own) else "aligned"
+                        out.append((user, a["attempt"], len(own), status, first and ",".join(map(str, first))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(arrow), arrow)], schema=arrow)
+
+    return rows.select("user_id", "attempts", "map").mapInArrow(run, schema)
+
+
+class Places:
+    """Where the signs of a list stand, so that a match takes a look-up for each item and not a walk.
+
+    A sign is 3 * domain + 0 for a missing last part, or + 1 or + 2 for one; see compatible().
+    """
+
+    def __init__(self, targets: list[int]):
+        self.at: dict[int, list[int]] = {}
+        for j, x in enumerate(targets):
+            low = x - x % 3
+            for sign in (low, low + 1, low + 2) if x == low else (low, x):
+                self.at.setdefault(sign, []).append(j)
+
+    def earliest(self, items: list[int]) -> list[int] | None:
+        """The places of the earliest match of all items in order; None if there is none."""
+        out, after = [], 0
+        for x in items:
+            places = self.at.get(x, ())
+            k = bisect_left(places, after)
+            if k == len(places):
+                return None
+            out.append(places[k])
+            after = places[k] + 1
         return out
 
-    return fold_cogroups(items, mapped, ["user_id"], ["attempt", "number", "part"], ["ts", "event_id"], fold, "user_id bigint, attempt bigint, items int, status string, places string")
+    def latest(self, items: list[int]) -> list[int]:
+        """The places of the latest match, where there is one."""
+        out, before = [], math.inf
+        for x in reversed(items):
+            places = self.at[x]
+            before = places[bisect_left(places, before) - 1]
+            out.append(before)
+        return out[::-1]
 
 
 @query("fuzzy_ratio")

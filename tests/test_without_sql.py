@@ -190,3 +190,17 @@ def test_normal_answers(spark):
         for i, line in enumerate((r["text"] or "").split("\n")):
             want[r["doc_id"], i] = re.sub(r"[,$\s]", "", unicodedata.normalize("NFKC", line).lower()).rstrip(".")
     assert found == want
+
+
+def test_places_like_a_walk():
+    import random
+
+    from tallyloom.operators.align import Places, compatible, matches
+
+    r = random.Random(5)
+    sign = lambda x: (x // 3, None if x % 3 == 0 else x % 3)
+    for _ in range(2000):
+        items, targets = [r.randrange(9) for _ in range(r.randrange(5))], [r.randrange(9) for _ in range(r.randrange(20))]
+        found, places = matches([*map(sign, items)], [*map(sign, targets)], compatible), Places(targets)
+        first = places.earliest(items)
+        assert first == (found and found[0]) and (found is None or found[1] == (first != places.latest(items)))
