@@ -174,18 +174,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(run, schema)
 
 
-def floors(docs: DataFrame, model: Model, most: int = 2000) -> dict[int, float]:
+def floors(docs: DataFrame, model: Model) -> dict[int, float]:
     """Least length of a class -> the score that all but LOST of the labelled texts of that length reach.
 
-    About most rows that the model hasn't learned from are scored, whole and cut to the
+    All labelled rows that the model hasn't learned from are scored, whole and cut to the
     length of each class, as short texts score lower. A class with fewer than SEEN of them
     has no floor.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > CHARS) & is_held_out(F.col("doc_id")))
-    share = min(1.0, most / max(1, usable.count()))
-    some = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(13)), 11) / F.lit(float(1 << 53)) < share)
 
     def run(batches):
         for b in sliced(batches):
@@ -193,7 +190,7 @@ def floors(docs: DataFrame, model: Model, most: int = 2000) -> dict[int, float]:
             found = [(n, score) for n, (lang, score) in found if lang != UNKNOWN]
             yield pa.record_batch([pa.array([n for n, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], ["least", "score"])
 
-    scores = some.select(F.col("text").cast("string")).mapInArrow(run, "least int, score double")
+    scores = usable.select(F.col("text").cast("string")).mapInArrow(run, "least int, score double")
     rows = scores.groupBy("least").agg(F.percentile_approx("score", LOST, 10000).alias("floor"), F.count("*").alias("n")).collect()
     return {r["least"]: r["floor"] for r in rows if r["n"] >= SEEN}
 

@@ -39,3 +39,11 @@ def test_every_language_is_learned(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
     assert {r["lang_pred"] for r in found} == set(own)
     assert len(language_id.train(docs, rows=1).langs) == 45
+
+
+def test_floors_come_from_all_held_out_texts(spark, monkeypatch):
+    docs = spark.range(12000).select(F.col("id").alias("doc_id"), F.lit("a text of some thirty letters ab").alias("text"), F.lit("en").alias("lang"))
+    held = docs.where(language_id.is_held_out(F.col("doc_id"))).count()
+    assert held > 2000
+    monkeypatch.setattr(language_id, "SEEN", held)
+    assert set(language_id.floors(docs, language_id.train(docs))) == {20}
