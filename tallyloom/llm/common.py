@@ -5,6 +5,8 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -91,11 +93,24 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     """Views of at most so many rows, which bounds the Python objects made at a time.
 
     Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch,
-    64 MB unless the user sets it), so no setting of the session has to change.
+    64 MB unless the user sets it), so no setting of the session has to change. At the end
+    of a task its worker, which Spark keeps for later ones, gives free memory back.
     """
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system: Arrow's, and the C library's where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def partitions(spark: SparkSession) -> int:
