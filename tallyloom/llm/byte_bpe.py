@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import PIECE, file_system, materialize, sliced, table, write_shared
+from tallyloom.llm.common import PIECE, file_system, materialize, sliced, table, worker_cache, write_shared
 
 FREQUENT = 1_500_000  # folded pieces that a worker holds, some 25 bytes each
 BITS = 62  # bytes of a match folded as a bit mask
@@ -265,7 +265,8 @@ class Folded:
         return np.where(there, self.ends[at], 0), np.where(there, self.ends[at + 1] - self.ends[at], 0)
 
 
-_held: dict[str, Folded] = {}
+CACHE = "folded pieces"
+_held: dict[str, Folded] = worker_cache(CACHE)
 
 
 def held(uri: str) -> Folded:
@@ -314,7 +315,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
 
     def look_up(batches):
         number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), held(known)
-        for b in sliced(batches):
+        for b in sliced(batches, keep=CACHE):
             if len(number) > HELD:
                 number, start, size = _Numbers(), start[:0], size[:0]
             before = len(number)

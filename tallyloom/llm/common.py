@@ -89,13 +89,25 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a worker keeps under a name for the tasks that follow, until a task comes that does not keep it."""
+    return _kept.setdefault(name, {})
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Views of at most so many rows, which bounds the Python objects made at a time.
 
     Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch,
-    64 MB unless the user sets it), so no setting of the session has to change. At the end
-    of a task its worker, which Spark keeps for later ones, gives free memory back.
+    64 MB unless the user sets it), so no setting of the session has to change. A worker,
+    which Spark keeps for the tasks of later stages, first lets go of every worker_cache
+    but keep, and at the end of a task gives free memory back.
     """
+    for name, held in _kept.items():
+        if name != keep:
+            held.clear()
     try:
         for b in batches:
             for at in range(0, b.num_rows, rows):

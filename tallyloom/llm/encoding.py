@@ -2,7 +2,8 @@
 
 The splitting pattern cuts a text before its merges run, so that texts can be cut at
 some of the same places first and every distinct piece encoded once (common.PIECE).
-A worker keeps its pieces for the tasks that follow, up to a fixed number.
+A worker keeps its pieces for the tasks that follow, up to a fixed number, until one comes
+that does not encode (common.worker_cache): over 200 MB else stay in each idle worker.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from itertools import chain
 
 import numpy as np
 
-from tallyloom.llm.common import PIECE
+from tallyloom.llm.common import PIECE, worker_cache
 
 KEPT = 1_200_000  # pieces a worker keeps
 CHARS = 1_000_000  # characters encoded at a time
-_encoders: dict[str, PieceEncoder] = {}
+CACHE = "encoders"
+_encoders: dict[str, PieceEncoder] = worker_cache(CACHE)
 
 
 class PieceEncoder:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, sliced, table
-from tallyloom.llm.encoding import encoder, read_vocabulary
+from tallyloom.llm.encoding import CACHE, encoder, read_vocabulary
 
 LENGTH, WINDOWS, MERGE, END_ID = 2048, 64, 64, 1
 PIECE_COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID, length: int =
         def batch(rows):
             return pa.record_batch([pa.array(c, pa.int64() if n != "whole" else pa.bool_()) for n, c in zip(names, zip(*rows))], names)
 
-        for b in sliced(batches):
+        for b in sliced(batches, keep=CACHE):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
                 ids = np.append(ids, code.dtype.type(end_id)).astype("<u4")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import file_system, materialize, parts_for, partitions, shared_dir, sliced, table
-from tallyloom.llm.encoding import encoder, read_vocabulary
+from tallyloom.llm.encoding import CACHE, encoder, read_vocabulary
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
 
@@ -112,7 +112,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: bytes, end_id: int =
         n_docs, kinds = 0, pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         with fs.open_output_stream(mine) as sink, fs.open_output_stream(f"{mine}.docs") as places, pa.ipc.new_file(places, kinds) as out:
             w = _Writer(sink, code.dtype, length)
-            for b in sliced(batches):
+            for b in sliced(batches, keep=CACHE):
                 start, sizes = w.total, []
                 for ids in code.encode(b.column(1).to_pylist()):
                     w.add(np.append(ids, code.dtype.type(end_id)))
@@ -136,7 +136,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("shard", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, keep=CACHE):
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 f, (fs, path) = TokenFile(file), file_system(f"{file}.docs")
                 with fs.open_input_file(path) as source, pa.ipc.open_file(source) as places:

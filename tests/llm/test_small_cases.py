@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import byte_bpe, embeddings, encoding, language_id, lm_score, near_copies, packing, quality, simhash, sketches, token_files, url_filter
-from tallyloom.llm.common import file_system, parts_for, shared_dir
+from tallyloom.llm.common import file_system, parts_for, shared_dir, sliced
 from tests.llm.helpers import HARD, documents, words
 
 VOCAB = encoding.read_vocabulary()
@@ -218,3 +218,13 @@ def test_ids_of_any_integer_type(spark, kind):
 def test_many_empty_texts_have_many_partitions(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     assert parts_for(docs, rows=100) == 30 and parts_for(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_workers_let_go_of_pieces_in_other_stages():
+    batch = pa.record_batch([pa.array(["one two"])], ["text"])
+    code = encoding.encoder(VOCAB)
+    list(code.encode(["one two"]))
+    list(sliced([batch], keep=encoding.CACHE))  # a task that encodes
+    assert encoding.encoder(VOCAB) is code and code.known
+    list(sliced([batch]))  # one that doesn't
+    assert not encoding._encoders and encoding.encoder(VOCAB) is not code
