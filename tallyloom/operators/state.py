@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.groups import parts_of
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
@@ -197,14 +198,20 @@ def exam_score(t: Tables) -> DataFrame:
     answered makes an attempt incomplete. Else an answer may be foreign (not asked) or
     repeated; an attempt without questions is unknown.
     """
-    key, q = F.col("o_orderkey"), F.col("q")
-    asked = t.read("orders").select(key.alias("id"), F.explode(F.sequence(F.lit(1).cast("bigint"), key % 7 + 1)).alias("q")).withColumn("points", (F.col("id") + q) % 4 + 1)
-    answers = t.read("lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("q")).agg(F.count("*").alias("n"), F.min(F.col("l_partkey") % 4).alias("answer"), F.min(F.col("l_suppkey") % 4).alias("key"))
-    j = asked.join(answers, ["id", "q"], "full")
-    is_asked = F.col("points").isNotNull()
+    orders, lines = t.read("orders"), t.read("lineitem")
+    key, asking, said, none = F.col("o_orderkey"), F.col("asking"), ~F.col("asking"), F.lit(None)
+    asked = orders.select(key.alias("id"), F.lit(True).alias("asking"), none.cast("bigint").alias("q"), none.cast("bigint").alias("answer"), none.cast("bigint").alias("key"))
+    answers = lines.select(F.col("l_orderkey").alias("id"), F.lit(False).alias("asking"), F.col("l_linenumber").cast("bigint").alias("q"), (F.col("l_partkey") % 4).alias("answer"), (F.col("l_suppkey") % 4).alias("key"))
+    # dealt out once by attempt, before anything is counted: questions are nearly all different, so that counting them first would only fill memory
+    rows = asked.unionByName(answers).repartition(parts_of(orders, lines), "id")
+    numbers = F.when(asking, F.sequence(F.lit(1).cast("bigint"), F.col("id") % 7 + 1)).otherwise(F.array("q"))
+    rows = rows.select("id", "asking", "answer", "key", F.explode(numbers).alias("q"))
+    j = rows.groupBy("id", "q").agg(F.count_if(asking).alias("times"), F.count_if(said).alias("n"), F.min("answer").alias("answer"), F.min("key").alias("key"))
+    times, points = F.col("times"), F.col("times") * ((F.col("id") + F.col("q")) % 4 + 1)
+    is_asked = times > 0
     e = j.groupBy("id").agg(
-        F.count_if(is_asked).alias("asked"), F.count_if(is_asked & F.col("n").isNull()).alias("missing"), F.count_if(~is_asked).alias("foreign"), F.count_if(F.col("n") > 1).alias("repeated"),
-        F.sum(F.when(F.col("answer") == F.col("key"), F.coalesce("points", F.lit(0))).otherwise(0)).alias("earned"), F.sum("points").alias("possible"))
+        F.sum(times).alias("asked"), F.sum(F.when(F.col("n") == 0, times).otherwise(0)).alias("missing"), F.count_if(~is_asked).alias("foreign"), F.count_if(F.col("n") > 1).alias("repeated"),
+        F.sum(F.when(is_asked & (F.col("answer") == F.col("key")), points).otherwise(0)).alias("earned"), F.sum(F.when(is_asked, points)).alias("possible"))
     status = F.when(F.col("asked") == 0, "unknown").when(F.col("missing") > 0, "incomplete").when(F.col("foreign") > 0, "foreign").when(F.col("repeated") > 0, "repeated").otherwise("graded")
     whole = status == "graded"
     percent = F.when(F.col("possible") > 0, F.floor(100.0 * F.col("earned") / F.col("possible") + 0.5)).otherwise(0).cast("int")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions.calendar import valid_date
+from tallyloom.functions import groups
 from tallyloom.functions.text import ligatures, re2, repair, unescaped
 from tallyloom.operators import cohort, gates, layout, rules, standards, state
 from tallyloom.operators.align import earliest, matches, nearest_greedy
@@ -156,6 +157,25 @@ def test_exam_score(spark, tmp_path):
     assert got == {7: ("graded", 1, 1), 8: ("incomplete", None, None), 9: ("graded", 4, 8), 14: ("foreign", None, None), 21: ("repeated", None, None), 22: ("incomplete", None, None), 99: ("unknown", None, None)}
 
 
+def test_repeated_orders_and_missing_keys(spark, tmp_path):
+    lines = [(7, 1, 1, 1), (8, 1, 1, 1), (8, 2, 1, 2), (None, 1, 1, 1), (14, None, 1, 1), (14, 1, 1, 1)]
+    got = attempt(spark, tmp_path, [(7,), (8,), (8,), (14,), (None,)], lines)
+    assert got == {7: ("graded", 1, 1), 8: ("graded", 2 * 2, 2 * 5), 14: ("foreign", None, None), None: ("unknown", None, None)}
+
+
+def test_parts_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id as o_orderkey", "date'1996-05-05' as o_orderdate", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3000).selectExpr("id % 1000 as l_orderkey", "cast(id div 1000 as int) as l_linenumber", "id as l_partkey", "id as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(3000).selectExpr("id as p_partkey", "'PROMO' as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    found = []
+    for rows in (groups.PART_ROWS, 100):
+        monkeypatch.setattr(groups, "PART_ROWS", rows)
+        t = Tables(spark, str(tmp_path))
+        found.append((sorted(map(tuple, state.exam_score(t).collect())), sorted(map(tuple, standards.catalog_sections(t).collect()))))
+    assert found[0] == found[1] and len(found[0][0]) == len(found[0][1]) == 1000
+    assert state.exam_score(t).rdd.getNumPartitions() == 40
+
+
 def test_roster_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([(k, k % 3, "a") for k in range(40)], "c_custkey bigint, c_nationkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(k, k % 3) for k in range(12)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
