@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.calendar import valid_date
+from tallyloom.functions.groups import parts_of
 from tallyloom.plans.define import query
 from tallyloom.sources.bind import Tables
 
@@ -109,7 +110,10 @@ def catalog_sections(t: Tables) -> DataFrame:
     order = F.array(*map(F.lit, SECTIONS))
     p = t.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 6 + 3).alias("grade"))
-    q = t.read("lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey").join(o, "l_orderkey")
+    lines = t.read("lineitem").select("l_orderkey", "l_partkey")
+    n = parts_of(lines, o)
+    deal = lambda rows, by: rows.repartition(n, by)
+    q = deal(deal(lines, "l_partkey").join(deal(p, "l_partkey"), "l_partkey"), "l_orderkey").join(deal(o, "l_orderkey"), "l_orderkey")
     domain = F.when((F.col("p_type") == "STANDARD") & (F.col("year") == 1996), "OTHER").otherwise(F.col("p_type"))
     s = q.groupBy("year", "grade", F.col("l_orderkey").alias("exam"), domain.alias("domain")).agg(F.count("*").alias("n"))
     s = s.withColumn("pos", F.array_position(order, F.col("domain"))).where("pos > 0")

@@ -174,6 +174,7 @@ def test_parts_grow_with_the_rows(spark, tmp_path, monkeypatch):
         found.append((sorted(map(tuple, state.exam_score(t).collect())), sorted(map(tuple, standards.catalog_sections(t).collect()))))
     assert found[0] == found[1] and len(found[0][0]) == len(found[0][1]) == 1000
     assert state.exam_score(t).rdd.getNumPartitions() == 40
+    assert standards.catalog_sections(t)._jdf.queryExecution().analyzed().toString().count("], 40\n") >= 4
 
 
 def test_roster_and_empty_tables(spark, tmp_path):
