@@ -7,14 +7,19 @@ them by sorted hashes. A piece that occurs
 once (or, in corpora that exceed the bound, one beyond it) is folded where it stands,
 once for each document. Both go through one column expression, bpe(): all runs of bytes
 of a match that are tokens, in order of their rank, are folded over a bit mask of the
-match's boundaries. A run becomes a token if both its ends still are boundaries and one
+piece's boundaries. A run becomes a token if both its ends still are boundaries and one
 boundary is left between them, which then goes. Ranks come from a literal table in the
 plan, found by 64-bit hash.
 
+Most runs of bytes are no tokens, and a look at the table costs more than all else. So the
+tasks that hand pieces over also say which runs are worth it (Runs): those within a match of
+the pattern whose short hash is that of any token. No token is missed; the few runs
+that only share a short hash have no rank in the table.
+
 One pass in order of rank merges as repeated merging of the lowest pair does, provided
 that every token is the last merge of its own bytes; RankMap makes sure of that.
 
-A mask holds 62 bytes. Longer pieces (long words, URLs, keys) are merged in Python with a
+A mask holds 62 bytes of a piece. Longer pieces (long words, URLs, keys) are merged in Python with a
 heap, in n log n, as no array fold over them stays linear.
 
 Decoding concatenates the vocabulary's byte strings, as a column expression.
@@ -45,8 +50,11 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import PIECE, file_system, materialize, sliced, table, worker_cache, write_shared
 
 FREQUENT = 1_500_000  # folded pieces that a worker holds, some 25 bytes each
-BITS = 62  # bytes of a match folded as a bit mask
+BITS = 62  # bytes of a piece folded as a bit mask
+SLOTS = 22  # bits of the short hash by which runs of bytes are sifted
 NO_RANK = 2**31 - 1
+SIFTED = 4096  # pieces whose runs are sifted at a time
+WORD = "struct<word: binary, runs: array<smallint>>"
 HELD = 300_000  # distinct pieces that a worker counts or numbers before it starts anew
 
 
@@ -91,13 +99,16 @@ def let(value: Column, use) -> Column:
 
 
 class RankMap:
-    """The ranks as two literal arrays of the plan: a table of the tokens' 64-bit hashes with two places for each, and the ranks beside it."""
+    """The ranks as a literal array of the plan, with two places for each token: its 64-bit hash, the low bits of which give way to the rank.
+
+    Hash bits above the rank's and a place tell the low bits, so that all 64 are compared.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         if odd := next((t for t, r in ranks.items() if len(t) > 1 and len(merge_word(t, ranks, r)) != 2), None):
             raise ValueError(f"the token {odd!r} is not the last merge of its own bytes")
-        self.longest = max(map(len, ranks), default=1)
-        self.bits = max(4, (4 * len(ranks)).bit_length())  # at most a quarter to a half is taken
+        self.low = max(ranks.values(), default=0).bit_length()
+        self.bits = max(4, self.low, (4 * len(ranks)).bit_length())  # at most a quarter to a half is taken
         held: list = [None] * (1 << self.bits)
         for token, rank in ranks.items():
             item = int(np.int64(np.uint64(xxhash.xxh64_intdigest(token, 42)))), rank  # as xxhash64()
@@ -109,72 +120,115 @@ class RankMap:
                 place = sum(self.places(item[0])) - place  # the other place of what was there
             else:
                 raise ValueError("the table of ranks is too full")
-        self.hashes = F.from_json(F.lit(json.dumps([x and x[0] for x in held])), "array<bigint>")
-        self.values = F.from_json(F.lit(json.dumps([x and x[1] for x in held])), "array<bigint>")
+        self.table = literal([x and (x[0] >> self.low << self.low) + x[1] for x in held])
+        # by start * 64 + size of a run: the boundaries within it, and the two at its ends
+        runs = [(start, size) if 0 < size and start + size <= BITS else (0, 0) for start in range(64) for size in range(64)]
+        self.within = literal([(1 << start + size) - (1 << start + 1) if size > 1 else 0 for start, size in runs])
+        self.ends = literal([1 << start | 1 << start + size for start, size in runs])
 
     def places(self, h: int) -> tuple[int, int]:
         mask = (1 << self.bits) - 1
-        return h & mask, (h >> self.bits) & mask
+        return h & mask, (h ^ h >> self.bits) & mask
 
     def bound(self, use) -> Column:
-        """use(rank), where rank(hash) is null for what is no token's hash; the literals stand once in the plan."""
-        mask = F.lit((1 << self.bits) - 1)
+        """use(rank, within, ends), where rank(hash) is null for what is no token's hash; the literals stand once in the plan."""
+        mask, low = F.lit((1 << self.bits) - 1), F.lit((1 << self.low) - 1)
 
-        def find(hashes, values):
+        def find(table_):
             def rank(h):
-                one, two = h.bitwiseAND(mask), F.call_function("shiftright", h, F.lit(self.bits)).bitwiseAND(mask)
-                # a token left its first place only for another one, so that where that is empty there is none
-                first = F.get(hashes, one)
-                return F.when(first.isNull(), None).when(first == h, F.get(values, one)).when(F.get(hashes, two) == h, F.get(values, two))
+                at = lambda place: F.get(table_, place.bitwiseAND(mask))
+                one, two = at(h), at(h.bitwiseXOR(F.call_function("shiftright", h, F.lit(self.bits))))
+                same = lambda entry: right(entry.bitwiseXOR(h), F.lit(self.low)) == 0
+                return F.when(same(one), one.bitwiseAND(low)).when(same(two), two.bitwiseAND(low))
 
             return rank
 
-        return let(self.hashes, lambda hashes: let(self.values, lambda values: use(find(hashes, values))))
+        return let(self.table, lambda table_: let(self.within, lambda within: let(self.ends, lambda ends: use(find(table_), within, ends))))
 
 
-def left(value: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", value, by)
+def literal(values: list[int | None]) -> Column:
+    """A literal array<bigint>, as one text in the plan."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def right(value: Column, by: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, by)
 
 
-def merged(mask: Column, run: Column) -> Column:
-    """The mask of boundaries after a run of bytes (rank, start, size) has been tried; bit k stands before byte k."""
-    size, start = run.bitwiseAND(F.lit(63)).cast("int"), F.call_function("shiftright", run, F.lit(6)).bitwiseAND(F.lit(63)).cast("int")
-    one = F.lit(1).cast("bigint")
-    ends = left(one, size) + one
-    inside = right(mask, start).bitwiseAND(left(one, size + 1) - one)
-    return let(inside, lambda seen: F.when((F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends), mask - left(seen - ends, start)).otherwise(mask))
-
-
-def bpe_word(word: Column, rank, longest: int) -> Column:
-    """Ids (array<int>) of one match of the splitting pattern, given as binary of at most BITS bytes."""
-    n = F.length(word)
-
-    def runs_of(size):
-        hashes = F.transform(F.sequence(F.lit(1), n - size + 1), lambda start: F.xxhash64(F.substring(word, start, size)))
-        return F.transform(hashes, lambda h, start: rank(h) * 4096 + start * 64 + size)
-
-    known = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(longest))), runs_of))))
-    mask = F.aggregate(known, F.lit(-1).cast("bigint"), merged)
-
-    def ids(mask):
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", mask, k) == 1)
-        # the next boundary is the lowest bit left above this one
-        rest = lambda k: right(mask, k + 1)
-        size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
-        return F.transform(F.transform(starts, lambda k: F.xxhash64(F.substring(word, k + 1, size(k)))), lambda h: rank(h).cast("int"))
-
-    whole = F.transform(F.array(F.xxhash64(word)), lambda h: rank(h).cast("int"))
-    return let(whole, lambda own: F.when(F.get(own, F.lit(0)).isNotNull() | (n < 2), own).otherwise(let(mask, ids)))
-
+def bpe(words: Column, ranks: RankMap) -> Column:
+    """Ids (array<array<int>>) of an array of pieces, struct<word, runs> as Runs gives them."""
+
+    def bpe_word(word, runs, rank, within, ends):
+        hashes = F.transform(runs, lambda run: F.xxhash64(F.substring(word, F.call_function("shiftright", run, F.lit(6)) + 1, run.bitwiseAND(F.lit(63)))))
+        known = F.sort_array(F.array_compact(F.zip_with(hashes, runs, lambda h, run: rank(h) * 4096 + run)))
+
+        def merged(mask, run):
+            """The mask of boundaries after a run of bytes (rank, start, size) has been tried; bit k stands before byte k."""
+            at = run.bitwiseAND(F.lit(4095))
+            seen, both = mask.bitwiseAND(F.get(within, at)), F.get(ends, at)
+            return F.when((F.bit_count(seen) == 1) & (mask.bitwiseAND(both) == both), mask - seen).otherwise(mask)
+
+        def ids(mask):
+            starts = F.filter(F.sequence(F.lit(0), F.length(word) - 1), lambda k: F.call_function("getbit", mask, k) == 1)
+            # the next boundary is the lowest bit left above this one
+            rest = lambda k: right(mask, k + 1)
+            size = lambda k: (F.bit_count(rest(k).bitwiseAND(-rest(k)) - 1) + 1).cast("int")
+            return F.transform(F.transform(starts, lambda k: F.xxhash64(F.substring(word, k + 1, size(k)))), lambda h: rank(h).cast("int"))
+
+        return F.when(F.length(word) > 0, let(F.aggregate(known, F.lit(-1).cast("bigint"), merged), ids)).otherwise(F.array().cast("array<int>"))
+
+    return ranks.bound(lambda rank, within, ends: F.transform(words, lambda w: bpe_word(w["word"], w["runs"], rank, within, ends)))
+
+
+class Runs:
+    """Which runs of bytes of a piece can be tokens: those within one match of the pattern whose short hash is a token's."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        draw = np.random.default_rng(42)
+        self.pattern, self.by_byte, self.factor = pattern, draw.integers(0, 2**64, 256, np.uint64), draw.integers(0, 2**64, 1, np.uint64) | np.uint64(1)
+        there = np.zeros(1 << SLOTS, bool)
+        self.longest = 1
+        for size in sorted({len(t) for t in ranks if 1 < len(t) <= BITS}):
+            tokens = np.frombuffer(b"".join(t for t in ranks if len(t) == size), np.uint8).reshape(-1, size)
+            h = np.zeros(len(tokens), np.uint64)
+            for k in range(size):
+                h = h * self.factor + self.by_byte[tokens[:, k]]
+            there[self.slot(h)] = True
+            self.longest = size
+        self.packed = np.packbits(there)
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def finder(self):
+        """A function of a list of pieces, which gives them as structs (WORD); a run is start * 64 + size."""
+        there, matches = np.unpackbits(self.packed).view(bool), regex.compile(self.pattern).findall
+
+        def find(pieces: list[str]) -> pa.StructArray:
+            cut = [[m.encode("utf-8", "surrogatepass") for m in matches(p)] for p in pieces]
+            words = [b"".join(c) for c in cut]
+            sizes = np.fromiter((len(m) for c in cut for m in c), np.int64)
+            each = np.fromiter(map(len, words), np.int64, len(words))
+            starts, total = np.cumsum(each) - each, int(each.sum())
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # bytes up to the match's end
+            value = self.by_byte[np.frombuffer(b"".join(words), np.uint8)]
+            found = np.zeros((total, self.longest + 1), bool)
+            at, h = np.arange(total), value
+            for size in range(2, self.longest + 1):
+                more = left[at] >= size
+                at = at[more]
+                if not len(at):
+                    break
+                h = h[more] * self.factor + value[at + size - 1]
+                found[at, size] = there[self.slot(h)]
+            at, size = np.nonzero(found)
+            runs = (at - np.repeat(starts, each)[at]) * 64 + size
+            ends = np.searchsorted(at, np.append(starts, total))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(runs.astype(np.int16)))
+            return pa.StructArray.from_arrays([pa.array(words, pa.binary()), lists], ["word", "runs"])
 
-def bpe(text: Column, ranks: RankMap, pattern: str) -> Column:
-    """Ids (array<int>) of a string column of at most BITS bytes: each match of pattern is folded separately."""
-    words = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return ranks.bound(lambda rank: F.flatten(F.transform(F.transform(words, lambda w: w.cast("binary")), lambda w: bpe_word(w, rank, ranks.longest))))
+        return lambda pieces: pa.concat_arrays([find(pieces[k : k + SIFTED]) for k in range(0, max(len(pieces), 1), SIFTED)])
 
 
 def joined(ids: Column, strings: list[bytes]) -> Column:
@@ -294,16 +348,22 @@ def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (array<int>) of every text."""
     spark = docs.sparkSession
-    rank_map = RankMap(ranks)
+    rank_map, runs = RankMap(ranks), spark.sparkContext.broadcast(Runs(ranks, pattern))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def sifted(batches):
+        find = runs.value.finder()
+        for b in sliced(batches, 10_000):
+            yield pa.record_batch([b["piece"], find(b["piece"].to_pylist())], ["piece", "word"])
+
     def packed(batches):
         for b in batches:
             key, check = digests(b["piece"].to_pylist())
             ids = [np.array(x, "<i4").tobytes() for x in b["ids"].to_pylist()]
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(ids, pa.binary())], ["key", "check", "ids"])
 
-    folded = frequent_pieces(docs, frequent).repartition("piece").select("piece", bpe(F.col("piece"), rank_map, pattern).alias("ids"))
+    folded = frequent_pieces(docs, frequent).repartition("piece").mapInArrow(sifted, f"piece string, word {WORD}")
+    folded = folded.select("piece", F.element_at(bpe(F.array("word"), rank_map), 1).alias("ids"))
     known = write_shared(folded.mapInArrow(packed, "key bigint, check int, ids binary"), "folded")
     all_ranks = spark.sparkContext.broadcast(ranks)
     names = ["doc_id", "parts", "which", "rare", "merged"]
@@ -314,7 +374,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
         return [all_ranks.value[t] for w in regex.findall(pattern, piece) for t in merge_word(w.encode("utf-8", "surrogatepass"), all_ranks.value)]
 
     def look_up(batches):
-        number, start, size, table_ = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), held(known)
+        number, start, size, table_, find = _Numbers(), np.empty(0, np.int64), np.empty(0, np.int64), held(known), runs.value.finder()
         for b in sliced(batches, keep=CACHE):
             if len(number) > HELD:
                 number, start, size = _Numbers(), start[:0], size[:0]
@@ -327,7 +387,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
             sizes = size[flat]
             ends = np.concatenate([[0], np.cumsum(sizes)])
             cuts = np.cumsum([0, *map(len, numbers)])
-            stops, last, which_of, rare_of, merged_of = [np.zeros(1, np.int64)], [0], [], [], []
+            stops, last, which_of, rare, n_rare, merged_of = [np.zeros(1, np.int64)], [0], [], [], [0], []
             for at, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 gap = np.flatnonzero(sizes[lo:hi] == 0)
                 distinct, which = np.unique(numbers[at][gap], return_inverse=True)
@@ -338,16 +398,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
                 stops += [ends[lo:hi][gap], ends[hi : hi + 1]]
                 last.append(last[-1] + len(gap) + 1)
                 which_of.append(np.append(place[which], -1).astype(np.int32))
-                rare_of.append([p for p, x in zip(pieces, long_) if x is None])
+                rare += [p for p, x in zip(pieces, long_) if x is None]
+                n_rare.append(len(rare))
                 merged_of.append([x for x in long_ if x is not None])
             parts = pa.ListArray.from_arrays(pa.array(np.concatenate(stops).astype(np.int32)), pa.array(table_.ids[slices(start[flat], sizes)], pa.int32()))
             yield pa.record_batch([
-                b.column(0), pa.ListArray.from_arrays(pa.array(last, pa.int32()), parts), pa.array(which_of, pa.list_(pa.int32())), pa.array(rare_of, pa.list_(pa.string())), pa.array(merged_of, pa.list_(pa.list_(pa.int32()))),
+                b.column(0), pa.ListArray.from_arrays(pa.array(last, pa.int32()), parts), pa.array(which_of, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(n_rare, pa.int32()), find(rare)), pa.array(merged_of, pa.list_(pa.list_(pa.int32()))),
             ], names)
 
-    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, parts array<array<int>>, which array<int>, rare array<string>, merged array<array<int>>")
+    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(look_up, f"doc_id {kind}, parts array<array<int>>, which array<int>, rare array<{WORD}>, merged array<array<int>>")
     # between the parts that were looked up stand the rare pieces, each folded once for the document
-    folds = F.concat(F.transform("rare", lambda w: bpe(w, rank_map, pattern)), "merged")
+    folds = F.concat(bpe(F.col("rare"), rank_map), "merged")
     ids = let(folds, lambda f: F.flatten(F.zip_with("parts", "which", lambda p, k: F.when(k < 0, p).otherwise(F.concat(p, F.get(f, k))))))
     return cut.select("doc_id", ids.alias("ids"))
 

@@ -16,6 +16,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyloom.llm import byte_bpe, embeddings, encoding, language_id, lm_score, packing, quality, simhash, sketches, token_files, url_filter
 from tallyloom.llm.common import PIECE, components, shared_dir, spanning
@@ -264,6 +265,38 @@ def test_letters_that_java_does_not_know(spark, ranks, library):
         assert row["ids"] == library.encode_ordinary(texts[row["doc_id"]])
 
 
+def test_only_runs_that_may_be_tokens_are_looked_up(ranks):
+    """No token within a match is missed; of the other runs, most of all, hardly any is left."""
+    r = random.Random(12)
+    pieces = [" " + "".join(r.choice(["tion", "the", "é", "s", "er", "qu", "ó", "x"]) for _ in range(r.randrange(1, 9))) for _ in range(6000)]
+    pieces += ["don't'll12 ab", "\n\nab", " 日本語x", "'s" * 20, "a" * 62, "x"]
+    found = byte_bpe.Runs(ranks, public_tokenizers.PATTERN).finder()(pieces).to_pylist()
+    tokens, others, every = 0, 0, 0
+    for piece, got in zip(pieces, found, strict=True):
+        words = [w.encode() for w in PATTERN.findall(piece)]
+        assert got["word"] == piece.encode() == b"".join(words)
+        runs, start = set(), 0
+        for w in words:
+            runs |= {(start + i) * 64 + k for i in range(len(w)) for k in range(2, len(w) - i + 1)}
+            start += len(w)
+        known = {run for run in runs if got["word"][run >> 6 :][: run & 63] in ranks}
+        assert got["runs"] == sorted(got["runs"]) and known <= set(got["runs"]) <= runs
+        tokens, others, every = tokens + len(known), others + len(got["runs"]) - len(known), every + len(runs)
+    assert others < 0.02 * (every - tokens) and every > 3 * tokens
+
+
+def test_no_pieces_have_no_runs(ranks):
+    assert byte_bpe.Runs(ranks, public_tokenizers.PATTERN).finder()([]).to_pylist() == []
+
+
+def test_every_token_folds_to_its_rank(spark, ranks, tmp_path):
+    tokens = [t for t in ranks if len(t) <= byte_bpe.BITS]
+    words = [[{"word": t, "runs": [i * 64 + k for i in range(len(t)) for k in range(2, len(t) - i + 1)]}] for t in tokens]
+    pq.write_table(pa.table({"words": pa.array(words, pa.list_(pa.struct({"word": pa.binary(), "runs": pa.list_(pa.int16())})))}), tmp_path / "words.parquet")
+    got = spark.read.parquet(str(tmp_path / "words.parquet")).select("words.word", byte_bpe.bpe(F.col("words"), byte_bpe.RankMap(ranks)).alias("ids")).collect()
+    assert len(got) == len(tokens) and all(row["ids"] == [[ranks[bytes(row["word"][0])]]] for row in got)
+
+
 def test_a_vocabulary_must_be_made_of_merges():
     with pytest.raises(ValueError):
         byte_bpe.RankMap({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
