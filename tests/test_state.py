@@ -1,7 +1,9 @@
 """Assignments, rules and small expressions on cases worked out by hand."""
 
 import datetime as dt
+import math
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -198,6 +200,31 @@ def test_every_tutor_has_all_rows_of_their_learners(spark, tmp_path):
     assert got == [(t, k) for t in range(41) for k in range(120) if t % 10 == 0 or k % 3 == t % 3 and k % 7 == t % 7]
 
 
+def test_files_of_every_tutor_and_learner_repeat_runs(spark, tmp_path):
+    spark.range(40_000).selectExpr("id * 7919 % 100003 as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1_000).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    standards.scope_switch(Tables(spark, str(tmp_path))).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows >= 100 * 40_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * rows
+
+
+def test_odd_keys_of_tutors_and_learners(spark, tmp_path, monkeypatch):
+    learners = [(k if k % 11 else None, k % 2 if k % 13 else None) for k in range(-20, 700)] + [(21, 1)] * 300
+    tutors = [(k if k % 9 else None, k % 2 if k % 8 else None) for k in range(-25, 400)] + [(21, 1), (20, 1)] * 20
+    spark.createDataFrame(learners, "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(tutors, "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(standards, "PAIRS", 1000)
+    rem = lambda k, n: None if k is None else int(math.fmod(k, n))
+    counts = Counter((g, rem(k, 7)) for k, g in learners)
+    firsts = {key: min(k for k, g in learners if k is not None and (g, rem(k, 7)) == key) for key in counts if None not in key}
+    ids = [k for k, _ in learners]
+    every = len(ids), min(k for k in ids if k is not None)
+    want = Counter((t, "all", None, None, *every, k) for t, _ in tutors if rem(t, 10) == 0 for k in ids)
+    want += Counter((t, "assigned", g, rem(t, 7), counts[g, rem(t, 7)], firsts[g, rem(t, 7)], k) for t, g in tutors if rem(t, 10) for k, h in learners if g is not None and h == g and rem(k, 7) == rem(t, 7))
+    assert Counter(map(tuple, standards.scope_switch(Tables(spark, str(tmp_path))).collect())) == want
+
+
 def test_more_groups_than_any_nation_table(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(1500)], "n_nationkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(1, "x"), (2, "y")], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
